@@ -47,10 +47,10 @@ def change_alerts(df: DataFrame, payload: str = "payload") -> DataFrame:
     """One alert per change event: subject ``Changes in <table> table`` and a
     three-line body (operation, old data, new data; JSON re-serialised
     compactly, ``null`` for a missing side)."""
-    d = decode_change_events(df, payload)
-    return d.select(
+    j = lambda path: F.get_json_object(payload, path)
+    return df.select(
         *[c for c in df.columns if c != payload],
-        F.concat(F.lit("Changes in "), F.col("table"), F.lit(" table")).alias("subject"),
-        F.concat(F.lit("Operation: "), F.col("operation"),
-                 F.lit("\nOld Data: "), F.coalesce(F.col("old_data"), F.lit("null")),
-                 F.lit("\nNew Data: "), F.coalesce(F.col("new_data"), F.lit("null"))).alias("body"))
+        F.concat(F.lit("Changes in "), j("$.table"), F.lit(" table")).alias("subject"),
+        F.concat(F.lit("Operation: "), j("$.operation"),
+                 F.lit("\nOld Data: "), F.coalesce(j("$.old_data"), F.lit("null")),
+                 F.lit("\nNew Data: "), F.coalesce(j("$.new_data"), F.lit("null"))).alias("body"))

@@ -61,8 +61,10 @@ def check(df: DataFrame, rules) -> DataFrame:
 def key_violations(df: DataFrame, keys) -> DataFrame:
     """Keys that are null or occur more than once (UNIQUE / PRIMARY KEY)."""
     keys = list(keys)
-    return df.groupBy(*keys).agg(F.count("*").alias("count")).where(
-        (F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in keys]))
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("count")).where((F.col("count") > 1) | any_null)
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

@@ -652,3 +652,347 @@ def q_label_dimension(spark, sf):
     first = _labelled(spark, sf).select(
         "event_id", F.split_part("type_anomalie", F.lit(", "), F.lit(1)).alias("label"))
     return first.join(F.broadcast(dim), "label", "left").select("event_id", "label", "severity")
+
+
+# --------------------------------------------------------------------------
+# Sources: lines, messages
+# --------------------------------------------------------------------------
+
+_SPLIT_SQL = """,
+sp AS (SELECT event_id, string_split(line, ';') AS p FROM activity_raw)
+"""
+_FIELDS = ["datetimeutc", "pid", "database_name", "appname", "user_name", "client", "cpu", "memory",
+           "read_io", "write_io", "duration", "wait", "io_wait", "state"]
+
+
+def _field_sql(i: int, name: str) -> str:
+    raw = f"trim(p[{i + 1}], '\"')"
+    if name in ("cpu", "memory", "read_io", "write_io", "duration"):
+        return f"CASE WHEN isnan(try_cast({raw} AS double)) THEN NULL ELSE try_cast({raw} AS double) END AS {name}"
+    if name == "pid":
+        return f"cast(try_cast({raw} AS double) AS bigint) AS pid"
+    if name == "datetimeutc":
+        return f"try_cast({raw} AS timestamp) AS datetimeutc"
+    return f"{raw} AS {name}"
+
+
+@register("parse_activity_line", with_fixtures("activity_raw") + _SPLIT_SQL + "SELECT event_id, "
+          + ", ".join(_field_sql(i, n) for i, n in enumerate(_FIELDS))
+          + """, trim(array_to_string(list_slice(p, 15, 1000000), ';'), '"') AS query
+FROM sp WHERE len(p) >= 14
+""", "S1 S3 S5 F1 F2")
+def q_parse_activity_line(spark, sf):
+    from pulseframe.sources.activity_lines import parse_activity
+    good, _ = parse_activity(fx(spark, sf, "activity_raw").select("event_id", "line"))
+    return good.withColumn("datetimeutc", F.col("datetimeutc").cast("timestamp_ntz"))
+
+
+@register("reject_short_lines", with_fixtures("activity_raw") + """
+SELECT event_id, line FROM activity_raw WHERE len(string_split(line, ';')) < 14
+""", "S4")
+def q_reject_short_lines(spark, sf):
+    from pulseframe.sources.activity_lines import parse_activity
+    _, rejected = parse_activity(fx(spark, sf, "activity_raw").select("event_id", "line"))
+    return rejected
+
+
+_ENV_TYPE = "CASE WHEN l_orderkey % 2 = 0 THEN 'pg_stat_context_io' ELSE 'pg_stat_io_activity' END"
+_ENV_COLS = ["l_orderkey", "l_linenumber", "context", "backend_type", "reads", "writes", "writebacks"]
+_ENV_SCHEMA = ("l_orderkey BIGINT, l_linenumber INT, context STRING, backend_type STRING, "
+               "reads DOUBLE, writes DOUBLE, writebacks DOUBLE")
+
+
+def _envelopes(spark, sf):
+    from pulseframe.sources.messages import decode_envelopes, encode_envelopes
+    msgs = encode_envelopes(fx(spark, sf, "stat_io"), F.expr(_ENV_TYPE), ["l_orderkey"], _ENV_COLS)
+    return decode_envelopes(msgs, _ENV_SCHEMA)
+
+
+@register("decode_messages", with_fixtures("stat_io") + f"""
+SELECT {_ENV_TYPE} AS type_query, {", ".join(_ENV_COLS)} FROM stat_io
+""", "S8 S9 F20 F22")
+def q_decode_messages(spark, sf):
+    from pulseframe.sources.messages import explode_envelopes
+    return explode_envelopes(_envelopes(spark, sf))
+
+
+@register("route_by_type", with_fixtures("stat_io") + f"""
+SELECT {", ".join(_ENV_COLS)} FROM stat_io WHERE {_ENV_TYPE} = 'pg_stat_io_activity'
+""", "P14")
+def q_route_by_type(spark, sf):
+    from pulseframe.sources.messages import explode_envelopes, route
+    return explode_envelopes(route(_envelopes(spark, sf), "pg_stat_io_activity")).drop("type_query")
+
+
+@register("encode_messages", with_fixtures("activity") + """
+SELECT event_id, datetimeutc, pid, client, cpu, state, query FROM activity
+""", "S8 F20")
+def q_encode_messages(spark, sf):
+    from pulseframe.sources.messages import decode_records, encode_records
+    a = fx(spark, sf, "activity").select("event_id", "datetimeutc", "pid", "client", "cpu", "state", "query")
+    enc = encode_records(a, ["event_id"])
+    return decode_records(enc, "event_id BIGINT, datetimeutc TIMESTAMP_NTZ, pid BIGINT, client STRING, "
+                               "cpu DOUBLE, state STRING, query STRING")
+
+
+# --------------------------------------------------------------------------
+# Checks, changes, sets, encodings
+# --------------------------------------------------------------------------
+
+def _users_rules():
+    from pulseframe.operators.checks import in_domain, in_range, not_null
+    return [not_null("username"), not_null("email"), not_null("firstname"), not_null("age")], \
+        [in_range("age", 18, 68)], [in_domain("gender", ["M", "F"])]
+
+
+@register("check_not_null", with_fixtures("users") + """
+SELECT 'not_null:username' AS rule, count(*) FILTER (WHERE username IS NULL) AS violations FROM users
+UNION ALL SELECT 'not_null:email', count(*) FILTER (WHERE email IS NULL) FROM users
+UNION ALL SELECT 'not_null:firstname', count(*) FILTER (WHERE firstname IS NULL) FROM users
+UNION ALL SELECT 'not_null:age', count(*) FILTER (WHERE age IS NULL) FROM users
+""", "D1")
+def q_check_not_null(spark, sf):
+    from pulseframe.operators.checks import check
+    return check(fx(spark, sf, "users"), _users_rules()[0])
+
+
+@register("check_range", with_fixtures("users") + """
+SELECT 'range:age' AS rule, count(*) FILTER (WHERE age IS NOT NULL AND NOT (age BETWEEN 18 AND 68)) AS violations
+FROM users
+""", "D3")
+def q_check_range(spark, sf):
+    from pulseframe.operators.checks import check
+    return check(fx(spark, sf, "users"), _users_rules()[1])
+
+
+@register("check_domain", with_fixtures("users") + """
+SELECT 'domain:gender' AS rule, count(*) FILTER (WHERE gender IS NOT NULL AND gender NOT IN ('M', 'F')) AS violations
+FROM users
+""", "D4")
+def q_check_domain(spark, sf):
+    from pulseframe.operators.checks import check
+    return check(fx(spark, sf, "users"), _users_rules()[2])
+
+
+@register("duplicate_keys", with_fixtures("posts") + """
+SELECT user_id, count(*) AS count FROM posts GROUP BY user_id HAVING count(*) > 1
+""", "A19 D2")
+def q_duplicate_keys(spark, sf):
+    from pulseframe.operators.rollups import duplicate_keys
+    return duplicate_keys(fx(spark, sf, "posts"), ["user_id"])
+
+
+@register("key_violations", with_fixtures("users") + """
+SELECT email, count(*) AS count FROM users GROUP BY email HAVING count(*) > 1 OR email IS NULL
+""", "D2")
+def q_key_violations(spark, sf):
+    from pulseframe.operators.checks import key_violations
+    return key_violations(fx(spark, sf, "users"), ["email"])
+
+
+@register("fk_orphans", with_fixtures("users", "posts") + """
+SELECT p.id, p.user_id FROM posts p WHERE p.user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = p.user_id)
+""", "J3 D5")
+def q_fk_orphans(spark, sf):
+    from pulseframe.operators.checks import fk_orphans
+    return fk_orphans(fx(spark, sf, "posts").select("id", "user_id"), fx(spark, sf, "users"), "user_id", "id")
+
+
+@register("snapshot_diff", with_fixtures("orders_old", "orders_new") + """
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
+       CASE WHEN o.o_orderkey IS NULL THEN 'INSERT' WHEN n.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+       o.o_orderstatus AS old_status, n.o_orderstatus AS new_status
+FROM orders_old o FULL OUTER JOIN orders_new n ON o.o_orderkey = n.o_orderkey
+WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL
+   OR o.o_custkey IS DISTINCT FROM n.o_custkey OR o.o_orderstatus IS DISTINCT FROM n.o_orderstatus
+   OR o.o_totalprice IS DISTINCT FROM n.o_totalprice
+""", "X8")
+def q_snapshot_diff(spark, sf):
+    from pulseframe.operators.changes import snapshot_diff
+    d = snapshot_diff(fx(spark, sf, "orders_old"), fx(spark, sf, "orders_new"), ["o_orderkey"])
+    return d.select("o_orderkey", "operation",
+                    F.get_json_object("old_data", "$.o_orderstatus").alias("old_status"),
+                    F.get_json_object("new_data", "$.o_orderstatus").alias("new_status"))
+
+
+@register("change_alerts", with_fixtures("change_events") + """
+SELECT event_id, table_name, operation,
+       concat('Changes in ', json_extract_string(payload, '$.table'), ' table') AS subject,
+       concat('Operation: ', json_extract_string(payload, '$.operation'),
+              chr(10), 'Old Data: ', coalesce(cast(json_extract(payload, '$.old_data') AS varchar), 'null'),
+              chr(10), 'New Data: ', coalesce(cast(json_extract(payload, '$.new_data') AS varchar), 'null')) AS body
+FROM change_events
+""", "X7")
+def q_change_alerts(spark, sf):
+    from pulseframe.operators.changes import change_alerts
+    return change_alerts(fx(spark, sf, "change_events"))
+
+
+@register("append_by_name", with_fixtures("activity", "stat_activity") + """
+SELECT event_id, query, client_addr FROM stat_activity
+UNION ALL BY NAME
+SELECT event_id, query, cpu FROM activity
+""", "U1")
+def q_append_by_name(spark, sf):
+    from pulseframe.operators.sets import append_by_name
+    return append_by_name(fx(spark, sf, "stat_activity").select("event_id", "query", "client_addr"),
+                          fx(spark, sf, "activity").select("event_id", "query", "cpu"))
+
+
+_SPLIT_DAY = "2024-01-03 00:00:00"
+
+
+def _periods(spark, sf):
+    a = fx(spark, sf, "activity")
+    cut = F.lit(_SPLIT_DAY).cast("timestamp_ntz")
+    return a.where(F.col("datetimeutc") < cut), a.where(F.col("datetimeutc") >= cut)
+
+
+@register("unseen_categories", with_fixtures("activity") + f"""
+SELECT DISTINCT query FROM activity WHERE datetimeutc >= TIMESTAMP '{_SPLIT_DAY}'
+EXCEPT SELECT query FROM activity WHERE datetimeutc < TIMESTAMP '{_SPLIT_DAY}'
+""", "U2")
+def q_unseen_categories(spark, sf):
+    from pulseframe.operators.sets import unseen_values
+    old, new = _periods(spark, sf)
+    return unseen_values(new, old, "query")
+
+
+@register("extend_categories", with_fixtures("activity") + f"""
+SELECT query FROM activity WHERE datetimeutc < TIMESTAMP '{_SPLIT_DAY}' AND query IS NOT NULL
+UNION SELECT query FROM activity WHERE datetimeutc >= TIMESTAMP '{_SPLIT_DAY}' AND query IS NOT NULL
+""", "U3")
+def q_extend_categories(spark, sf):
+    from pulseframe.operators.sets import extend_values
+    old, new = _periods(spark, sf)
+    return extend_values(old, new, "query")
+
+
+@register("encode_categories", with_fixtures("activity") + """
+SELECT value, cast(dense_rank() OVER (ORDER BY value) - 1 AS int) AS code
+FROM (SELECT DISTINCT client AS value FROM activity WHERE client IS NOT NULL) t
+""", "F24")
+def q_encode_categories(spark, sf):
+    from pulseframe.operators.encoding import category_codes
+    return category_codes(fx(spark, sf, "activity"), "client")
+
+
+@register("encode_query_codes", with_fixtures("activity") + """
+SELECT value, cast(dense_rank() OVER (ORDER BY value) - 1 AS int) AS code
+FROM (SELECT DISTINCT query AS value FROM activity WHERE query IS NOT NULL) t
+""", "F24")
+def q_encode_query_codes(spark, sf):
+    from pulseframe.operators.encoding import category_codes
+    return category_codes(fx(spark, sf, "activity"), "query")
+
+
+@register("align_features", with_fixtures("activity") + """
+SELECT event_id, cpu, memory, 0 AS gpu_load, duration FROM activity
+""", "P12 P8")
+def q_align_features(spark, sf):
+    from pulseframe.operators.encoding import align_features
+    return align_features(fx(spark, sf, "activity"), ["event_id", "cpu", "memory", "cpu", "gpu_load", "duration"])
+
+
+# --------------------------------------------------------------------------
+# Text features
+# --------------------------------------------------------------------------
+
+_NORM_CTE = f""",
+nq AS (SELECT event_id, datetimeutc, {_NORMALIZE_SQL} AS q FROM activity),
+tok AS (SELECT event_id, datetimeutc, unnest(regexp_extract_all(lower(q), '\\b\\w\\w+\\b')) AS term FROM nq)
+"""
+
+
+def _normalized(spark, sf):
+    from pulseframe.functions.text import normalize_query
+    return fx(spark, sf, "activity").select("event_id", "datetimeutc", normalize_query("query").alias("q"))
+
+
+@register("term_counts", with_fixtures("activity") + _NORM_CTE + """
+SELECT event_id, term, count(*) AS tf FROM tok GROUP BY event_id, term
+""", "M1")
+def q_term_counts(spark, sf):
+    from pulseframe.operators.textfeatures import term_counts
+    return term_counts(_normalized(spark, sf), "event_id", "q")
+
+
+@register("tfidf", with_fixtures("activity") + _NORM_CTE + f""",
+tc AS (SELECT event_id, term, count(*) AS tf FROM tok GROUP BY event_id, term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM activity)) / (count(*) + 1)) + 1 AS idf FROM tc GROUP BY term),
+w AS (SELECT tc.event_id, tc.term, tc.tf, idf.idf, tc.tf * idf.idf AS w FROM tc JOIN idf ON tc.term = idf.term)
+SELECT event_id, term, tf, round(idf, {D}) AS idf,
+       round(w / sqrt(sum(w * w) OVER (PARTITION BY event_id)), {D}) AS weight
+FROM w
+""", "M2")
+def q_tfidf(spark, sf):
+    from pulseframe.operators.textfeatures import Tfidf
+    d = _normalized(spark, sf)
+    out = Tfidf("event_id", "q").fit(d).transform(d)
+    return out.select("event_id", "term", "tf", F.round("idf", D).alias("idf"), F.round("weight", D).alias("weight"))
+
+
+@register("unseen_terms", with_fixtures("activity") + _NORM_CTE + f"""
+SELECT DISTINCT term FROM tok WHERE datetimeutc >= TIMESTAMP '{_SPLIT_DAY}'
+EXCEPT SELECT term FROM tok WHERE datetimeutc < TIMESTAMP '{_SPLIT_DAY}'
+""", "U4")
+def q_unseen_terms(spark, sf):
+    from pulseframe.operators.textfeatures import vocabulary_gaps
+    d = _normalized(spark, sf)
+    cut = F.lit(_SPLIT_DAY).cast("timestamp_ntz")
+    from pulseframe.operators.textfeatures import tokens
+    vocab = d.where(F.col("datetimeutc") < cut).select(F.explode(tokens("q")).alias("term")).distinct()
+    return vocabulary_gaps(d.where(F.col("datetimeutc") >= cut), vocab, "event_id", "q")
+
+
+# Example sentiment lexicon (term, weight), a user parameter.
+LEXICON = [("good", 1.9), ("great", 3.1), ("happy", 2.7), ("love", 3.2), ("best", 3.2),
+           ("nice", 1.8), ("clean", 1.7), ("free", 1.3), ("bad", -2.5), ("worst", -3.1),
+           ("hate", -2.7), ("error", -1.7), ("drop", -1.1), ("delete", -1.0), ("kill", -3.7),
+           ("fail", -2.3), ("slow", -1.2), ("union", 0.4), ("join", 0.6), ("insert", 0.3)]
+
+
+def _lexicon_sql() -> str:
+    rows = ", ".join(f"('{t}', {w})" for t, w in LEXICON)
+    return f"lex AS (SELECT * FROM (VALUES {rows}) t(term, weight))"
+
+
+def _lexicon_score_sql(src: str, doc: str, text: str) -> str:
+    return f""",
+{_lexicon_sql()},
+t AS (SELECT {doc}, unnest(regexp_extract_all(lower({text}), '[a-z][a-z]+')) AS term FROM {src}),
+d AS (SELECT {doc} FROM {src}),
+s AS (SELECT t.{doc}, coalesce(lex.weight, 0.0) AS s FROM t LEFT JOIN lex ON t.term = lex.term),
+g AS (SELECT d.{doc}, coalesce(sum(s), 0.0) AS s,
+             coalesce(sum(CASE WHEN s > 0 THEN s + 1 ELSE 0.0 END), 0.0) AS pos_sum,
+             coalesce(sum(CASE WHEN s < 0 THEN s - 1 ELSE 0.0 END), 0.0) AS neg_sum,
+             count(s) FILTER (WHERE s = 0) AS neu_n
+      FROM d LEFT JOIN s ON d.{doc} = s.{doc} GROUP BY d.{doc}),
+r AS (SELECT *, pos_sum + abs(neg_sum) + neu_n AS total,
+             CASE WHEN s = 0 THEN 0.0 ELSE s / sqrt(s * s + 15.0) END AS comp FROM g)
+SELECT {doc},
+       CASE WHEN total > 0 THEN round(abs(neg_sum) / total, 3) ELSE 0.0 END AS neg,
+       CASE WHEN total > 0 THEN round(abs(neu_n) / total, 3) ELSE 0.0 END AS neu,
+       CASE WHEN total > 0 THEN round(abs(pos_sum) / total, 3) ELSE 0.0 END AS pos,
+       round(comp, 4) AS compound, cast(comp > 0 AS int) AS is_positive
+FROM r
+"""
+
+
+def _lexicon_df(spark):
+    return spark.createDataFrame(LEXICON, "term string, weight double")
+
+
+@register("lexicon_score", with_fixtures("activity") + _lexicon_score_sql("activity", "event_id", "query"), "M3")
+def q_lexicon_score(spark, sf):
+    from pulseframe.operators.textfeatures import lexicon_scores
+    return lexicon_scores(fx(spark, sf, "activity"), "event_id", "query", _lexicon_df(spark),
+                          pattern="[a-z][a-z]+")
+
+
+@register("document_sentiment", "WITH x AS (SELECT 1)" + _lexicon_score_sql("documents", "doc_id", "text"), "M3")
+def q_document_sentiment(spark, sf):
+    from pulseframe.operators.textfeatures import lexicon_scores
+    return lexicon_scores(base_table(spark, sf, "documents"), "doc_id", "text", _lexicon_df(spark),
+                          pattern="[a-z][a-z]+")
