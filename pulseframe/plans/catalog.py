@@ -996,3 +996,206 @@ def q_document_sentiment(spark, sf):
     from pulseframe.operators.textfeatures import lexicon_scores
     return lexicon_scores(base_table(spark, sf, "documents"), "doc_id", "text", _lexicon_df(spark),
                           pattern="[a-z][a-z]+")
+
+
+# --------------------------------------------------------------------------
+# Models and metrics
+# --------------------------------------------------------------------------
+
+@register("standardize", with_fixtures("activity") + f"""
+SELECT event_id,
+       round((cpu - avg(cpu) OVER ()) / CASE WHEN coalesce(stddev_pop(cpu) OVER (), 0) = 0 THEN 1.0 ELSE stddev_pop(cpu) OVER () END, {D}) AS cpu,
+       round((memory - avg(memory) OVER ()) / CASE WHEN coalesce(stddev_pop(memory) OVER (), 0) = 0 THEN 1.0 ELSE stddev_pop(memory) OVER () END, {D}) AS memory,
+       round((duration - avg(duration) OVER ()) / CASE WHEN coalesce(stddev_pop(duration) OVER (), 0) = 0 THEN 1.0 ELSE stddev_pop(duration) OVER () END, {D}) AS duration
+FROM activity
+""", "M4")
+def q_standardize(spark, sf):
+    from pulseframe.operators.models import standardize
+    cols = ["cpu", "memory", "duration"]
+    d = standardize(fx(spark, sf, "activity").select("event_id", *cols), cols)
+    return d.select("event_id", *[F.round(c, D).alias(c) for c in cols])
+
+
+@register("majority_vote", with_fixtures("activity") + """
+SELECT event_id, cast(cpu > 100 AS int) AS p1, cast(memory > 50 AS int) AS p2, cast(duration > 5 AS int) AS p3,
+       cast(cast(cpu > 100 AS int) + cast(memory > 50 AS int) + cast(duration > 5 AS int) >= 2 AS int) AS vote
+FROM activity
+""", "M14")
+def q_majority_vote(spark, sf):
+    from pulseframe.operators.models import majority_vote
+    a = fx(spark, sf, "activity").select(
+        "event_id", (F.col("cpu") > 100).cast("int").alias("p1"), (F.col("memory") > 50).cast("int").alias("p2"),
+        (F.col("duration") > 5).cast("int").alias("p3"))
+    return a.withColumn("vote", majority_vote("p1", "p2", "p3"))
+
+
+# Example centroids in (cpu, memory, duration) space.
+CENTROIDS = [[20.0, 30.0, 2.0], [150.0, 80.0, 8.0]]
+
+
+def _centroid_sql():
+    parts = []
+    for c in CENTROIDS:
+        parts.append("sqrt((cpu - {0}) * (cpu - {0}) + (memory - {1}) * (memory - {1}) + "
+                     "(duration - {2}) * (duration - {2}))".format(*c))
+    return "least(" + ", ".join(parts) + ")"
+
+
+@register("centroid_outliers", with_fixtures("activity") + f""",
+d AS (SELECT event_id, {_centroid_sql()} AS distance FROM activity)
+SELECT event_id, round(distance, {D}) AS distance,
+       cast(coalesce(distance > (SELECT quantile_cont(distance, 0.95) FROM d), false) AS int) AS is_outlier
+FROM d
+""", "M9 A13")
+def q_centroid_outliers(spark, sf):
+    from pulseframe.operators.models import centroid_outliers
+    d = centroid_outliers(fx(spark, sf, "activity"), ["cpu", "memory", "duration"], CENTROIDS)
+    return d.select("event_id", F.round("distance", D).alias("distance"), "is_outlier")
+
+
+_LABEL_JOIN_SQL = """
+j AS (SELECT l.doc_id, l.quality, l.toxic, l.quality * 2 + l.toxic AS y,
+             CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS p,
+             CASE WHEN d.n_chars >= 1000 THEN 2 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 0 ELSE 1 END AS pm
+      FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+"""
+
+
+def _label_join(spark, sf):
+    lab = base_table(spark, sf, "labels")
+    doc = base_table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    j = lab.join(doc, "doc_id")
+    return j.select("doc_id", "quality", "toxic", (F.col("quality") * 2 + F.col("toxic")).alias("y"),
+                    (F.col("n_chars") >= 1000).cast("int").alias("p"),
+                    (F.when(F.col("n_chars") >= 1000, 2).otherwise(0)
+                     + F.when(F.col("lang") == "en", 0).otherwise(1)).alias("pm"))
+
+
+@register("accuracy", "WITH " + _LABEL_JOIN_SQL + """
+SELECT avg(cast(quality = p AS double)) AS accuracy FROM j
+""", "M17")
+def q_accuracy(spark, sf):
+    from pulseframe.operators.models import accuracy
+    return accuracy(_label_join(spark, sf), "quality", "p")
+
+
+@register("binary_metrics", "WITH " + _LABEL_JOIN_SQL + f""",
+c AS (SELECT count(*) FILTER (WHERE quality = 1 AND p = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND p = 1) AS fp,
+             count(*) FILTER (WHERE quality = 1 AND p = 0) AS fn FROM j),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT tp, fp, fn, round(precision, {D}) AS precision, round(recall, {D}) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, {D}) AS f1
+FROM m
+""", "M18")
+def q_binary_metrics(spark, sf):
+    from pulseframe.operators.models import binary_metrics
+    return binary_metrics(_label_join(spark, sf), "quality", "p", D)
+
+
+@register("weighted_metrics", "WITH " + _LABEL_JOIN_SQL + f""",
+sup AS (SELECT y AS c, count(*) AS support FROM j GROUP BY y),
+tp AS (SELECT y AS c, count(*) AS tp FROM j WHERE y = pm GROUP BY y),
+pr AS (SELECT pm AS c, count(*) AS predicted FROM j GROUP BY pm),
+per AS (SELECT s.c, s.support, coalesce(tp.tp, 0) AS tp, coalesce(pr.predicted, 0) AS predicted
+        FROM sup s LEFT JOIN tp ON s.c = tp.c LEFT JOIN pr ON s.c = pr.c),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec, tp / support AS rec FROM per),
+f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM m)
+SELECT round(sum(prec * support) / sum(support), {D}) AS precision,
+       round(sum(rec * support) / sum(support), {D}) AS recall,
+       round(sum(f1 * support) / sum(support), {D}) AS f1
+FROM f
+""", "M18")
+def q_weighted_metrics(spark, sf):
+    from pulseframe.operators.models import weighted_metrics
+    return weighted_metrics(_label_join(spark, sf), "y", "pm", D)
+
+
+@register("label_score_disagreement", _LABELLED + """,
+sc AS (SELECT *, cast(coalesce(cpu >= (SELECT avg(cpu) + 3 * stddev_samp(cpu) FROM activity), false) AS int) AS anomaly_scores
+       FROM lab)
+SELECT count(*) FILTER (WHERE anomaly_scores = 0 AND type_anomalie <> 'Normal') AS disagreements,
+       round(avg(cast(anomaly_scores = 0 AND type_anomalie <> 'Normal' AS double)), 6) AS share
+FROM sc
+""", "P11")
+def q_label_score_disagreement(spark, sf):
+    from pulseframe.operators.thresholds import sigma_flags
+    lab = sigma_flags(_labelled(spark, sf), "cpu", 3.0, "anomaly_scores")
+    miss = (F.col("anomaly_scores") == 0) & (F.col("type_anomalie") != "Normal")
+    return lab.agg(F.count_if(miss).alias("disagreements"),
+                   F.round(F.avg(miss.cast("double")), 6).alias("share"))
+
+
+# ---- model queries without an SQL form (rows-only checks; unit tests check
+# them by planted outliers and against brute force) ----
+
+_MODEL_COLS = ["cpu", "memory", "read_io", "write_io", "duration"]
+
+
+@register("pca_error", None, "M5")
+def q_pca_error(spark, sf):
+    from pulseframe.operators.models import PcaError
+    a = fx(spark, sf, "activity")
+    return PcaError(_MODEL_COLS, k=2).fit(a).transform(a).select("event_id", "autoencoder")
+
+
+@register("isolation_forest", None, "M6")
+def q_isolation_forest(spark, sf):
+    from pulseframe.operators.models import IsolationForest
+    a = fx(spark, sf, "activity").select("event_id", *_MODEL_COLS)
+    return IsolationForest(_MODEL_COLS, "event_id").fit(a).transform(a).select("event_id", "isolation_forest")
+
+
+@register("one_class_score", None, "M7")
+def q_one_class_score(spark, sf):
+    from pulseframe.operators.models import OneClassScore, Standardizer
+    a = fx(spark, sf, "activity").select("event_id", *_MODEL_COLS)
+    z = Standardizer(_MODEL_COLS).fit(a).transform(a)
+    return OneClassScore(_MODEL_COLS).fit(z).transform(z).select("event_id", "one_class_svm")
+
+
+@register("score_clusters", None, "M8")
+def q_score_clusters(spark, sf):
+    from pulseframe.operators.models import kmeans_clusters
+    a = fx(spark, sf, "activity").select("event_id", "cpu", "memory", "duration")
+    out, _ = kmeans_clusters(a, ["cpu", "memory", "duration"], k=2, seed=42)
+    return out.select("event_id", "cluster")
+
+
+@register("knn_vote", None, "M11 M10")
+def q_knn_vote(spark, sf):
+    from pulseframe.operators.models import KnnVote, split_flag
+    a = fx(spark, sf, "activity").select("event_id", "cpu", "memory", "duration",
+                                         (F.col("io_wait") == "Y").cast("int").alias("label"))
+    train = a.where(split_flag("event_id", 80)).orderBy("event_id").limit(10_000)
+    m = KnnVote(["cpu", "memory", "duration"], "label").fit(train, "event_id")
+    return m.transform(a.where(~split_flag("event_id", 80))).select("event_id", "label", "p_knn")
+
+
+@register("vote_models", None, "M12 M13 M19")
+def q_vote_models(spark, sf):
+    from pulseframe.operators.models import assemble, probability_cut, split_flag, train_vote_models
+    a = fx(spark, sf, "activity").select("event_id", "cpu", "memory", "duration",
+                                         (F.col("io_wait") == "Y").cast("double").alias("label"))
+    lr, rf = train_vote_models(a.where(split_flag("event_id", 80)), ["cpu", "memory", "duration"],
+                               rf_trees=(20, 40))
+    x = assemble(a.where(~split_flag("event_id", 80)), ["cpu", "memory", "duration"])
+    p = probability_cut(lr.transform(x), "prob_lr", 0.5, "flag_lr")
+    return rf.transform(p).select("event_id", "label", "p_lr", "flag_lr", "p_rf")
+
+
+@register("label_tree", None, "M16")
+def q_label_tree(spark, sf):
+    from pulseframe.operators.models import LabelTree
+    lab = _labelled(spark, sf)
+    cols = ["cpu", "memory", "read_io", "write_io", "duration", "has_join", "is_high_io_wait"]
+    return LabelTree(cols).fit(lab).transform(lab).select("event_id", "type_anomalie", "predicted_label")
+
+
+@register("detect_anomalies", None, "M20 M15 M14")
+def q_detect_anomalies(spark, sf):
+    from pulseframe.plans.detector import AnomalyDetector
+    a = fx(spark, sf, "activity")
+    det = AnomalyDetector(trees=50, rf_trees=(50, 100)).fit(a)
+    return det.transform(a).select("event_id", "type_anomalie", "autoencoder", "isolation_forest",
+                                   "one_class_svm", "anomaly_scores", "is_anomaly", "predicted_label")
