@@ -1199,3 +1199,65 @@ def q_detect_anomalies(spark, sf):
     det = AnomalyDetector(trees=50, rf_trees=(50, 100)).fit(a)
     return det.transform(a).select("event_id", "type_anomalie", "autoencoder", "isolation_forest",
                                    "one_class_svm", "anomaly_scores", "is_anomaly", "predicted_label")
+
+
+# --------------------------------------------------------------------------
+# Streaming (file source, availableNow, result read back as a table)
+# --------------------------------------------------------------------------
+
+@register("stream_minute_counts", with_fixtures("activity") + """,
+m AS (SELECT date_trunc('minute', datetimeutc) AS minute, count(*) AS query_count FROM activity GROUP BY 1)
+SELECT minute, minute + INTERVAL 1 MINUTE AS minute_end, query_count FROM m
+WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(datetimeutc) FROM activity) - INTERVAL 10 MINUTE
+""", "X4 X3 X1 S2")
+def q_stream_minute_counts(spark, sf):
+    from pulseframe.sources.fixtures import fixture_stream
+    from pulseframe.streaming import minute_rollup, run_available
+    s = minute_rollup(fixture_stream(spark, sf, "activity"), "datetimeutc")
+    out = run_available(s, "append", "minute-counts")
+    return out.select(F.col("minute").cast("timestamp_ntz").alias("minute"),
+                      F.col("minute_end").cast("timestamp_ntz").alias("minute_end"), "query_count")
+
+
+@register("stream_outlier_flags", REGISTRY["outlier_flags"].sql, "X2 F15")
+def q_stream_outlier_flags(spark, sf):
+    from pulseframe.functions.metrics import metric_ratios
+    from pulseframe.operators.thresholds import OutlierThresholds
+    from pulseframe.sources.fixtures import fixture_stream
+    from pulseframe.streaming import run_available, score_stream
+    t = OutlierThresholds().fit(metric_ratios(fx(spark, sf, "activity")))
+    s = score_stream(metric_ratios(fixture_stream(spark, sf, "activity")), t.transform)
+    return run_available(s.select("event_id", *_FLAG_NAMES), "append", "outlier-flags")
+
+
+@register("stream_dedup", """
+SELECT event_id, ts, user_id, event_type FROM events
+""", "X9")
+def q_stream_dedup(spark, sf):
+    from pulseframe.streaming import dedup_events, run_available
+    from pulseframe.sources.fixtures import stream_glob
+    path = f"{sf.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    s1 = spark.readStream.schema(schema).parquet(stream_glob(path))
+    s2 = spark.readStream.schema(schema).parquet(stream_glob(path))
+    both = s1.union(s2).select("event_id", "ts", "user_id", "event_type")
+    return run_available(dedup_events(both, ["event_id"], "ts"), "append", "dedup")
+
+
+@register("stream_change_alerts", REGISTRY["change_alerts"].sql, "X7")
+def q_stream_change_alerts(spark, sf):
+    from pulseframe.operators.changes import change_alerts
+    from pulseframe.sources.fixtures import fixture_stream
+    from pulseframe.streaming import run_available
+    return run_available(change_alerts(fixture_stream(spark, sf, "change_events")), "append", "alerts")
+
+
+@register("stream_parse_lines", REGISTRY["parse_activity_line"].sql, "S2 S3 X2")
+def q_stream_parse_lines(spark, sf):
+    from pulseframe.functions.casting import cast_activity
+    from pulseframe.sources.activity_lines import split_activity_lines
+    from pulseframe.sources.fixtures import fixture_stream
+    from pulseframe.streaming import run_available
+    good, _ = split_activity_lines(fixture_stream(spark, sf, "activity_raw").select("event_id", "line"))
+    out = run_available(cast_activity(good), "append", "lines")
+    return out.withColumn("datetimeutc", F.col("datetimeutc").cast("timestamp_ntz"))

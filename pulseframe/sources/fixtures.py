@@ -207,3 +207,28 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if fx.where:
         df = df.where(fx.where)
     return df.selectExpr(*[f"{e} AS {a}" for e, a in fx.columns])
+
+
+def apply_fixture(df: DataFrame, name: str) -> DataFrame:
+    """Derive fixture ``name`` from a (batch or streaming) base-table frame."""
+    fx = FIXTURES[name]
+    if fx.where:
+        df = df.where(fx.where)
+    return df.selectExpr(*[f"{e} AS {a}" for e, a in fx.columns])
+
+
+def fixture_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """Fixture ``name`` over a file stream of its base table's parquet files
+    (schema taken from the batch table, never inferred on the stream)."""
+    fx = FIXTURES[name]
+    path = f"{sf_dir.rstrip('/')}/{fx.base}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return apply_fixture(r.parquet(stream_glob(path)), name)
+
+
+def stream_glob(path: str) -> str:
+    """A file stream source takes a folder or a glob, not a single file: a
+    one-file path is turned into a glob matching exactly that file."""
+    return path[:-1] + "[" + path[-1] + "]"
