@@ -27,6 +27,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe.operators.quantiles import exact_quantiles
+from pulseframe.session import ship_package
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Give Python batch scoring at least one partition per core. Large
+    inputs already have many partitions and pass through unchanged; only a
+    small input (fewer partitions than cores) is spread by a round-robin
+    repartition."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def _with_field(df: DataFrame, name: str, dtype) -> T.StructType:
@@ -151,25 +163,30 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = (np.asarray(a) for a in tree)
-    out = np.zeros(len(X))
+    """Path length of every row of X: depth of the leaf reached plus the
+    average path length c(size) of the rows left in that leaf. All rows
+    walk one level per step (at most the tree depth steps)."""
+    feat, thr, left, right, adj = tree
     node = np.zeros(len(X), dtype=np.int64)
     depth = np.zeros(len(X))
-    active = np.ones(len(X), dtype=bool)
-    while active.any():
+    rows = np.arange(len(X))
+    while True:
         f = feat[node]
-        leaf = f < 0
-        done = active & leaf
-        if done.any():
-            out[done] = depth[done] + np.vectorize(_c)(size[node[done]].astype(float))
-            active &= ~leaf
-        if not active.any():
+        inner = f >= 0
+        if not inner.any():
             break
-        idx = np.where(active)[0]
-        go_left = X[idx, f[idx]] < thr[node[idx]]
-        node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-        depth[idx] += 1
-    return out
+        go_left = X[rows, np.where(inner, f, 0)] < thr[node]
+        nxt = np.where(go_left, left[node], right[node])
+        node = np.where(inner, nxt, node)
+        depth += inner
+    return depth + adj[node]
+
+
+def _tree_arrays(feat, thr, left, right, size):
+    """numpy form of a grown tree, with c(size) precomputed per node."""
+    return (np.asarray(feat, dtype=np.int64), np.asarray(thr, dtype=float),
+            np.asarray(left, dtype=np.int64), np.asarray(right, dtype=np.int64),
+            np.array([_c(float(n)) for n in size]))
 
 
 class IsolationForest:
@@ -191,18 +208,30 @@ class IsolationForest:
         self.forest = None
 
     def fit(self, df: DataFrame) -> "IsolationForest":
+        ship_package(df.sparkSession)
         n = df.count()
         psi = min(self.sample_size, n)
-        frac = min(1.0, 2.0 * psi / max(n, 1) + 1e-9)
-        cut = int(frac * 1_000_000)
         cols, seed, max_depth = self.cols, self.seed, int(math.ceil(math.log2(max(psi, 2))))
-        h = lambda t: F.pmod(F.xxhash64(F.col(self.id_col), t, F.lit(seed)), F.lit(1_000_000))
-        draws = df.select(*[F.col(c).cast("double") for c in cols], F.col(self.id_col).alias("_id"),
-                          F.explode(F.filter(
-                              F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)),
-                                          lambda t: F.struct(t.alias("tree"), h(t).alias("h"))),
-                              lambda s: s["h"] < cut)).alias("_d"))
-        draws = draws.select("*", "_d.tree", "_d.h").drop("_d")
+        T = self.trees
+        base = df.select(*[F.col(c).cast("double") for c in cols], F.col(self.id_col).alias("_id"))
+        order = F.xxhash64(F.col("_id"), F.lit(seed), F.lit(1))
+        if n >= 2 * psi * T:
+            # One hash per row: rows fall in B >= T buckets of ~2 psi rows;
+            # buckets 0..T-1 are the trees' (disjoint) draws.
+            B = n // (2 * psi)
+            bucket = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(B))
+            draws = base.withColumn("tree", bucket.cast("int")).where(F.col("tree") < T) \
+                .withColumn("h", order)
+        else:
+            # Small tables: each tree draws each row with probability
+            # 2 psi / n on its own hash (draws overlap across trees).
+            cut = int(min(1.0, 2.0 * psi / max(n, 1) + 1e-9) * 1_000_000)
+            h = lambda t: F.pmod(F.xxhash64(F.col("_id"), t, F.lit(seed)), F.lit(1_000_000))
+            draws = base.select("*", F.explode(F.filter(
+                F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
+                            lambda t: F.struct(t.alias("tree"), h(t).alias("h"))),
+                lambda s: s["h"] < cut)).alias("_d"))
+            draws = draws.select("*", "_d.tree", "_d.h").drop("_d")
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["h", "_id"]).head(psi)
@@ -216,12 +245,13 @@ class IsolationForest:
         schema = ("tree int, feat array<int>, thr array<double>, left array<int>, "
                   "right array<int>, size array<int>, n int")
         rows = draws.groupBy("tree").applyInPandas(grow, schema).collect()
-        self.forest = [(r["feat"], r["thr"], r["left"], r["right"], r["size"]) for r in
+        self.forest = [_tree_arrays(r["feat"], r["thr"], r["left"], r["right"], r["size"]) for r in
                        sorted(rows, key=lambda r: r["tree"])]
         self.psi = psi
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        ship_package(df.sparkSession)
         forest, cols, cn, out = self.forest, self.cols, _c(self.psi), self.out
         bforest = df.sparkSession.sparkContext.broadcast(forest)
         schema = _with_field(df, out, T.DoubleType())
@@ -234,7 +264,7 @@ class IsolationForest:
                 pdf[out] = np.power(2.0, -eh / cn) - 0.5 if cn > 0 else 0.0
                 yield pdf
 
-        return df.mapInPandas(score, schema)
+        return _spread(df).mapInPandas(score, schema)
 
 
 # --------------------------------------------------------------------------
@@ -255,6 +285,7 @@ class OneClassScore:
         self.cols, self.gamma, self.nu, self.dims, self.seed, self.out = list(cols), gamma, nu, dims, seed, out
 
     def fit(self, df: DataFrame) -> "OneClassScore":
+        ship_package(df.sparkSession)
         rng = np.random.default_rng(self.seed)
         d = len(self.cols)
         self.W = rng.normal(0.0, math.sqrt(2 * self.gamma), size=(d, self.dims))
@@ -267,7 +298,7 @@ class OneClassScore:
                 Z = math.sqrt(2.0 / D) * np.cos(X @ W + b)
                 yield pd.DataFrame({"s": [Z.sum(axis=0).tolist()], "n": [len(X)]})
 
-        sums = df.select(*cols).mapInPandas(partial, "s array<double>, n long")
+        sums = _spread(df.select(*cols)).mapInPandas(partial, "s array<double>, n long")
         tot = sums.agg(F.sum("n").alias("n"),
                        F.array(*[F.sum(F.col("s")[i]) for i in range(D)]).alias("s")).collect()[0]
         self.mu = np.asarray(tot["s"], dtype=float) / max(tot["n"], 1)
@@ -278,6 +309,7 @@ class OneClassScore:
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:
+        ship_package(df.sparkSession)
         W, b, mu, cols, D, out, off = self.W, self.b, self.mu, self.cols, self.dims, self.out, self.offset
         schema = _with_field(df, out, T.DoubleType())
 
@@ -288,7 +320,7 @@ class OneClassScore:
                 pdf[out] = -(Z @ mu) - off
                 yield pdf
 
-        return df.mapInPandas(score, schema)
+        return _spread(df).mapInPandas(score, schema)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self._raw(df)
@@ -491,6 +523,7 @@ class KnnVote:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        ship_package(df.sparkSession)
         sc = df.sparkSession.sparkContext
         ref = sc.broadcast((self.R, self.y))
         cols, k, out = self.cols, self.k, self.out
@@ -503,4 +536,4 @@ class KnnVote:
                 pdf[out] = _knn_votes(X, R, y, [k])[k].astype("int32") if len(X) else np.zeros(0, "int32")
                 yield pdf
 
-        return df.mapInPandas(score, schema)
+        return _spread(df).mapInPandas(score, schema)

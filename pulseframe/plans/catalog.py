@@ -929,7 +929,7 @@ FROM w
 def q_tfidf(spark, sf):
     from pulseframe.operators.textfeatures import Tfidf
     d = _normalized(spark, sf)
-    out = Tfidf("event_id", "q").fit(d).transform(d)
+    out = Tfidf("event_id", "q").fit_transform(d)
     return out.select("event_id", "term", "tf", F.round("idf", D).alias("idf"), F.round("weight", D).alias("weight"))
 
 

@@ -64,3 +64,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pulseframe`` importable in Python workers on every executor.
+
+    Operators that run Python inside tasks (``applyInPandas``,
+    ``mapInPandas``) reference this package's functions. The package is
+    zipped once per session into the shared checkpoint folder and added with
+    ``addPyFile``, which ships it to every executor.
+    """
+    if spark.conf.get("pulseframe.shipped", "false") == "true":
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, f"pyfiles-{os.getpid()}-{id(spark)}")
+    os.makedirs(target, exist_ok=True)
+    zpath = os.path.join(target, "pulseframe.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    spark.sparkContext.addPyFile(zpath)
+    spark.conf.set("pulseframe.shipped", "true")
