@@ -1261,3 +1261,17 @@ def q_stream_parse_lines(spark, sf):
     good, _ = split_activity_lines(fixture_stream(spark, sf, "activity_raw").select("event_id", "line"))
     out = run_available(cast_activity(good), "append", "lines")
     return out.withColumn("datetimeutc", F.col("datetimeutc").cast("timestamp_ntz"))
+
+
+@register("stream_message_count", """
+SELECT cast(count(*) AS bigint) AS processed FROM events
+""", "A20")
+def q_stream_message_count(spark, sf):
+    from pulseframe.sources.fixtures import stream_glob
+    from pulseframe.streaming import run_available
+    path = f"{sf.rstrip('/')}/events.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1) \
+        .parquet(stream_glob(path))
+    counts = s.groupBy().agg(F.count("*").alias("processed"))
+    out = run_available(counts, "update", "message-count")
+    return out.agg(F.max_by("processed", "_batch").alias("processed"))
