@@ -21,6 +21,13 @@ def to_timestamp_or_null(c: Column | str) -> Column:
     return F.try_to_timestamp(x.cast("string"))
 
 
+def drop_zone(c: Column | str) -> Column:
+    """Zone-less wall-clock time: a TIMESTAMP read in the session zone
+    (UTC here) becomes TIMESTAMP_NTZ with the same wall clock."""
+    x = F.col(c) if isinstance(c, str) else c
+    return x.cast("timestamp_ntz")
+
+
 def iso_text(c: Column | str) -> Column:
     """ISO-8601 text as Python's ``datetime.isoformat``: microseconds are
     printed only when non-zero."""

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
 
 from pulseframe.functions.sizes import parse_size_mb
 
@@ -210,4 +209,4 @@ def head_slice(df: DataFrame, n: int, order_by) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "F", "Window")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "F")]

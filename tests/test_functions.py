@@ -143,3 +143,12 @@ def test_labels_match_python(spark, rows):
     df = spark.createDataFrame([tuple(r[k] for k in FLAGS + ["wait", "avg_io_wait_time"]) for r in recs], schema)
     got = [r[0] for r in df.select(anomaly_labels()).collect()]
     assert got == [py_labels(r) for r in recs]
+
+
+def test_drop_zone_and_text_columns(spark):
+    from pulseframe.functions.casting import drop_zone
+    from pulseframe.operators.encoding import text_columns
+    df = spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS t, 'x' AS s, 1 AS i")
+    r = df.select(drop_zone("t").alias("t")).collect()[0]["t"]
+    assert str(r) == "2024-01-02 03:04:05"
+    assert text_columns(df) == ["s"]
