@@ -8,6 +8,8 @@ unpartitioned window.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def top_queries(df: DataFrame, n: int = 10, prefix: int = 10, impute: bool = Tru
     return g.orderBy(F.desc("cpu"), F.asc("query")).limit(n)
 
 
+def _epoch_bound(epoch: int, dtype) -> Column:
+    """Epoch seconds as a literal of the column's type. For zone-less
+    columns the wall clock is the UTC one, built as text so that the
+    session time zone plays no part; the literal folds into the scan
+    filter."""
+    if dtype.typeName() == "timestamp_ntz":
+        text = _dt.datetime.fromtimestamp(epoch, _dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        return F.lit(text).cast("timestamp_ntz")
+    return F.timestamp_seconds(F.lit(epoch))
+
+
 def duration_over_time(df: DataFrame, start_epoch=None, end_epoch=None,
                        digits: int | None = None) -> DataFrame:
     """Mean duration per (query, sample time), optionally inside a closed
@@ -48,9 +61,9 @@ def duration_over_time(df: DataFrame, start_epoch=None, end_epoch=None,
     applied before the aggregate and reaches the scan."""
     t = F.col("datetimeutc")
     if start_epoch is not None:
-        df = df.where(t >= F.timestamp_seconds(F.lit(start_epoch)).cast(df.schema["datetimeutc"].dataType))
+        df = df.where(t >= _epoch_bound(start_epoch, df.schema["datetimeutc"].dataType))
     if end_epoch is not None:
-        df = df.where(t <= F.timestamp_seconds(F.lit(end_epoch)).cast(df.schema["datetimeutc"].dataType))
+        df = df.where(t <= _epoch_bound(end_epoch, df.schema["datetimeutc"].dataType))
     return df.groupBy("query", "datetimeutc").agg(_r(F.avg("duration"), digits).alias("duration"))
 
 
@@ -87,7 +100,7 @@ def per_minute(df: DataFrame, ts: str = "query_start", text: str = "query",
     a map-side partial aggregate. With ``fill_gaps`` every minute between the
     first and the last appears, with count 0 and empty text.
     """
-    m = df.where(F.col(ts).isNotNull()).withColumn("minute", F.date_trunc("minute", F.col(ts)))
+    m = df.where(F.col(ts).isNotNull()).withColumn("minute", trunc_time("minute", df, ts))
     pairs = m.groupBy("minute", text).agg(F.count("*").alias("n"))
     item = F.concat(F.col(text), F.lit(" (x"), F.col("n").cast("string"), F.lit(")"))
     sep_sql = sep.replace("'", "''")
@@ -103,11 +116,23 @@ def per_minute(df: DataFrame, ts: str = "query_start", text: str = "query",
                     F.coalesce("queries", F.lit("")).alias("queries")))
 
 
+def trunc_time(unit: str, df: DataFrame, ts: str) -> Column:
+    """``date_trunc`` that keeps a zone-less column zone-less (Spark's
+    ``date_trunc`` returns a zoned TIMESTAMP)."""
+    t = F.date_trunc(unit, F.col(ts))
+    return t.cast("timestamp_ntz") if df.schema[ts].dataType.typeName() == "timestamp_ntz" else t
+
+
 def time_bounds(df: DataFrame, ts: str = "datetimeutc") -> DataFrame:
-    """Min and max sample time, and the same as epoch seconds."""
-    return df.agg(F.min(ts).alias("t_min"), F.max(ts).alias("t_max")).withColumns({
-        "epoch_min": F.unix_timestamp(F.col("t_min").cast("timestamp")),
-        "epoch_max": F.unix_timestamp(F.col("t_max").cast("timestamp"))})
+    """Min and max sample time, and the same as epoch seconds (zone-less
+    times are read as UTC wall clock, whatever the session zone)."""
+    b = df.agg(F.min(ts).alias("t_min"), F.max(ts).alias("t_max"))
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        ep = lambda c: F.timestamp_diff("SECOND", origin, F.col(c))
+    else:
+        ep = lambda c: F.unix_timestamp(F.col(c))
+    return b.withColumns({"epoch_min": ep("t_min"), "epoch_max": ep("t_max")})
 
 
 def day_marks(df: DataFrame, ts: str = "datetimeutc") -> DataFrame:
