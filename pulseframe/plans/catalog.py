@@ -1275,3 +1275,48 @@ def q_stream_message_count(spark, sf):
     counts = s.groupBy().agg(F.count("*").alias("processed"))
     out = run_available(counts, "update", "message-count")
     return out.agg(F.max_by("processed", "_batch").alias("processed"))
+
+
+# --------------------------------------------------------------------------
+# Model operators on the embedding vectors
+# --------------------------------------------------------------------------
+
+def _embedding_cols(spark, sf):
+    """Embedding table with one column per vector dimension."""
+    e = base_table(spark, sf, "embeddings")
+    dim = e.select(F.max(F.size("embedding"))).collect()[0][0] or 0
+    cols = [f"e{i}" for i in range(dim)]
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
+                                         for i, c in enumerate(cols)]), cols
+
+
+@register("embedding_isolation", None, "M6")
+def q_embedding_isolation(spark, sf):
+    from pulseframe.operators.models import IsolationForest
+    e, cols = _embedding_cols(spark, sf)
+    return IsolationForest(cols, "vec_id").fit(e).transform(e).select("vec_id", "label", "isolation_forest")
+
+
+@register("embedding_pca_error", None, "M5 M4")
+def q_embedding_pca_error(spark, sf):
+    from pulseframe.operators.models import PcaError
+    e, cols = _embedding_cols(spark, sf)
+    return PcaError(cols, k=8).fit(e).transform(e).select("vec_id", "label", "autoencoder")
+
+
+@register("embedding_knn_accuracy", None, "M11 M10 M17")
+def q_embedding_knn_accuracy(spark, sf):
+    from pulseframe.operators.models import KnnVote, accuracy, split_flag
+    e, cols = _embedding_cols(spark, sf)
+    train = e.where(split_flag("vec_id", 80)).orderBy("vec_id").limit(10_000)
+    m = KnnVote(cols, "label").fit(train, "vec_id")
+    pred = m.transform(e.where(~split_flag("vec_id", 80)))
+    return accuracy(pred, "label", "p_knn").withColumn("k", F.lit(m.k))
+
+
+@register("embedding_clusters", None, "M8")
+def q_embedding_clusters(spark, sf):
+    from pulseframe.operators.models import kmeans_clusters
+    e, cols = _embedding_cols(spark, sf)
+    out, _ = kmeans_clusters(e, cols, k=10, seed=42)
+    return out.groupBy("cluster", "label").agg(F.count("*").alias("n"))
