@@ -1320,3 +1320,42 @@ def q_embedding_clusters(spark, sf):
     e, cols = _embedding_cols(spark, sf)
     out, _ = kmeans_clusters(e, cols, k=10, seed=42)
     return out.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+@register("stream_detect_anomalies", None, "X2 X1 M20")
+def q_stream_detect_anomalies(spark, sf):
+    """Fit on the batch table, then score the event stream micro-batch by
+    micro-batch into a folder table, read back."""
+    import uuid
+
+    from pulseframe.plans.detector import AnomalyDetector
+    from pulseframe.session import scratch_path
+    from pulseframe.sources.fixtures import fixture_stream
+    from pulseframe.streaming import score_batches
+    det = AnomalyDetector(trees=20, rf_trees=(20,)).fit(fx(spark, sf, "activity"))
+    tag = "detect-" + uuid.uuid4().hex[:12]
+    out, ckpt = scratch_path(spark, tag + "/out"), scratch_path(spark, tag + "/ckpt")
+    cols = ["event_id", "type_anomalie", "anomaly_scores", "is_anomaly", "predicted_label"]
+    q = score_batches(fixture_stream(spark, sf, "activity", max_files=1),
+                      lambda b: det.transform(b).select(*cols), out, ckpt, {"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("scan_activity_csv", with_fixtures("activity") + """
+SELECT datetimeutc, pid, database_name, appname, user_name, client, cpu, memory, read_io, write_io,
+       duration, wait, io_wait, state, query FROM activity
+""", "S1 F1 F2")
+def q_scan_activity_csv(spark, sf):
+    """Write the activity fixture as a `;`-separated file with a header
+    (the sampler's format) under the shared folder, then read it back with
+    the activity reader."""
+    import uuid
+
+    from pulseframe.session import scratch_path
+    from pulseframe.sources.activity_lines import ACTIVITY_FIELDS, read_activity_csv
+    path = scratch_path(spark, "activity-csv-" + uuid.uuid4().hex[:12])
+    a = fx(spark, sf, "activity")
+    a.select(*[F.col(c).cast("string") for c in ACTIVITY_FIELDS + ["query"]]) \
+        .write.option("sep", ";").option("header", True).csv(path)
+    return read_activity_csv(spark, path).withColumn("datetimeutc", F.col("datetimeutc").cast("timestamp_ntz"))

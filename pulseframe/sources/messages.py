@@ -15,17 +15,24 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                 "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def encode_envelopes(df: DataFrame, type_query, snapshot_keys, payload_cols) -> DataFrame:
-    """One message per snapshot: (key, value) with value the JSON envelope
-    of the snapshot's rows. ``type_query`` is a column or a literal text.
-
-    A snapshot is one result set of one server poll, so its row count is
-    bounded by the source; the data array is built per snapshot key.
+def encode_envelopes(df: DataFrame, type_query, snapshot_keys, payload_cols,
+                     max_rows_per_message: int = 10_000) -> DataFrame:
+    """Messages of JSON envelopes ``{type_query, data: [row, ...]}``, one
+    per snapshot, or several when a snapshot has more than
+    ``max_rows_per_message`` rows: such a snapshot is split into
+    ``ceil(rows / max)`` chunks by a hash of the row, so no message (and no
+    task building one) grows with the snapshot. Decoding is unchanged: every
+    envelope of a snapshot explodes back to its rows. ``type_query`` is a
+    column or a literal text.
     """
     tq = F.lit(type_query) if isinstance(type_query, str) else type_query
     keys = list(snapshot_keys)
-    g = (df.withColumn("_tq", tq)
-         .groupBy(*keys, "_tq")
+    d = df.withColumn("_tq", tq)
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    chunks = F.greatest(F.ceil(F.col("_n") / F.lit(max_rows_per_message)), F.lit(1))
+    row_hash = F.xxhash64(*[F.col(c) for c in payload_cols])
+    d = d.join(sizes, keys).withColumn("_chunk", F.pmod(row_hash, chunks))
+    g = (d.groupBy(*keys, "_tq", "_chunk")
          .agg(F.sort_array(F.collect_list(F.struct(*payload_cols))).alias("data")))
     value = F.to_json(F.struct(F.col("_tq").alias("type_query"), F.col("data")), JSON_OPTIONS)
     key = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(999)).cast("string")

@@ -8,5 +8,5 @@ restarted query resumes where it stopped. Scoring uses fitted state only
 
 from pulseframe.streaming.activity_stream import (  # noqa: F401
     activity_line_stream, dedup_events, event_stream, minute_rollup, refit_every, run_available,
-    score_stream, stream_to_table,
+    score_batches, score_stream, stream_to_table,
 )

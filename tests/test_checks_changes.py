@@ -48,3 +48,27 @@ def test_envelope_round_trip(spark):
     assert msgs.count() == 2
     back = explode_envelopes(decode_envelopes(msgs, "ctx STRING, v DOUBLE"))
     assert sorted((r["ctx"], r["v"]) for r in back.collect()) == [("x", 1.0), ("y", 2.0), ("z", 3.0)]
+
+
+def test_large_snapshot_split_into_bounded_messages(spark):
+    df = spark.createDataFrame([(1, f"c{i}", float(i)) for i in range(7)] + [(2, "z", 9.0)],
+                               "snap int, ctx string, v double")
+    msgs = encode_envelopes(df, "pg_stat_context_io", ["snap"], ["ctx", "v"], max_rows_per_message=2)
+    decoded = decode_envelopes(msgs, "ctx STRING, v DOUBLE")
+    sizes = [len(r["data"]) for r in decoded.collect()]
+    assert sum(sizes) == 8 and len(sizes) >= 5
+    back = explode_envelopes(decoded)
+    assert sorted(r["ctx"] for r in back.collect()) == sorted([f"c{i}" for i in range(7)] + ["z"])
+
+
+def test_activity_line_stream(spark, tmp_path):
+    import os
+    from pulseframe.streaming import activity_line_stream, run_available
+    land = tmp_path / "landing"
+    land.mkdir()
+    lines = ['"2024-01-01 00:00:00";7;db;app;u;c;1.5;2;3;4;5;Y;N;active;"SELECT 1; SELECT 2"', "bad;line"]
+    (land / "f1.txt").write_text("\n".join(lines) + "\n")
+    good, rejected = activity_line_stream(spark, str(land))
+    out = run_available(good, "append", "test-lines").collect()
+    assert len(out) == 1 and out[0]["query"] == "SELECT 1; SELECT 2" and out[0]["pid"] == 7
+    assert os.path.isdir(land)
