@@ -303,8 +303,9 @@ class OneClassScore:
                        F.array(*[F.sum(F.col("s")[i]) for i in range(D)]).alias("s")).collect()[0]
         self.mu = np.asarray(tot["s"], dtype=float) / max(tot["n"], 1)
         self.offset = 0.0
-        raw = self._raw(df)
+        raw = self._raw(df.select(*cols)).persist()  # scored once for the quantile passes
         q = exact_quantiles(raw, [self.out], 1.0 - self.nu)[self.out]
+        raw.unpersist()
         self.offset = q or 0.0
         return self
 
@@ -429,7 +430,8 @@ def train_vote_models(train: DataFrame, cols, label: str = "label", seed: int =
                                 predictionCol="p_rf", probabilityCol="prob_rf", rawPredictionCol="raw_rf")
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(rf_trees)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="p_rf", metricName="accuracy")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed).fit(x)
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
+                        parallelism=min(len(grid) * folds, 4)).fit(x)
     return lr, cv.bestModel
 
 

@@ -1196,7 +1196,7 @@ def q_label_tree(spark, sf):
 def q_detect_anomalies(spark, sf):
     from pulseframe.plans.detector import AnomalyDetector
     a = fx(spark, sf, "activity")
-    det = AnomalyDetector(trees=50, rf_trees=(50, 100)).fit(a)
+    det = AnomalyDetector(trees=20, rf_trees=(20, 40)).fit(a)
     return det.transform(a).select("event_id", "type_anomalie", "autoencoder", "isolation_forest",
                                    "one_class_svm", "anomaly_scores", "is_anomaly", "predicted_label")
 
