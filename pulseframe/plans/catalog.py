@@ -1359,3 +1359,21 @@ def q_scan_activity_csv(spark, sf):
     a.select(*[F.col(c).cast("string") for c in ACTIVITY_FIELDS + ["query"]]) \
         .write.option("sep", ";").option("header", True).csv(path)
     return read_activity_csv(spark, path).withColumn("datetimeutc", F.col("datetimeutc").cast("timestamp_ntz"))
+
+
+@register("attach_scores", with_fixtures("activity") + f""",
+sc AS (SELECT event_id, cpu / (memory + 1e-6) AS cpu_memory_ratio,
+              cast(coalesce(cpu >= (SELECT avg(cpu) + 3 * stddev_samp(cpu) FROM activity), false) AS int) AS is_anomaly
+       FROM activity)
+SELECT a.event_id, a.query, a.cpu, sc.cpu_memory_ratio, sc.is_anomaly
+FROM activity a JOIN sc ON a.event_id = sc.event_id
+""", "J1")
+def q_attach_scores(spark, sf):
+    """Scores computed on their own branch meet the rows again by an equi
+    join on the stable row id (AQE picks the strategy from run-time
+    sizes)."""
+    from pulseframe.operators.thresholds import sigma_flags
+    a = fx(spark, sf, "activity")
+    sc = sigma_flags(a.select("event_id", "cpu", (F.col("cpu") / (F.col("memory") + F.lit(1e-6)))
+                              .alias("cpu_memory_ratio")), "cpu").drop("cpu")
+    return a.select("event_id", "query", "cpu").join(sc, "event_id")

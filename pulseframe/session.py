@@ -21,6 +21,20 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB inputs): shuffle partitions
+# start high and AQE coalesces them to ~256 MB; scans split at 256 MB; a
+# partition 5x the median and above 256 MB counts as skewed and is split.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(master: str | None = None, app: str = "pulseframe",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -33,6 +47,8 @@ def get_spark(master: str | None = None, app: str = "pulseframe",
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if not master or not master.startswith("local"):
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -79,8 +95,15 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, f"pyfiles-{os.getpid()}-{id(spark)}")
-    os.makedirs(target, exist_ok=True)
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        # Shared storage is not a local path: build the code archive on the
+        # driver; addPyFile serves it to the executors (as --py-files does).
+        target = tempfile.mkdtemp(prefix="pulseframe-pyfiles-")
+    else:
+        target = os.path.join(base.replace("file://", "").replace("file:", ""),
+                              f"pyfiles-{os.getpid()}-{id(spark)}")
+        os.makedirs(target, exist_ok=True)
     zpath = os.path.join(target, "pulseframe.zip")
     with zipfile.ZipFile(zpath, "w") as z:
         for root, _, files in os.walk(pkg_dir):

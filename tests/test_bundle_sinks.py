@@ -55,3 +55,18 @@ def test_refit_every(spark, sf_small):
     assert calls == [1000]
     counter = spark.read.parquet(ckpt + "_rowcount").collect()[0]
     assert counter["n"] == 1000
+
+
+def test_publish_and_stream_to_table(spark, sf_small):
+    from pulseframe.sources.sinks import publish
+    from pulseframe.streaming import stream_to_table
+    loc = tempfile.mkdtemp(prefix="pf-pub-")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS pf_pub LOCATION '{loc}'")
+    df = fixture(spark, sf_small, "stat_io").groupBy("context").agg(F.sum("reads").alias("r"))
+    publish(df, "pf_pub.io_ctx")
+    assert spark.table("pf_pub.io_ctx").count() == df.count()
+    base = tempfile.mkdtemp(prefix="pf-sink-")
+    s = fixture_stream(spark, sf_small, "activity").select("event_id", "query")
+    q = stream_to_table(s, base + "/out", base + "/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert spark.read.parquet(base + "/out").count() == fixture(spark, sf_small, "activity").count()
