@@ -3,12 +3,15 @@ column into one task.
 
 Spark's ``percentile`` is exact but keeps every distinct value of the column
 in one aggregation buffer; ``percentile_approx`` is bounded but does not
-equal pandas' ``quantile``. This module brackets the target ranks with the
-approximate sketch, counts the rows below the bracket, and narrows until the
-distinct values left in the bracket are few; only then are the values of
-the bracket ranked, per metric. Every pass is a partial (map-side)
-aggregate, so a hot value or metric never lands in one task whole. The only
-driver-side data are per-metric bounds (one row per metric).
+equal pandas' ``quantile`` (and is slow). This module narrows by exact
+histograms: one pass gets count, min and max per metric; each round then
+counts rows per equal-width bucket (a plain hash aggregate with map-side
+partial aggregation, ``buckets`` groups per metric) and keeps only the
+bucket(s) holding the wanted ranks, with the exact number of rows below
+them. When few rows are left, their distinct values are ranked. A hot value
+collapses into one (metric, value) group, so nothing gathers in one task.
+The only driver-side data are per-metric counts (at most ``buckets`` rows
+per metric per round).
 
 The quantile of ``n`` non-null values at ``p`` is
 ``v[k] + (v[k+1] - v[k]) * f`` where ``h = (n - 1) * p``, ``k = floor(h)``,
@@ -20,13 +23,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ACCURACY = 10000
-FINISH_DISTINCT = 200_000
+BUCKETS = 16384
+FINISH_ROWS = 200_000
+# Up to this many values per metric, Spark's exact ``percentile`` is used
+# directly: its buffer holds at most this many distinct values.
+DIRECT_MAX = 2_000_000
 
 
 def to_long(df: DataFrame, cols) -> DataFrame:
@@ -37,75 +43,112 @@ def to_long(df: DataFrame, cols) -> DataFrame:
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def exact_quantiles(df: DataFrame, cols, p: float, accuracy: int = ACCURACY,
-                    finish_distinct: int = FINISH_DISTINCT, max_rounds: int = 8) -> dict:
-    """{column: exact p-quantile} (None for an all-null column)."""
+def _bucket(lo: float, width: float, buckets: int) -> Column:
+    """Bucket 0..buckets-1 of v for the range starting at ``lo``; values
+    beyond the range (and infinities) fall in the edge buckets."""
+    v = F.col("v")
+    if width <= 0 or not math.isfinite(width):
+        return F.when(v <= F.lit(lo), F.lit(0)).otherwise(F.lit(buckets - 1))
+    raw = F.floor((v - F.lit(lo)) / F.lit(width))
+    return F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
+def _round_filter(chosen: dict, buckets: int) -> Column:
+    """Rows of this round's chosen buckets, per metric (one level)."""
+    expr = None
+    for c, (lo, width, b1, b2) in chosen.items():
+        cond = (F.col("metric") == F.lit(c)) & _bucket(lo, width, buckets).between(b1, b2)
+        expr = cond if expr is None else expr | cond
+    return expr
+
+
+def exact_quantiles(df: DataFrame, cols, p: float, buckets: int = BUCKETS,
+                    finish_rows: int = FINISH_ROWS, max_rounds: int = 12,
+                    accuracy: int | None = None, finish_distinct: int | None = None,
+                    direct_max: int = DIRECT_MAX) -> dict:
+    """{column: exact p-quantile} (None for an all-null column).
+
+    Metrics with at most ``direct_max`` values (counted first) use Spark's
+    exact ``percentile`` in one aggregate, whose buffer is then bounded;
+    larger ones are narrowed by histograms."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must lie in [0, 1]")
+    if finish_distinct is not None:  # older name of finish_rows
+        finish_rows = finish_distinct
     cols = list(cols)
-    spark = df.sparkSession
     long = to_long(df, cols)
-    counts = {r["metric"]: r["n"] for r in
-              long.groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    finite = F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))
+    stats = {r["metric"]: r for r in long.groupBy("metric").agg(
+        F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
     result = {c: None for c in cols}
-    # state per metric: bracket [lo, hi] (None = unbounded), the number of
-    # rows below the bracket, the 0-based ranks wanted, rows inside.
+    small = [c for c in cols if stats.get(c) is not None and 0 < stats[c]["n"] <= direct_max]
+    if small:
+        row = long.where(F.col("metric").isin(small)).groupBy("metric").agg(
+            F.percentile("v", F.lit(p)).alias("q")).collect()
+        result.update({r["metric"]: r["q"] for r in row})
     state = {}
     for c in cols:
-        n = counts.get(c, 0)
-        if n == 0:
+        r = stats.get(c)
+        if r is None or r["n"] == 0 or c in small:
             continue
+        n = r["n"]
         h = (n - 1) * p
         k = int(math.floor(h))
-        state[c] = {"lo": None, "hi": None, "below": 0, "k": k,
-                    "k2": min(k + 1, n - 1), "f": h - k, "inside": n}
-    grid_n = 1000
-    grid = [i / grid_n for i in range(grid_n + 1)]
-    slack = 2.0 / accuracy
+        lo = r["lo"] if r["lo"] is not None else 0.0
+        hi = r["hi"] if r["hi"] is not None else 0.0
+        state[c] = {"k": k, "k2": min(k + 1, n - 1), "f": h - k, "below": 0, "inside": n,
+                    "lo": lo, "hi": hi, "chain": [], "buckets": buckets}
+    # Each round keeps only the chosen buckets' rows (persisted: a small
+    # slice of the data), so later rounds and the ranking read the slice and
+    # every filter stays one level deep. Lost cached blocks are recomputed
+    # from lineage.
+    current, cached = long, []
     for _ in range(max_rounds):
-        open_ = {c: s for c, s in state.items() if s["inside"] > finish_distinct}
+        open_ = {c: s for c, s in state.items() if s["inside"] > finish_rows and s["hi"] > s["lo"]}
         if not open_:
             break
-        inside = _inside(long, _bounds_df(spark, open_))
-        sketches = {r["metric"]: r["g"] for r in inside.groupBy("metric").agg(
-            F.percentile_approx("v", F.array(*[F.lit(g) for g in grid]), accuracy).alias("g")
-        ).collect()}
-        cand = {}
+        width = {c: (s["hi"] - s["lo"]) / buckets for c, s in open_.items()}
+        bexpr = None
         for c, s in open_.items():
-            g = sketches[c]
-            span = max(s["inside"] - 1, 1)
-            a = max(int(math.floor(((s["k"] - s["below"]) / span - slack) * grid_n)), 0)
-            b = min(int(math.ceil(((s["k2"] - s["below"]) / span + slack) * grid_n)), grid_n)
-            cand[c] = (g[a], g[b])
-        cdf = spark.createDataFrame([(c, a, b) for c, (a, b) in cand.items()],
-                                    "metric string, lo2 double, hi2 double")
-        chk = {r["metric"]: r for r in
-               inside.join(F.broadcast(cdf), "metric").groupBy("metric").agg(
-                   F.count_if(F.col("v") < F.col("lo2")).alias("lt"),
-                   F.count_if(F.col("v") <= F.col("hi2")).alias("le"),
-                   F.count("*").alias("tot")).collect()}
-        for c, (lo2, hi2) in cand.items():
-            s, r = state[c], chk[c]
-            lo_ok = s["below"] + r["lt"] <= s["k"]
-            hi_ok = s["below"] + r["le"] > s["k2"]
-            inside_n = r["tot"]
-            if lo_ok:
-                s["lo"] = lo2
-                s["below"] += r["lt"]
-                inside_n -= r["lt"]
-            if hi_ok:
-                s["hi"] = hi2
-                inside_n -= r["tot"] - r["le"]
-            # No progress (heavy ties, or a missed sketch on both sides):
-            # finish now; the finish step is exact whatever the size.
-            s["inside"] = 0 if inside_n >= s["inside"] else inside_n
-    # Finish: rank the distinct values inside each bracket.
+            bk = _bucket(s["lo"], width[c], buckets)
+            bexpr = F.when(F.col("metric") == F.lit(c), bk) if bexpr is None else bexpr.when(F.col("metric") == F.lit(c), bk)
+        counts = (current.where(F.col("metric").isin(list(open_))).groupBy("metric", bexpr.alias("b"))
+                  .agg(F.count("*").alias("cnt")).collect())
+        per = {}
+        for r in counts:
+            per.setdefault(r["metric"], {})[r["b"]] = r["cnt"]
+        chosen = {}
+        for c, s in open_.items():
+            hist = per.get(c, {})
+            acc, b1, b2, below_b1 = s["below"], None, None, None
+            for b in range(buckets):
+                cnt = hist.get(b, 0)
+                if b1 is None and acc + cnt > s["k"]:
+                    b1, below_b1 = b, acc
+                if acc + cnt > s["k2"]:
+                    b2 = b
+                    break
+                acc += cnt
+            b2 = b2 if b2 is not None else buckets - 1
+            b1 = b1 if b1 is not None else b2
+            w = width[c]
+            chosen[c] = (s["lo"], w, b1, b2)
+            s["below"] = below_b1
+            s["inside"] = sum(hist.get(b, 0) for b in range(b1, b2 + 1))
+            new_lo, new_hi = s["lo"] + b1 * w, s["lo"] + (b2 + 1) * w
+            if not (new_hi - new_lo < s["hi"] - s["lo"]):
+                s["hi"] = s["lo"]  # no narrowing possible: finish now
+            else:
+                s["lo"], s["hi"] = new_lo, new_hi
+        keep = _round_filter(chosen, buckets) | ~F.col("metric").isin(list(chosen))
+        current = current.where(keep).persist()
+        cached.append(current)
+    # Finish: rank the distinct values left in each bracket.
     if state:
-        bounds = _bounds_df(spark, state)
-        inside = _inside(long, bounds)
-        bel = spark.createDataFrame([(c, s["below"], s["k"], s["k2"], s["f"]) for c, s in state.items()],
-                                    "metric string, below long, k long, k2 long, f double")
-        grouped = inside.groupBy("metric", "v").agg(F.count("*").alias("cnt"))
+        spark = df.sparkSession
+        bel = spark.createDataFrame([(c, s["below"], s["k"], s["k2"]) for c, s in state.items()],
+                                    "metric string, below long, k long, k2 long")
+        grouped = current.groupBy("metric", "v").agg(F.count("*").alias("cnt"))
         w = Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = (grouped.join(F.broadcast(bel), "metric")
                   .withColumn("upto", F.col("below") + F.sum("cnt").over(w))
@@ -113,34 +156,17 @@ def exact_quantiles(df: DataFrame, cols, p: float, accuracy: int = ACCURACY,
         picked = ranked.where(
             ((F.col("k") >= F.col("first_rank")) & (F.col("k") < F.col("upto")))
             | ((F.col("k2") >= F.col("first_rank")) & (F.col("k2") < F.col("upto"))))
-        rows = picked.select("metric", "v", "first_rank", "upto", "k", "k2", "f").collect()
+        rows = picked.select("metric", "v", "first_rank", "upto").collect()
         for c, s in state.items():
             mine = [r for r in rows if r["metric"] == c]
             vk = next(r["v"] for r in mine if r["first_rank"] <= s["k"] < r["upto"])
             vk2 = next(r["v"] for r in mine if r["first_rank"] <= s["k2"] < r["upto"])
-            result[c] = vk + (vk2 - vk) * s["f"]
+            result[c] = vk if vk == vk2 else vk + (vk2 - vk) * s["f"]
+    for c in cached:
+        c.unpersist()
     return result
 
 
-def _bounds_df(spark: SparkSession, state: dict) -> DataFrame:
-    rows = []
-    for c, s in state.items():
-        rows.append((c, s["lo"], s["hi"]))
-    schema = T.StructType([T.StructField("metric", T.StringType()),
-                           T.StructField("lo", T.DoubleType()),
-                           T.StructField("hi", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
-
-
-def _inside(long: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows of ``long`` inside their metric's bracket. ``bounds`` has one row
-    per metric, so broadcasting it is bounded by the number of columns."""
-    j = long.join(F.broadcast(bounds), "metric")
-    cond = (F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) & \
-           (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
-    return j.where(cond).select("metric", "v")
-
-
 def quantile_table(df: DataFrame, cols, p: float, approx: bool = False,
                    accuracy: int = ACCURACY) -> DataFrame:
     """(metric, quantile) DataFrame; ``approx`` uses the sketch only."""

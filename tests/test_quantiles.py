@@ -14,8 +14,10 @@ def test_matches_pandas(spark, p):
     pdf = pd.DataFrame({"a": a, "b": b, "c": c})
     df = spark.createDataFrame(pdf)
     got = exact_quantiles(df, ["a", "b", "c"], p)
+    narrowed = exact_quantiles(df, ["a", "b", "c"], p, direct_max=0, finish_rows=100, buckets=32)
     for col in "abc":
         assert got[col] == pytest.approx(pdf[col].quantile(p), rel=1e-12, abs=1e-12)
+        assert narrowed[col] == pytest.approx(pdf[col].quantile(p), rel=1e-12, abs=1e-12)
 
 
 def test_narrowing_rounds(spark):
@@ -23,7 +25,7 @@ def test_narrowing_rounds(spark):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"x": rng.normal(size=20000), "y": rng.integers(0, 3, size=20000).astype(float)})
     df = spark.createDataFrame(pdf)
-    got = exact_quantiles(df, ["x", "y"], 0.95, finish_distinct=50)
+    got = exact_quantiles(df, ["x", "y"], 0.95, finish_rows=50, buckets=16, direct_max=0)
     assert got["x"] == pytest.approx(pdf["x"].quantile(0.95), rel=1e-12)
     assert got["y"] == pytest.approx(pdf["y"].quantile(0.95), rel=1e-12)
 
@@ -32,3 +34,13 @@ def test_all_null_and_single(spark):
     df = spark.createDataFrame([(None, 3.0)], "a double, b double")
     got = exact_quantiles(df, ["a", "b"], 0.95)
     assert got == {"a": None, "b": 3.0}
+
+
+def test_infinities_and_hot_value(spark):
+    vals = [float("-inf")] * 5 + [1.0] * 3000 + list(np.linspace(0, 10, 500)) + [float("inf")] * 7
+    pdf = pd.DataFrame({"x": vals})
+    df = spark.createDataFrame(pdf)
+    for p in (0.3, 0.5, 0.95):
+        got = exact_quantiles(df, ["x"], p, finish_rows=20, buckets=8, direct_max=0)["x"]
+        assert got == pytest.approx(pdf["x"].quantile(p), rel=1e-12)
+    assert exact_quantiles(df, ["x"], 0.999, finish_rows=20, buckets=8, direct_max=0)["x"] == float("inf")
