@@ -347,7 +347,9 @@ SELECT event_id, {_NORMALIZE_SQL} AS normalized FROM activity
 """, "F6")
 def q_normalize_query(spark, sf):
     from pulseframe.functions.text import normalize_query
-    return fx(spark, sf, "activity").select("event_id", normalize_query("query").alias("normalized"))
+    from pulseframe.operators.textfeatures import per_distinct_text
+    a = fx(spark, sf, "activity").select("event_id", "query")
+    return per_distinct_text(a, "query", normalize_query, "normalized").select("event_id", "normalized")
 
 
 _SHAPE_SQL = """length(query) AS query_length,
@@ -914,8 +916,9 @@ def _normalized(spark, sf):
 SELECT event_id, term, count(*) AS tf FROM tok GROUP BY event_id, term
 """, "M1")
 def q_term_counts(spark, sf):
+    from pulseframe.functions.text import normalize_query
     from pulseframe.operators.textfeatures import term_counts
-    return term_counts(_normalized(spark, sf), "event_id", "q")
+    return term_counts(fx(spark, sf, "activity"), "event_id", "query", preprocess=normalize_query, dedup=True)
 
 
 @register("tfidf", with_fixtures("activity") + _NORM_CTE + f""",
@@ -927,9 +930,10 @@ SELECT event_id, term, tf, round(idf, {D}) AS idf,
 FROM w
 """, "M2")
 def q_tfidf(spark, sf):
+    from pulseframe.functions.text import normalize_query
     from pulseframe.operators.textfeatures import Tfidf
-    d = _normalized(spark, sf)
-    out = Tfidf("event_id", "q").fit_transform(d)
+    d = fx(spark, sf, "activity").select("event_id", "query")
+    out = Tfidf("event_id", "query", preprocess=normalize_query, dedup=True).fit_transform(d)
     return out.select("event_id", "term", "tf", F.round("idf", D).alias("idf"), F.round("weight", D).alias("weight"))
 
 
