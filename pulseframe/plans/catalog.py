@@ -992,7 +992,7 @@ def _lexicon_df(spark):
 def q_lexicon_score(spark, sf):
     from pulseframe.operators.textfeatures import lexicon_scores
     return lexicon_scores(fx(spark, sf, "activity"), "event_id", "query", _lexicon_df(spark),
-                          pattern="[a-z][a-z]+")
+                          pattern="[a-z][a-z]+", dedup=True)
 
 
 @register("document_sentiment", "WITH x AS (SELECT 1)" + _lexicon_score_sql("documents", "doc_id", "text"), "M3")
