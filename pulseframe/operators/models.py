@@ -468,18 +468,24 @@ __all__ = ["Standardizer", "standardize", "PcaError", "IsolationForest", "OneCla
 # M11: k nearest neighbours vote against a bounded reference set
 # --------------------------------------------------------------------------
 
-def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, chunk: int = 2048) -> dict:
+def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int = 16_000_000) -> dict:
     """Majority label of the k nearest reference rows, for each k (exact,
-    ties in distance by reference order, vote ties to the smaller label)."""
+    ties in distance by reference order, vote ties to the smaller label).
+    Squared distances use |x|^2 + |r|^2 - 2 x.r, one (chunk x reference)
+    matrix at a time of at most ``max_cells`` entries."""
     out = {k: np.zeros(len(X), dtype=np.int64) for k in ks}
+    if len(X) == 0:
+        return out
     kmax = max(ks)
     labels = np.unique(y)
+    r2 = (R * R).sum(axis=1)
+    chunk = max(1, max_cells // max(len(R), 1))
+    kk = min(kmax, len(R))
     for s in range(0, len(X), chunk):
         xb = X[s:s + chunk]
-        d = ((xb[:, None, :] - R[None, :, :]) ** 2).sum(axis=2)
-        kk = min(kmax, len(R))
+        d = (xb * xb).sum(axis=1)[:, None] + r2[None, :] - 2.0 * (xb @ R.T)
         near = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(R) else np.argsort(d, axis=1)
-        order = np.take_along_axis(d, near, axis=1).argsort(axis=1, kind="stable")
+        order = np.lexsort((near, np.take_along_axis(d, near, axis=1)), axis=1)
         near = np.take_along_axis(near, order, axis=1)
         ny = y[near]
         for k in ks:

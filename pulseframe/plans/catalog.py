@@ -1343,7 +1343,7 @@ def q_stream_detect_anomalies(spark, sf):
     q = score_batches(fixture_stream(spark, sf, "activity", max_files=1),
                       lambda b: det.transform(b).select(*cols), out, ckpt, {"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select(*cols)
 
 
 @register("scan_activity_csv", with_fixtures("activity") + """
