@@ -10,17 +10,25 @@ from pulseframe.functions.labels import anomaly_labels
 from pulseframe.functions.metrics import metric_ratios, time_features, wait_flags
 from pulseframe.functions.text import query_shape
 from pulseframe.operators.thresholds import OutlierThresholds
-from pulseframe.operators.windows import io_wait_count, query_duration_profile
+from pulseframe.operators.windows import io_wait_count
 
 
-def base_features(df: DataFrame, ts: str = "datetimeutc") -> DataFrame:
-    """Row-local and group features (no fitted state)."""
+def base_features(df: DataFrame, ts: str = "datetimeutc", q: str = "query") -> DataFrame:
+    """Row-local and group features (no fitted state).
+
+    Everything that depends on the query text alone -- mean and max
+    duration of the text, and the shape features (length, keyword flags,
+    JOIN count, complexity) -- is computed on one per-text table (a partial
+    aggregate, so a hot text costs one row per task) and joined back once:
+    the regexes run per distinct text, not per row."""
+    per_text = query_shape(df.groupBy(q).agg(F.avg("duration").alias("avg_query_duration"),
+                                             F.max("duration").alias("max_query_duration")), q)
     df = io_wait_count(df, ts)
     df = time_features(df, ts)
-    df = query_duration_profile(df)
+    df = df.join(per_text, df[q] == per_text[q], "left").select(
+        df["*"], *[per_text[c] for c in per_text.columns if c != q])
     df = wait_flags(df)
-    df = metric_ratios(df)
-    return query_shape(df)
+    return metric_ratios(df)
 
 
 def labelled(df: DataFrame, thresholds: OutlierThresholds | None = None) -> tuple[DataFrame, OutlierThresholds]:
@@ -28,6 +36,8 @@ def labelled(df: DataFrame, thresholds: OutlierThresholds | None = None) -> tupl
     label text ``type_anomalie``."""
     feats = base_features(df)
     if thresholds is None:
-        thresholds = OutlierThresholds().fit(feats)
+        # The thresholds need only the metrics and their ratios: fit on
+        # those columns alone, so no quantile pass recomputes the joins.
+        thresholds = OutlierThresholds().fit(metric_ratios(df))
     out = thresholds.transform(feats).withColumn("type_anomalie", anomaly_labels())
     return out, thresholds
