@@ -352,7 +352,7 @@ def q_normalize_query(spark, sf):
     return per_distinct_text(a, "query", normalize_query, "normalized").select("event_id", "normalized")
 
 
-_SHAPE_SQL = """length(query) AS query_length,
+_SHAPE_SQL = """cast(length(query) AS int) AS query_length,
   cast(regexp_matches(query, '(?i)JOIN') AS int) AS has_join,
   cast(regexp_matches(query, '(?i)SELECT.*SELECT') AS int) AS has_subselect,
   cast(regexp_matches(query, '(?i)UNION') AS int) AS has_union,
