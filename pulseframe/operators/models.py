@@ -20,7 +20,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegressio
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -461,7 +461,7 @@ class LabelTree:
 __all__ = ["Standardizer", "standardize", "PcaError", "IsolationForest", "OneClassScore",
            "kmeans_clusters", "nearest_centroid_distance", "centroid_outliers", "split_flag",
            "majority_vote", "accuracy", "binary_metrics", "weighted_metrics", "probability_cut",
-           "train_vote_models", "LabelTree", "array_to_vector"]
+           "train_vote_models", "LabelTree", "KnnVote"]
 
 
 # --------------------------------------------------------------------------
