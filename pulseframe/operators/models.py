@@ -484,9 +484,18 @@ def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int =
     for s in range(0, len(X), chunk):
         xb = X[s:s + chunk]
         d = (xb * xb).sum(axis=1)[:, None] + r2[None, :] - 2.0 * (xb @ R.T)
-        near = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(R) else np.argsort(d, axis=1)
-        order = np.lexsort((near, np.take_along_axis(d, near, axis=1)), axis=1)
-        near = np.take_along_axis(near, order, axis=1)
+        if kk < len(R):
+            near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            order = np.lexsort((near, np.take_along_axis(d, near, axis=1)), axis=1)
+            near = np.take_along_axis(near, order, axis=1)
+            # rows whose k-th distance is tied beyond the cut: rank them in
+            # full (stable: equal distances by reference order)
+            kth = np.take_along_axis(d, near[:, -1:], axis=1)
+            tied = np.where((d <= kth).sum(axis=1) > kk)[0]
+            for i in tied:
+                near[i] = np.argsort(d[i], kind="stable")[:kk]
+        else:
+            near = np.argsort(d, axis=1, kind="stable")
         ny = y[near]
         for k in ks:
             kk2 = min(k, ny.shape[1])

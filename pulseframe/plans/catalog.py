@@ -1381,3 +1381,34 @@ def q_attach_scores(spark, sf):
     sc = sigma_flags(a.select("event_id", "cpu", (F.col("cpu") / (F.col("memory") + F.lit(1e-6)))
                               .alias("cpu_memory_ratio")), "cpu").drop("cpu")
     return a.select("event_id", "query", "cpu").join(sc, "event_id")
+
+
+_KNN_SPLIT = "2024-01-20 00:00:00"
+_KNN_COLS = ["cast(round(cpu * 100) AS double) AS x1", "cast(round(memory * 10) AS double) AS x2",
+             "cast(round(duration * 100) AS double) AS x3"]
+_KNN_FEATURES = ", ".join(_KNN_COLS)
+
+
+@register("knn_vote_k5", with_fixtures("activity") + f""",
+p AS (SELECT event_id, datetimeutc, {_KNN_FEATURES}, CASE WHEN io_wait = 'Y' THEN 1 ELSE 0 END AS label FROM activity),
+tr AS (SELECT * FROM p WHERE datetimeutc < TIMESTAMP '{_KNN_SPLIT}' ORDER BY event_id LIMIT 10000),
+te AS (SELECT * FROM p WHERE datetimeutc >= TIMESTAMP '{_KNN_SPLIT}'),
+d AS (SELECT te.event_id, tr.label,
+             row_number() OVER (PARTITION BY te.event_id
+               ORDER BY (te.x1 - tr.x1) * (te.x1 - tr.x1) + (te.x2 - tr.x2) * (te.x2 - tr.x2)
+                        + (te.x3 - tr.x3) * (te.x3 - tr.x3), tr.event_id) AS rn
+      FROM te, tr),
+v AS (SELECT event_id, label, count(*) AS votes FROM d WHERE rn <= 5 GROUP BY event_id, label),
+w AS (SELECT event_id, label, row_number() OVER (PARTITION BY event_id ORDER BY votes DESC, label) AS r FROM v)
+SELECT event_id, label AS p_knn FROM w WHERE r = 1
+""", "M11")
+def q_knn_vote_k5(spark, sf):
+    """Exact 5-NN vote of test rows (time split) against the training slice
+    (first 10,000 training rows by id); checked against brute force SQL."""
+    from pulseframe.operators.models import KnnVote
+    a = fx(spark, sf, "activity").selectExpr("event_id", "datetimeutc", *_KNN_COLS,
+                                            "CASE WHEN io_wait = 'Y' THEN 1 ELSE 0 END AS label")
+    cut = F.lit(_KNN_SPLIT).cast("timestamp_ntz")
+    train = a.where(F.col("datetimeutc") < cut).orderBy("event_id").limit(10_000)
+    m = KnnVote(["x1", "x2", "x3"], "label", ks=[5]).fit(train, "event_id")
+    return m.transform(a.where(F.col("datetimeutc") >= cut)).select("event_id", "p_knn")
