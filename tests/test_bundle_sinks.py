@@ -70,3 +70,18 @@ def test_publish_and_stream_to_table(spark, sf_small):
     q = stream_to_table(s, base + "/out", base + "/ckpt", trigger={"availableNow": True})
     q.awaitTermination()
     assert spark.read.parquet(base + "/out").count() == fixture(spark, sf_small, "activity").count()
+
+
+def test_score_and_refit_versions(spark, sf_small):
+    from pulseframe.streaming.refit import latest_version, score_and_refit
+    base = tempfile.mkdtemp(prefix="pf-refit-")
+    a = fixture(spark, sf_small, "activity")
+    make = lambda: AnomalyDetector(train_rows=500, trees=5, rf_trees=(5,))
+    make().fit(a.orderBy("event_id").limit(300)).save(spark, base + "/models/v=0")
+    s = fixture_stream(spark, sf_small, "activity")
+    q = score_and_refit(s, base + "/models", base + "/history", base + "/out", base + "/ckpt",
+                        every_rows=600, make_detector=make, trigger={"availableNow": True})
+    q.awaitTermination()
+    assert latest_version(spark, base + "/models") == 1
+    out = spark.read.parquet(base + "/out")
+    assert out.count() == a.count() and "predicted_label" in out.columns
