@@ -31,10 +31,8 @@ def main() -> None:
     spark = get_spark("local[8]", shuffle_partitions=16)
     e = spark.read.parquet(f"{src}/events.parquet")
     span = e.agg(F.max("event_id") + 1).collect()[0][0]
-    rep = spark.range(copies).withColumnRenamed("id", "r")
-    # every source row once per copy: an equi join on a constant key with
-    # the copies table (N rows, broadcast)
-    big = e.withColumn("_k", F.lit(1)).join(F.broadcast(rep.withColumn("_k", F.lit(1))), "_k").select(
+    # every source row once per copy: explode a copy number per row
+    big = e.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(
         (F.col("event_id") + F.col("r") * span).alias("event_id"),
         (F.col("ts") + F.col("r") * F.expr("INTERVAL 7 MINUTES")).alias("ts"),
         ((F.col("user_id") * 7 + F.col("r")) % 15000).alias("user_id"), "event_type", "value", "props")
