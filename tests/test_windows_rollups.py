@@ -63,3 +63,19 @@ def test_align_features(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     r = align_features(df, ["b", "x", "b", "a"])
     assert r.columns == ["b", "x", "a"] and tuple(r.collect()[0]) == (2.0, 0, 1.0)
+
+
+def test_active_queries_display(spark):
+    from pulseframe.operators.rollups import active_queries_display
+    df = spark.createDataFrame([("q1", "active", 1.5), ("q2", "idle", 2.0)], "query string, state string, duration double")
+    r = [tuple(x) for x in active_queries_display(df).collect()]
+    assert r == [("q1", "Running", "1.5 second")]
+
+
+def test_run_named_sources(spark, sf_small):
+    from pulseframe.plans.catalog import REGISTRY
+    from pulseframe.sources.sinks import run_named
+    out = run_named({n: REGISTRY[n].build for n in ["io_by_context", "io_by_backend", "latest_snapshot"]},
+                    spark, sf_small)
+    assert set(out) == {"io_by_context", "io_by_backend", "latest_snapshot"}
+    assert out["io_by_context"].count() == 3 and out["io_by_backend"].count() == 2
