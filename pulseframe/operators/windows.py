@@ -26,7 +26,11 @@ def attach_group_stats(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFram
 
 def io_wait_count(df: DataFrame, ts: str = "datetimeutc", flag: str = "io_wait",
                   name: str = "avg_io_wait_time") -> DataFrame:
-    """Number of rows with ``flag = 'Y'`` at the same sample time, on each row."""
+    """Number of rows with ``flag = 'Y'`` at the same sample time, on each row.
+
+    A sample time has few rows, so the per-time table is about as large as
+    the data: this is a shuffle join on the time (one exchange of the rows),
+    never a broadcast, and a hot time is split by the skew join."""
     return attach_group_stats(df, [ts], {name: F.count_if(F.col(flag) == "Y")})
 
 
