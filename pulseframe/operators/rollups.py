@@ -109,8 +109,16 @@ def per_minute(df: DataFrame, ts: str = "query_start", text: str = "query",
         F.expr(f"listagg(_item, '{sep_sql}') WITHIN GROUP (ORDER BY `{text}`)").alias("queries"))
     if not fill_gaps:
         return out
+    # The minute grid is built in two steps so that no single task expands
+    # the whole time span: hours first (a small table, spread round-robin
+    # over the shuffle partitions), then each hour's minutes in parallel.
     bounds = m.agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    grid = bounds.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
+    hour0 = F.date_trunc("hour", F.col("a")).cast(m.schema["minute"].dataType)
+    hours = bounds.select("a", "b", F.explode(F.sequence(hour0, F.col("b"), F.expr("INTERVAL 1 HOUR"))).alias("h"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = hours.repartition(parts).select(F.explode(F.sequence(
+        F.greatest("h", "a"), F.least(F.col("h") + F.expr("INTERVAL 59 MINUTES"), F.col("b")),
+        F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
     return (grid.join(out, "minute", "left")
             .select("minute", F.coalesce("query_count", F.lit(0).cast("bigint")).alias("query_count"),
                     F.coalesce("queries", F.lit("")).alias("queries")))
