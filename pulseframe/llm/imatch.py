@@ -32,7 +32,7 @@ from pulseframe.llm.tables import stash, text_or_empty
 
 LOW, HIGH = 0.001, 0.2          # document frequency band as shares of N
 MIN_IDF, MAX_IDF = math.log(1 / HIGH), math.log(1 / LOW)
-FAMILIES, LEVELS = 13, 4
+FAMILIES, LEVELS = 13, 5
 BROADCAST_TERMS = 1_000_000
 
 
