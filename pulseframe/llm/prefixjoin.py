@@ -47,6 +47,15 @@ PARITY = ("q0", "q1", "q2", "q3")
 BROADCAST_IDS = 1_000_000  # candidate ids sent to every executor at most (8 MB)
 
 
+SLICE = 500  # rows whose sets are held at once
+
+
+def slices(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def _sketch_slot(s: np.ndarray, bits: int) -> np.ndarray:
     return (s >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -94,29 +103,23 @@ def prefix_table(docs: DataFrame, percent: int, words: int, bits: int) -> DataFr
 
     def rows(batches):
         counts = order.value
-        for b in batches:
-            ids = b.column("id")
-            out = {k: [] for k in ("row", "n", "sd", "key", "pd", "prefix", "parity")}
-            for i, s in shingle_sets(b.column("text"), words):
-                sd = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                n = len(s)
-                keep = n - (percent * n + 99) // 100 + 1 if n else 0
-                pre = s[np.lexsort((s, counts[_sketch_slot(s, bits)]))[:keep]] if n else s
-                out["row"].append(i)
-                out["n"].append(n)
-                out["sd"].append(sd)
-                out["key"].append(int.from_bytes(sd[:8], "little", signed=True))
-                out["pd"].append(int.from_bytes(hashlib.blake2b(pre.tobytes(), digest_size=8).digest(), "little", signed=True))
-                out["prefix"].append(pre.view(np.int64))
-                out["parity"].append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
-            lens = [len(p) for p in out["prefix"]]
-            flat = np.concatenate(out["prefix"]) if lens else np.zeros(0, np.int64)
-            parity = np.concatenate(out["parity"] or [np.zeros(0, np.int64)]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(out["row"], pa.int64())), pa.array(out["n"], pa.int64()), pa.array(out["sd"], pa.binary()),
-                pa.array(out["key"], pa.int64()), pa.array(out["pd"], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32), pa.int32()), pa.array(flat, pa.int64())),
-                *(pa.array(parity[:, k].copy()) for k in range(4))],
+        for b in slices(batches):
+            n, sd, key, pd_, prefix, parity = [], [], [], [], [], []
+            for _, s in shingle_sets(b.column("text"), words):
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                pre = s[np.lexsort((s, counts[_sketch_slot(s, bits)]))[:keep]]
+                n.append(len(s))
+                sd.append(digest)
+                key.append(int.from_bytes(digest[:8], "little", signed=True))
+                pd_.append(int.from_bytes(hashlib.blake2b(pre.tobytes(), digest_size=8).digest(), "little", signed=True))
+                prefix.append(pre.view(np.int64))
+                parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            q = np.stack(parity)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(sd, pa.binary()), pa.array(key, pa.int64()), pa.array(pd_, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefix))), *(pa.array(q[:, k].copy()) for k in range(4))],
                 names=["id", "n", "sd", "key", "pd", "prefix", *PARITY])
 
     return docs.select("id", "text").mapInArrow(
@@ -129,12 +132,10 @@ def verified(docs: DataFrame, cls: DataFrame, pairs: DataFrame, words: int) -> D
     need = cls.join(need, "id", "left_semi").select("id", "sd")
 
     def sets(batches):
-        for b in batches:
-            found = list(shingle_sets(b.column("text"), words))
-            yield pa.RecordBatch.from_arrays([
-                b.column("id").take(pa.array([i for i, _ in found], pa.int64())),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, s in found], pa.binary()),
-                pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "sd", "s"])
+        for b in slices(batches):
+            found = [s.tobytes() for _, s in shingle_sets(b.column("text"), words)]
+            sd = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sd, pa.binary()), pa.array(found, pa.binary())], names=["id", "sd", "s"])
 
     own = (docs.join(small(need.select("id"), BROADCAST_IDS), "id", "left_semi").select("id", "text")
            .mapInArrow(sets, "id long, sd binary, s binary")
@@ -178,8 +179,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holders = meta.where("n > 0").select("id", "n", "key", F.posexplode("prefix").alias("pos", "token"))
     tokens = (holders.groupBy("token")
               .agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("id", "key").alias("lead"),
-                   F.min_by("pos", "key").alias("lpos"))
-              .where("lo <> hi").select("token", "lead", "lpos"))
+                   F.min_by("pos", "key").alias("lpos"), F.count("*").alias("rows"), F.min("n").alias("least"),
+                   F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("room"))
+              .where("lo <> hi")
+              # The size and position filters, exact for a list of two.
+              .where(F.expr(f"rows > 2 or (100 * least >= {percent} * (both - least) and {100 + percent} * room >= {percent} * both)"))
+              .select("token", "lead", "lpos"))
     lists = holders.join(tokens, "token")
     lists = (lists.join(reps.select("id", "key", "g"), ["id", "key"])
              .join(cls.select(F.col("id").alias("lead"), F.col("rep").alias("leader"), F.col("n").alias("ln")), "lead")
@@ -229,16 +234,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = stash(rest, "mixed")
     x, y = rest, rest.select("token", *(F.col(c).alias(c + "2") for c in ("rep", "n", "pos", "comp", "d", "led", *PARITY)))
     reach = 1 - percent / 100 + 1e-9
+    bits = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(q + "2"))) for q in PARITY), F.lit(0))
     cross = (x.join(y, "token").where("rep < rep2 and comp <> comp2 and not led and not led2")
              .where(possible("n", "n2", "pos", "pos2"))
              .where(few_bits("n", "n2", PARITY, [q + "2" for q in PARITY]))
              .where(F.coalesce(F.abs(F.col("d") - F.col("d2")), F.lit(0.0)) <= reach)
-             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
+             .select(F.col("rep").alias("a"), F.col("rep2").alias("b"), bits.alias("bits"))
+             .distinct().join(star, ["a", "b"], "left_anti"))
     cross = stash(cross, "cross")
-    more = verified(docs, cls, cross, words)
-    comp = components(linked(seen).unionByName(linked(more)).select("a", "b"), "components")
+    # Each text's likeliest pair comes first; many others then have both ends
+    # in one component and need no check.
+    ends = cross.select(F.col("a").alias("x"), "a", "b", "bits").union(cross.select("b", "a", "b", "bits"))
+    best = ends.groupBy("x").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*").distinct()
+    best = stash(best, "best")
+    more = verified(docs, cls, best, words)
+    links = linked(seen).unionByName(linked(more)).select("a", "b")
+    second = stash(components(links, "best-components"), "second-components")
+    side = second.select(F.col("node").alias("a"), F.col("component").alias("sa")), second.select(F.col("node").alias("b"), F.col("component").alias("sb"))
+    left = (cross.join(best, ["a", "b"], "left_anti").join(side[0], "a", "left").join(side[1], "b", "left")
+            .where(F.coalesce("sa", "a") != F.coalesce("sb", "b")).select("a", "b"))
+    left = stash(left, "left")
+    links = links.union(linked(verified(docs, cls, left, words)).select("a", "b"))
+    comp = components(links, "components")
     out = (cls.join(comp.toDF("rep", "c"), "rep", "left")
            .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("c", "rep")).alias("component_id")))
-    discard(star, first, lists, rest, cross)
+    discard(star, first, lists, rest, cross, best, second, left)
     return out

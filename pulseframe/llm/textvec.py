@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 WORDS = 5  # words of a shingle
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
