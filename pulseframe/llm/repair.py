@@ -24,24 +24,26 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.bpe import batches_of
+from pulseframe.llm.bpe import END, PATTERN, batches_of
 from pulseframe.llm.tables import fresh_path, partitions, running_offsets, stash, text_or_empty
 from pulseframe.llm.warc import filesystem
 from pulseframe.session import ship_package
 
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 1 << 20
 ROUNDS = 3
 ROUND_RULES = 4_000    # rules of a round at most: a block's grammar stays small
 LEAST_COUNT = 24       # occurrences that make a pair worth a rule
-PIECES_KEPT = 600_000
+PIECES_KEPT = 250_000
 MAGIC = 0x52455031
 
 
@@ -258,7 +260,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_c
         writer = TokenWriter(out, max(encoder.size, end_id + 1))
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for s in batches_of(texts):
+            for s in batches_of(texts, 2 << 20):
                 for doc, data in zip(ids[s], encoder.encode(texts[s])):
                     writer.add(doc, np.concatenate([np.frombuffer(data, "<u4"), end]))
         writer.close()
@@ -285,6 +287,30 @@ class LibraryEncoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kept: dict[str, bytes] = {}
+        self.words = regex.compile(PATTERN)
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith(END)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode unseen pieces, many in one text: every word of a piece ends
+        with a word-end token, so the ids are cut by the pieces' word counts."""
+        size = []
+        for p in new:
+            q = (p if p.isascii() else unicodedata.normalize("NFC", p)).lower()
+            size.append(1 if q.isalpha() else len(self.words.findall(q)))
+        for i in range(0, len(new), 2_000):
+            part = new[i:i + 2_000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum(size[i:i + 2_000])
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != last[-1] or min(size[i:i + 2_000]) == 0:  # special tokens inside, or an odd fold
+                for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                    self.kept[p] = np.array(e.ids, "<u4").tobytes()
+                continue
+            at = [0] + (4 * (ends[last - 1] + 1)).tolist()
+            data = ids.tobytes()
+            self.kept.update(zip(part, [data[x:y] for x, y in zip(at, at[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -299,10 +325,10 @@ class LibraryEncoder:
         if len(new) + len(self.kept) > PIECES_KEPT:
             self.kept.clear()
             new = list(set().union(*cut))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[p] = np.array(e.ids, "<u4").tobytes()
+        self.learn([p for p in new if "<|" not in p])
+        for p in new:
+            if p not in self.kept:
+                self.kept[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
         get = self.kept.__getitem__
         return [b"".join(map(get, c)) if x is None else x for c, x in zip(cut, out)]
 
