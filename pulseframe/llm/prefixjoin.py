@@ -134,12 +134,10 @@ def verified(docs: DataFrame, cls: DataFrame, pairs: DataFrame, words: int) -> D
     def sets(batches):
         for b in slices(batches):
             found = [s.tobytes() for _, s in shingle_sets(b.column("text"), words)]
-            sd = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sd, pa.binary()), pa.array(found, pa.binary())], names=["id", "sd", "s"])
+            same = [hashlib.blake2b(s, digest_size=16).digest() == x for s, x in zip(found, b.column("sd").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "s"]).filter(pa.array(same, pa.bool_()))
 
-    own = (docs.join(small(need.select("id"), BROADCAST_IDS), "id", "left_semi").select("id", "text")
-           .mapInArrow(sets, "id long, sd binary, s binary")
-           .join(need, ["id", "sd"], "left_semi").dropDuplicates(["id"]).select("id", "s"))
+    own = docs.join(small(need, BROADCAST_IDS), "id").select("id", "text", "sd").mapInArrow(sets, "id long, s binary")
     own = stash(own, "sets")
 
     def common(batches):
@@ -154,7 +152,8 @@ def verified(docs: DataFrame, cls: DataFrame, pairs: DataFrame, words: int) -> D
                                              names=["a", "b", "na", "nb", "common"])
 
     both = (pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb"))
-    out = stash(both.mapInArrow(common, "a long, b long, na long, nb long, common long"), "verified")
+    # Repeated rows (equal id and text) give equal sets.
+    out = stash(both.mapInArrow(common, "a long, b long, na long, nb long, common long").distinct(), "verified")
     discard(own)
     return out
 

@@ -43,7 +43,7 @@ BLOCK_TOKENS = 1 << 20
 ROUNDS = 3
 ROUND_RULES = 4_000    # rules of a round at most: a block's grammar stays small
 LEAST_COUNT = 24       # occurrences that make a pair worth a rule
-PIECES_KEPT = 250_000
+PIECES_KEPT = 400_000
 MAGIC = 0x52455031
 
 
@@ -260,7 +260,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_c
         writer = TokenWriter(out, max(encoder.size, end_id + 1))
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for s in batches_of(texts, 2 << 20):
+            for s in batches_of(texts):
                 for doc, data in zip(ids[s], encoder.encode(texts[s])):
                     writer.add(doc, np.concatenate([np.frombuffer(data, "<u4"), end]))
         writer.close()
@@ -287,6 +287,7 @@ class LibraryEncoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kept: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.words = regex.compile(PATTERN)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
@@ -321,10 +322,13 @@ class LibraryEncoder:
                 cut.append([])
             else:
                 cut.append(t.split())
-        new = list(set().union(*cut).difference(self.kept)) if cut else []
+        here = set().union(*cut)
+        new = list(here.difference(self.kept))
+        self.again |= here.difference(new)
         if len(new) + len(self.kept) > PIECES_KEPT:
-            self.kept.clear()
-            new = list(set().union(*cut))
+            # Keep what later batches asked for again; most pieces occur once.
+            self.kept = {p: self.kept[p] for p in self.again} if 2 * len(self.again) < PIECES_KEPT else {p: self.kept[p] for p in here.difference(new)}
+            self.again = set()
         self.learn([p for p in new if "<|" not in p])
         for p in new:
             if p not in self.kept:
