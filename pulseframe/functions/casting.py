@@ -47,7 +47,8 @@ def cast_activity(df: DataFrame, numeric=ACTIVITY_NUMERIC, ts: str = "datetimeut
             out[c] = to_number(c)
     for c in integer:
         if c in df.columns:
-            out[c] = to_number(c).cast("bigint")
+            # Whole numbers keep all digits; out of range becomes null.
+            out[c] = F.coalesce(F.col(c).cast("string").try_cast("bigint"), to_number(c).try_cast("bigint"))
     if ts in df.columns:
         out[ts] = to_timestamp_or_null(ts)
     return df.withColumns(out)

@@ -27,7 +27,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, compare=None) -> DataFra
           .when(changed, F.lit("UPDATE")))
     return (j.withColumn("operation", op).where(F.col("operation").isNotNull())
             .select(*keys, "operation",
-                    F.to_json("_o").alias("old_data"), F.to_json("_n").alias("new_data")))
+                    F.to_json("_o", {"ignoreNullFields": "false"}).alias("old_data"),
+                    F.to_json("_n", {"ignoreNullFields": "false"}).alias("new_data")))
 
 
 CHANGE_EVENT_SCHEMA = ("table STRING, operation STRING, "

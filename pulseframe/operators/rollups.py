@@ -36,11 +36,10 @@ def top_queries(df: DataFrame, n: int = 10, prefix: int = 10, impute: bool = Tru
         df = impute_mean(df, metrics)
     g = (df.withColumn("query", F.substring(F.col("query").cast("string"), 1, prefix))
          .groupBy("query")
-         .agg(_r(F.avg("cpu"), digits).alias("cpu"),
-              _r(F.avg("write_io"), digits).alias("write_io"),
-              _r(F.avg("read_io"), digits).alias("read_io"),
-              _r(F.sum("memory"), digits).alias("memory")))
-    return g.orderBy(F.desc("cpu"), F.asc("query")).limit(n)
+         .agg(F.avg("cpu").alias("cpu"), F.avg("write_io").alias("write_io"),
+              F.avg("read_io").alias("read_io"), F.sum("memory").alias("memory")))
+    top = g.orderBy(F.desc("cpu"), F.asc("query")).limit(n)
+    return top.select("query", *(_r(F.col(c), digits).alias(c) for c in ("cpu", "write_io", "read_io", "memory")))
 
 
 def _epoch_bound(epoch: int, dtype) -> Column:

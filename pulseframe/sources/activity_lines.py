@@ -38,7 +38,7 @@ def split_activity_lines(df: DataFrame, line: str = "line") -> tuple[DataFrame,
     query = F.btrim(F.coalesce(F.element_at("_p", len(ACTIVITY_FIELDS) + 1), F.lit("")),
                     F.lit('"')).alias("query")
     good = p.where(ok).select(*keep, *fields, query)
-    rejected = p.where(~ok).select(*keep, line)
+    rejected = p.where(~F.coalesce(ok, F.lit(False))).select(*keep, line)
     return good, rejected
 
 

@@ -152,3 +152,12 @@ def test_drop_zone_and_text_columns(spark):
     r = df.select(drop_zone("t").alias("t")).collect()[0]["t"]
     assert str(r) == "2024-01-02 03:04:05"
     assert text_columns(df) == ["s"]
+
+
+def test_long_pid_and_null_line(spark):
+    from pulseframe.functions.casting import cast_activity
+    from pulseframe.sources.activity_lines import split_activity_lines
+    rows = spark.createDataFrame([("1e300",), ("9007199254740993",), ("12.0",), ("x",), (None,)], "pid string")
+    assert [r["pid"] for r in cast_activity(rows).collect()] == [None, 9007199254740993, 12, None, None]
+    good, bad = split_activity_lines(spark.createDataFrame([(None,), ("a;b",)], "line string"))
+    assert good.count() == 0 and bad.count() == 2
