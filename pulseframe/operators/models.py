@@ -30,17 +30,6 @@ from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.session import ship_package
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give Python batch scoring at least one partition per core. Large
-    inputs already have many partitions and pass through unchanged; only a
-    small input (fewer partitions than cores) is spread by a round-robin
-    repartition."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def _with_field(df: DataFrame, name: str, dtype) -> T.StructType:
     """Schema of ``df`` plus one field (a new object: ``df.schema`` is cached)."""
     return T.StructType(list(df.schema.fields) + [T.StructField(name, dtype)])
@@ -192,8 +181,9 @@ def _tree_arrays(feat, thr, left, right, size):
 class IsolationForest:
     """Isolation forest (Liu, Ting and Zhou, 2008) as Spark jobs.
 
-    Each tree draws its own ~``sample_size`` rows by a hash of (row id,
-    tree), so drawing is one pass with no shuffle of the data; the draws
+    Each tree keeps ``sample_size`` of about twice as many rows drawn by
+    hashes of the row id, so drawing is one pass with no shuffle of the data and
+    follows one rule at every size; the draws
     (trees x sample_size rows) are grown in parallel, one tree per group in
     ``applyInPandas``. The forest (at most trees x (2 * sample_size) nodes)
     is shipped to the scoring tasks, which score Arrow batches in
@@ -212,26 +202,16 @@ class IsolationForest:
         n = df.count()
         psi = min(self.sample_size, n)
         cols, seed, max_depth = self.cols, self.seed, int(math.ceil(math.log2(max(psi, 2))))
-        T = self.trees
         base = df.select(*[F.col(c).cast("double") for c in cols], F.col(self.id_col).alias("_id"))
-        order = F.xxhash64(F.col("_id"), F.lit(seed), F.lit(1))
-        if n >= 2 * psi * T:
-            # One hash per row: rows fall in B >= T buckets of ~2 psi rows;
-            # buckets 0..T-1 are the trees' (disjoint) draws.
-            B = n // (2 * psi)
-            bucket = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(B))
-            draws = base.withColumn("tree", bucket.cast("int")).where(F.col("tree") < T) \
-                .withColumn("h", order)
-        else:
-            # Small tables: each tree draws each row with probability
-            # 2 psi / n on its own hash (draws overlap across trees).
-            cut = int(min(1.0, 2.0 * psi / max(n, 1) + 1e-9) * 1_000_000)
-            h = lambda t: F.pmod(F.xxhash64(F.col("_id"), t, F.lit(seed)), F.lit(1_000_000))
-            draws = base.select("*", F.explode(F.filter(
-                F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
-                            lambda t: F.struct(t.alias("tree"), h(t).alias("h"))),
-                lambda s: s["h"] < cut)).alias("_d"))
-            draws = draws.select("*", "_d.tree", "_d.h").drop("_d")
+        # Every row is drawn rate times on average, each time by a tree of its
+        # own hash: below one draw a row that is one hash and no copy.
+        rate = 2.0 * psi * self.trees / max(n, 1)
+        part = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+        times = F.floor(F.lit(rate) + part).cast("int")
+        tree = lambda j: F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), j), F.lit(self.trees)).cast("int")
+        draws = (base.withColumn("_n", times).where("_n > 0")
+                 .withColumn("tree", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n")), tree)))).drop("_n")
+                 .withColumn("h", F.xxhash64("_id", F.lit(seed), F.col("tree"), F.lit(1))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["h", "_id"]).head(psi)
@@ -264,7 +244,7 @@ class IsolationForest:
                 pdf[out] = np.power(2.0, -eh / cn) - 0.5 if cn > 0 else 0.0
                 yield pdf
 
-        return _spread(df).mapInPandas(score, schema)
+        return df.mapInPandas(score, schema)
 
 
 # --------------------------------------------------------------------------
@@ -278,27 +258,34 @@ class OneClassScore:
     (minus the mean kernel similarity to the training rows), shifted so
     that the ``nu`` share of training rows score above 0. An approximation
     of the SVM decision function with uniform weights, stated as such.
-    The mean of z is a distributed sum of per-partition partial sums."""
+    The mean of z is a distributed sum of per-partition partial sums.
+    ``scale`` standardises the columns first (fitted, part of the state): the
+    kernel width means nothing on columns of unlike units."""
 
     def __init__(self, cols, gamma: float = 0.1, nu: float = 0.05, dims: int = 256,
-                 seed: int = 42, out: str = "one_class_svm"):
+                 seed: int = 42, out: str = "one_class_svm", scale: bool = False):
         self.cols, self.gamma, self.nu, self.dims, self.seed, self.out = list(cols), gamma, nu, dims, seed, out
+        self.scale, self.mean, self.sd = scale, np.zeros(len(self.cols)), np.ones(len(self.cols))
 
     def fit(self, df: DataFrame) -> "OneClassScore":
         ship_package(df.sparkSession)
         rng = np.random.default_rng(self.seed)
         d = len(self.cols)
+        if self.scale:
+            scaler = Standardizer(self.cols).fit(df)
+            self.mean = np.array([scaler.mean[c] for c in self.cols])
+            self.sd = np.array([scaler.sd[c] for c in self.cols])
         self.W = rng.normal(0.0, math.sqrt(2 * self.gamma), size=(d, self.dims))
         self.b = rng.uniform(0, 2 * math.pi, size=self.dims)
-        W, b, cols, D = self.W, self.b, self.cols, self.dims
+        W, b, cols, D, mean, sd = self.W, self.b, self.cols, self.dims, self.mean, self.sd
 
         def partial(batches):
             for pdf in batches:
                 X = pdf[cols].astype(float).fillna(0.0).to_numpy()
-                Z = math.sqrt(2.0 / D) * np.cos(X @ W + b)
+                Z = math.sqrt(2.0 / D) * np.cos((X - mean) / sd @ W + b)
                 yield pd.DataFrame({"s": [Z.sum(axis=0).tolist()], "n": [len(X)]})
 
-        sums = _spread(df.select(*cols)).mapInPandas(partial, "s array<double>, n long")
+        sums = df.select(*cols).mapInPandas(partial, "s array<double>, n long")
         tot = sums.agg(F.sum("n").alias("n"),
                        F.array(*[F.sum(F.col("s")[i]) for i in range(D)]).alias("s")).collect()[0]
         self.mu = np.asarray(tot["s"], dtype=float) / max(tot["n"], 1)
@@ -312,16 +299,17 @@ class OneClassScore:
     def _raw(self, df: DataFrame) -> DataFrame:
         ship_package(df.sparkSession)
         W, b, mu, cols, D, out, off = self.W, self.b, self.mu, self.cols, self.dims, self.out, self.offset
+        mean, sd = self.mean, self.sd
         schema = _with_field(df, out, T.DoubleType())
 
         def score(batches):
             for pdf in batches:
                 X = pdf[cols].astype(float).fillna(0.0).to_numpy()
-                Z = math.sqrt(2.0 / D) * np.cos(X @ W + b)
+                Z = math.sqrt(2.0 / D) * np.cos((X - mean) / sd @ W + b)
                 pdf[out] = -(Z @ mu) - off
                 yield pdf
 
-        return _spread(df).mapInPandas(score, schema)
+        return df.mapInPandas(score, schema)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self._raw(df)
@@ -507,22 +495,20 @@ def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int =
 class KnnVote:
     """k-NN classifier with k chosen by 2-fold cross-validation over 1..24.
 
-    The reference set is the (bounded) training slice of the meta-model, so
-    it is shipped to every task and each Arrow batch is scored exactly by
-    brute force in numpy; the data being scored is never gathered.
+    The reference set is a sample of at most ``max_reference`` labelled rows,
+    drawn by a hash of the id and ``seed``, so it can be shipped to every task
+    and each Arrow batch is scored exactly by brute force in numpy; the data
+    being scored is never gathered.
     """
 
     def __init__(self, cols, label: str = "label", ks=range(1, 25), folds: int = 2,
-                 seed: int = 42, out: str = "p_knn", max_reference: int = 100_000):
+                 seed: int = 42, out: str = "p_knn", max_reference: int = 10_000):
         self.cols, self.label, self.ks, self.folds = list(cols), label, list(ks), folds
         self.seed, self.out, self.max_reference = seed, out, max_reference
 
     def fit(self, train: DataFrame, id_col: str) -> "KnnVote":
-        n = train.count()
-        if n > self.max_reference:
-            raise ValueError(f"reference set of {n} rows exceeds max_reference={self.max_reference}; "
-                             "fit on a training slice")
-        rows = train.select(id_col, *self.cols, self.label).orderBy(id_col).collect()
+        sample = train.select(id_col, *self.cols, self.label).orderBy(F.xxhash64(F.col(id_col), F.lit(self.seed)), id_col)
+        rows = sorted(sample.limit(self.max_reference).collect(), key=lambda r: r[0])
         ids = np.array([r[0] for r in rows])
         X = np.array([[r[c] or 0.0 for c in self.cols] for r in rows], dtype=float)
         y = np.array([int(r[self.label]) for r in rows])
@@ -553,4 +539,4 @@ class KnnVote:
                 pdf[out] = _knn_votes(X, R, y, [k])[k].astype("int32") if len(X) else np.zeros(0, "int32")
                 yield pdf
 
-        return _spread(df).mapInPandas(score, schema)
+        return df.mapInPandas(score, schema)

@@ -3,20 +3,27 @@ column into one task.
 
 Spark's ``percentile`` is exact but keeps every distinct value of the column
 in one aggregation buffer; ``percentile_approx`` is bounded but does not
-equal pandas' ``quantile`` (and is slow). This module narrows by exact
-histograms: one pass gets count, min and max per metric; each round then
-counts rows per equal-width bucket (a plain hash aggregate with map-side
-partial aggregation, ``buckets`` groups per metric) and keeps only the
-bucket(s) holding the wanted ranks, with the exact number of rows below
-them. When few rows are left, their distinct values are ranked. A hot value
-collapses into one (metric, value) group, so nothing gathers in one task.
-The only driver-side data are per-metric counts (at most ``buckets`` rows
-per metric per round).
+equal pandas' ``quantile``. This module narrows by counting, in the same way
+at every size and for all columns at once. Each round is one hash aggregate
+(metric, bucket) -> count, smallest and largest value, and keeps the bucket
+holding the wanted rank:
+
+1. the first round's buckets are the sign and the logarithm of the value in
+   steps of 1/16 octave, so a heavy tail shares no bucket with the rest;
+2. later rounds cut the range between the bucket's smallest and largest value
+   in equal parts.
+
+A rank is found when its bucket holds one distinct value, or when the rank
+and the next one fall in two buckets (the largest value of the one and the
+smallest of the other). Every round separates the smallest from the largest
+value, so rounds end by themselves. After the first round the bucket's rows
+are kept as (metric, value, count): a constant or hot value is one row. The
+driver sees at most one row per metric and bucket.
 
 The quantile of ``n`` non-null values at ``p`` is
 ``v[k] + (v[k+1] - v[k]) * f`` where ``h = (n - 1) * p``, ``k = floor(h)``,
 ``f = h - k`` and ``v`` is sorted ascending (pandas' and DuckDB's
-``quantile_cont`` definition).
+``quantile_cont`` definition). NaN counts as null.
 """
 
 from __future__ import annotations
@@ -25,155 +32,107 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ACCURACY = 10000
-BUCKETS = 16384
-FINISH_ROWS = 200_000
-# Up to this many values per metric, Spark's exact ``percentile`` is used
-# directly: its buffer holds at most this many distinct values.
-DIRECT_MAX = 2_000_000
+BUCKETS = 4096          # equal parts of a later round
+PER_OCTAVE = 16         # buckets of the first round
+_BEYOND = 1 << 20       # bucket of the infinities
 
 
 def to_long(df: DataFrame, cols) -> DataFrame:
-    """(metric, v) rows: one per non-null, non-NaN value of each column."""
-    arr = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
-                    for c in cols])
+    """(metric, v) rows: one per non-null, non-NaN value of each column;
+    ``metric`` is the column's position."""
+    arr = F.array(*[F.struct(F.lit(i).alias("metric"), F.col(c).cast("double").alias("v"))
+                    for i, c in enumerate(cols)])
     long = df.select(F.inline(arr))
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _bucket(lo: float, width: float, buckets: int) -> Column:
-    """Bucket 0..buckets-1 of v for the range starting at ``lo``; values
-    beyond the range (and infinities) fall in the edge buckets."""
+def _log_bucket() -> Column:
     v = F.col("v")
-    if width <= 0 or not math.isfinite(width):
-        return F.when(v <= F.lit(lo), F.lit(0)).otherwise(F.lit(buckets - 1))
-    raw = F.floor((v - F.lit(lo)) / F.lit(width))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)).cast("int")
-
-
-def _round_filter(chosen: dict, buckets: int) -> Column:
-    """Rows of this round's chosen buckets, per metric (one level)."""
-    expr = None
-    for c, (lo, width, b1, b2) in chosen.items():
-        cond = (F.col("metric") == F.lit(c)) & _bucket(lo, width, buckets).between(b1, b2)
-        expr = cond if expr is None else expr | cond
-    return expr
-
-
-def exact_quantiles(df: DataFrame, cols, p: float, buckets: int = BUCKETS,
-                    finish_rows: int = FINISH_ROWS, max_rounds: int = 12,
-                    accuracy: int | None = None, finish_distinct: int | None = None,
-                    direct_max: int = DIRECT_MAX) -> dict:
-    """{column: exact p-quantile} (None for an all-null column).
-
-    Metrics with at most ``direct_max`` values (counted first) use Spark's
-    exact ``percentile`` in one aggregate, whose buffer is then bounded;
-    larger ones are narrowed by histograms."""
+    size = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + F.lit(1 << 16)
+    return (F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v) * _BEYOND)
+            .otherwise(F.signum(v) * size).cast("int"))
+
+
+def _counted(rows: DataFrame, bucket: Column, n: Column) -> dict:
+    """{metric: [(count, smallest, largest)] in bucket order}."""
+    found = rows.groupBy("metric", bucket.alias("b")).agg(
+        F.sum(n).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out: dict = {}
+    for r in sorted(found, key=lambda r: r["lo"]):
+        out.setdefault(r["metric"], []).append((r["n"], r["lo"], r["hi"]))
+    return out
+
+
+def _locate(buckets: list, k: int):
+    """Rank ``k`` within its bucket, the bucket, and the smallest value of the next one."""
+    for i, b in enumerate(buckets):
+        if k < b[0]:
+            return k, b, buckets[i + 1][1] if i + 1 < len(buckets) else None
+        k -= b[0]
+    raise AssertionError("rank beyond the counted rows")
+
+
+def exact_quantiles(df: DataFrame, cols, p: float, buckets: int = BUCKETS) -> dict:
+    """{column: exact p-quantile} (None for an all-null column)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must lie in [0, 1]")
-    if finish_distinct is not None:  # older name of finish_rows
-        finish_rows = finish_distinct
+    if buckets < 2:
+        raise ValueError("a round needs two buckets")
     cols = list(cols)
     long = to_long(df, cols)
-    finite = F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))
-    stats = {r["metric"]: r for r in long.groupBy("metric").agg(
-        F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
+    per = _counted(long, _log_bucket(), F.lit(1))
     result = {c: None for c in cols}
-    small = [c for c in cols if stats.get(c) is not None and 0 < stats[c]["n"] <= direct_max]
-    if small:
-        row = long.where(F.col("metric").isin(small)).groupBy("metric").agg(
-            F.percentile("v", F.lit(p)).alias("q")).collect()
-        result.update({r["metric"]: r["q"] for r in row})
-    state = {}
-    for c in cols:
-        r = stats.get(c)
-        if r is None or r["n"] == 0 or c in small:
-            continue
-        n = r["n"]
-        h = (n - 1) * p
-        k = int(math.floor(h))
-        lo = r["lo"] if r["lo"] is not None else 0.0
-        hi = r["hi"] if r["hi"] is not None else 0.0
-        state[c] = {"k": k, "k2": min(k + 1, n - 1), "f": h - k, "below": 0, "inside": n,
-                    "lo": lo, "hi": hi, "chain": [], "buckets": buckets}
-    # Each round keeps only the chosen buckets' rows (persisted: a small
-    # slice of the data), so later rounds and the ranking read the slice and
-    # every filter stays one level deep. Lost cached blocks are recomputed
-    # from lineage.
-    current, cached = long, []
-    for _ in range(max_rounds):
-        open_ = {c: s for c, s in state.items() if s["inside"] > finish_rows and s["hi"] > s["lo"]}
-        if not open_:
-            break
-        width = {c: (s["hi"] - s["lo"]) / buckets for c, s in open_.items()}
-        bexpr = None
-        for c, s in open_.items():
-            bk = _bucket(s["lo"], width[c], buckets)
-            bexpr = F.when(F.col("metric") == F.lit(c), bk) if bexpr is None else bexpr.when(F.col("metric") == F.lit(c), bk)
-        counts = (current.where(F.col("metric").isin(list(open_))).groupBy("metric", bexpr.alias("b"))
-                  .agg(F.count("*").alias("cnt")).collect())
-        per = {}
-        for r in counts:
-            per.setdefault(r["metric"], {})[r["b"]] = r["cnt"]
-        chosen = {}
-        for c, s in open_.items():
-            hist = per.get(c, {})
-            acc, b1, b2, below_b1 = s["below"], None, None, None
-            for b in range(buckets):
-                cnt = hist.get(b, 0)
-                if b1 is None and acc + cnt > s["k"]:
-                    b1, below_b1 = b, acc
-                if acc + cnt > s["k2"]:
-                    b2 = b
-                    break
-                acc += cnt
-            b2 = b2 if b2 is not None else buckets - 1
-            b1 = b1 if b1 is not None else b2
-            w = width[c]
-            chosen[c] = (s["lo"], w, b1, b2)
-            s["below"] = below_b1
-            s["inside"] = sum(hist.get(b, 0) for b in range(b1, b2 + 1))
-            new_lo, new_hi = s["lo"] + b1 * w, s["lo"] + (b2 + 1) * w
-            if not (new_hi - new_lo < s["hi"] - s["lo"]):
-                s["hi"] = s["lo"]  # no narrowing possible: finish now
-            else:
-                s["lo"], s["hi"] = new_lo, new_hi
-        keep = _round_filter(chosen, buckets) | ~F.col("metric").isin(list(chosen))
-        current = current.where(keep).persist()
-        cached.append(current)
-    # Finish: rank the distinct values left in each bracket.
-    if state:
-        spark = df.sparkSession
-        bel = spark.createDataFrame([(c, s["below"], s["k"], s["k2"]) for c, s in state.items()],
-                                    "metric string, below long, k long, k2 long")
-        grouped = current.groupBy("metric", "v").agg(F.count("*").alias("cnt"))
-        w = Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = (grouped.join(F.broadcast(bel), "metric")
-                  .withColumn("upto", F.col("below") + F.sum("cnt").over(w))
-                  .withColumn("first_rank", F.col("upto") - F.col("cnt")))
-        picked = ranked.where(
-            ((F.col("k") >= F.col("first_rank")) & (F.col("k") < F.col("upto")))
-            | ((F.col("k2") >= F.col("first_rank")) & (F.col("k2") < F.col("upto"))))
-        rows = picked.select("metric", "v", "first_rank", "upto").collect()
-        for c, s in state.items():
-            mine = [r for r in rows if r["metric"] == c]
-            vk = next(r["v"] for r in mine if r["first_rank"] <= s["k"] < r["upto"])
-            vk2 = next(r["v"] for r in mine if r["first_rank"] <= s["k2"] < r["upto"])
-            result[c] = vk if vk == vk2 else vk + (vk2 - vk) * s["f"]
-    for c in cached:
-        c.unpersist()
+    state = {}  # metric -> (rank in the bucket, smallest, largest, share of the next rank, value after the bucket)
+
+    def narrow(i: int, counted: list, k: int, f: float, after) -> None:
+        k, (n, lo, hi), following = _locate(counted, k)
+        after = following if following is not None else after
+        if k == n - 1:
+            v, nxt = hi, after
+        elif lo == hi:
+            v, nxt = lo, lo
+        else:
+            state[i] = (k, lo, hi, f, after)
+            return
+        state.pop(i, None)
+        result[cols[i]] = v if nxt is None or f == 0 or nxt == v else v + (nxt - v) * f
+
+    for i, counted in per.items():
+        h = (sum(b[0] for b in counted) - 1) * p
+        narrow(i, counted, int(math.floor(h)), h - math.floor(h), None)
+    if not state:
+        return result
+    inside = None
+    for i, (_, lo, hi, _, _) in state.items():
+        one = (F.col("metric") == i) & F.col("v").between(lo, hi)
+        inside = one if inside is None else inside | one
+    cells = long.where(inside).groupBy("metric", "v").agg(F.count("*").alias("n")).persist()
+    try:
+        while state:
+            inside, bucket = F.lit(False), F.lit(0)
+            for i, (_, lo, hi, _, _) in state.items():
+                mine = F.col("metric") == i
+                inside = inside | (mine & F.col("v").between(lo, hi))
+                part = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * buckets)
+                bucket = F.when(mine, F.least(part, F.lit(buckets - 1)).cast("int")).otherwise(bucket)
+            per = _counted(cells.where(inside), bucket, F.col("n"))
+            for i, (k, _, _, f, after) in list(state.items()):
+                narrow(i, per[i], k, f, after)
+    finally:
+        cells.unpersist()
     return result
 
 
 def quantile_table(df: DataFrame, cols, p: float, approx: bool = False,
                    accuracy: int = ACCURACY) -> DataFrame:
     """(metric, quantile) DataFrame; ``approx`` uses the sketch only."""
-    spark = df.sparkSession
+    cols = list(cols)
     if approx:
-        long = to_long(df, cols)
-        return long.groupBy("metric").agg(
-            F.percentile_approx("v", F.lit(p), accuracy).cast("double").alias("quantile"))
-    vals = exact_quantiles(df, cols, p, accuracy=accuracy)
-    return spark.createDataFrame([(c, vals[c]) for c in cols], "metric string, quantile double")
+        row = df.select(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(p), accuracy).alias(str(i))
+                          for i, c in enumerate(cols)]).first()
+        vals = dict(zip(cols, row))
+    else:
+        vals = exact_quantiles(df, cols, p)
+    return df.sparkSession.createDataFrame([(c, vals[c]) for c in cols], "metric string, quantile double")

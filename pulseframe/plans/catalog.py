@@ -532,6 +532,27 @@ def q_metric_p95(spark, sf):
         "metric", F.round("quantile", D).alias("quantile"))
 
 
+_TAIL_EXPRS = ["CASE WHEN event_id % 1000 = 7 THEN 1e300 ELSE cpu END AS tail",
+               "CASE WHEN event_id % 2 = 0 THEN -duration ELSE duration / 1e200 END AS signs",
+               "cast(0.1 AS double) AS constant", "CASE WHEN event_id % 3 > 0 THEN 7.5 ELSE memory END AS hot"]
+_TAIL = ["tail", "signs", "constant", "hot"]
+
+
+@register("quantile_heavy_tail", with_fixtures("activity") + f",\nt AS (SELECT {', '.join(_TAIL_EXPRS)} FROM activity)\n"
+          + "\nUNION ALL ".join(f"SELECT '{m}' AS metric, {p} AS p, quantile_cont({m}, {p}) AS quantile FROM t"
+                                for m in _TAIL for p in (0.05, 0.5, 0.95)), "A12")
+def q_quantile_heavy_tail(spark, sf):
+    """Columns that equal-width cuts can't narrow: a far tail, magnitudes of
+    both signs, a constant, one value in two thirds of the rows."""
+    from pulseframe.operators.quantiles import quantile_table
+    t = fx(spark, sf, "activity").selectExpr(*_TAIL_EXPRS)
+    out = None
+    for p in (0.05, 0.5, 0.95):
+        q = quantile_table(t, _TAIL, p).select("metric", F.lit(p).alias("p"), "quantile")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
 _LIMITS = "lim AS (SELECT " + ", ".join(
     f"quantile_cont({m}, 0.95) AS l_{m}" for m in _P95_METRICS) + " FROM feat)"
 
@@ -1171,7 +1192,7 @@ def q_knn_vote(spark, sf):
     from pulseframe.operators.models import KnnVote, split_flag
     a = fx(spark, sf, "activity").select("event_id", "cpu", "memory", "duration",
                                          (F.col("io_wait") == "Y").cast("int").alias("label"))
-    train = a.where(split_flag("event_id", 80)).orderBy("event_id").limit(10_000)
+    train = a.where(split_flag("event_id", 80))
     m = KnnVote(["cpu", "memory", "duration"], "label").fit(train, "event_id")
     return m.transform(a.where(~split_flag("event_id", 80))).select("event_id", "label", "p_knn")
 
@@ -1200,7 +1221,7 @@ def q_label_tree(spark, sf):
 def q_detect_anomalies(spark, sf):
     from pulseframe.plans.detector import AnomalyDetector
     a = fx(spark, sf, "activity")
-    det = AnomalyDetector(trees=20, rf_trees=(20, 40)).fit(a)
+    det = AnomalyDetector().fit(a)
     return det.transform(a).select("event_id", "type_anomalie", "autoencoder", "isolation_forest",
                                    "one_class_svm", "anomaly_scores", "is_anomaly", "predicted_label")
 
@@ -1312,7 +1333,7 @@ def q_embedding_pca_error(spark, sf):
 def q_embedding_knn_accuracy(spark, sf):
     from pulseframe.operators.models import KnnVote, accuracy, split_flag
     e, cols = _embedding_cols(spark, sf)
-    train = e.where(split_flag("vec_id", 80)).orderBy("vec_id").limit(10_000)
+    train = e.where(split_flag("vec_id", 80))
     m = KnnVote(cols, "label").fit(train, "vec_id")
     pred = m.transform(e.where(~split_flag("vec_id", 80)))
     return accuracy(pred, "label", "p_knn").withColumn("k", F.lit(m.k))
@@ -1336,7 +1357,7 @@ def q_stream_detect_anomalies(spark, sf):
     from pulseframe.session import scratch_path
     from pulseframe.sources.fixtures import fixture_stream
     from pulseframe.streaming import score_batches
-    det = AnomalyDetector(trees=20, rf_trees=(20,)).fit(fx(spark, sf, "activity"))
+    det = AnomalyDetector().fit(fx(spark, sf, "activity"))
     tag = "detect-" + uuid.uuid4().hex[:12]
     out, ckpt = scratch_path(spark, tag + "/out"), scratch_path(spark, tag + "/ckpt")
     cols = ["event_id", "type_anomalie", "anomaly_scores", "is_anomaly", "predicted_label"]
@@ -1409,6 +1430,6 @@ def q_knn_vote_k5(spark, sf):
     a = fx(spark, sf, "activity").selectExpr("event_id", "datetimeutc", *_KNN_COLS,
                                             "CASE WHEN io_wait = 'Y' THEN 1 ELSE 0 END AS label")
     cut = F.lit(_KNN_SPLIT).cast("timestamp_ntz")
-    train = a.where(F.col("datetimeutc") < cut).orderBy("event_id").limit(10_000)
+    train = a.where(F.col("datetimeutc") < cut)
     m = KnnVote(["x1", "x2", "x3"], "label", ks=[5]).fit(train, "event_id")
     return m.transform(a.where(F.col("datetimeutc") >= cut)).select("event_id", "p_knn")

@@ -13,7 +13,7 @@ from pulseframe.streaming import refit_every
 
 def test_detector_save_load_same_scores(spark, sf_small):
     a = fixture(spark, sf_small, "activity")
-    det = AnomalyDetector(train_rows=600, trees=10, rf_trees=(10,)).fit(a)
+    det = AnomalyDetector(max_labelled_rows=600, trees=10, rf_trees=(10,)).fit(a)
     path = os.path.join(tempfile.mkdtemp(prefix="pf-bundle-"), "det")
     det.save(spark, path)
     with pytest.raises(FileExistsError):
@@ -24,6 +24,25 @@ def test_detector_save_load_same_scores(spark, sf_small):
     y = back.transform(a).select(*cols).orderBy("event_id").collect()
     assert x == y
     assert det.summary(spark).count() > 10
+    # A crash in save leaves no marker: the folder is neither read nor picked.
+    from pulseframe.streaming.refit import latest_version
+    half = os.path.join(os.path.dirname(path), "models", "v=3")
+    spark.createDataFrame([("id_col", "x")], "key string, value string").write.parquet(half + "/params")
+    assert latest_version(spark, os.path.dirname(half)) is None
+    with pytest.raises(FileNotFoundError):
+        AnomalyDetector.load(spark, half)
+
+
+def test_counts_of_a_replayed_batch(spark):
+    from pulseframe.streaming.activity_stream import count_before, write_count
+    from pulseframe.streaming.refit import batch_state
+    path = os.path.join(tempfile.mkdtemp(prefix="pf-count-"), "counter")
+    assert count_before(spark, path, 0) == 0
+    write_count(spark, path, 0, 400)
+    write_count(spark, path, 1, 900)
+    assert (count_before(spark, path, 1), count_before(spark, path, 2)) == (400, 900)
+    assert batch_state(spark, path, 1, 4) == (4, 400)
+    assert batch_state(spark, path, 1, 5) == (4, 400)  # a replay keeps the version
 
 
 def test_append_csv_header_once_per_file(spark):
@@ -76,7 +95,7 @@ def test_score_and_refit_versions(spark, sf_small):
     from pulseframe.streaming.refit import latest_version, score_and_refit
     base = tempfile.mkdtemp(prefix="pf-refit-")
     a = fixture(spark, sf_small, "activity")
-    make = lambda: AnomalyDetector(train_rows=500, trees=5, rf_trees=(5,))
+    make = lambda: AnomalyDetector(max_labelled_rows=500, trees=5, rf_trees=(5,))
     make().fit(a.orderBy("event_id").limit(300)).save(spark, base + "/models/v=0")
     s = fixture_stream(spark, sf_small, "activity")
     q = score_and_refit(s, base + "/models", base + "/history", base + "/out", base + "/ckpt",
