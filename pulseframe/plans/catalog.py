@@ -539,7 +539,7 @@ _TAIL = ["tail", "signs", "constant", "hot"]
 
 
 @register("quantile_heavy_tail", with_fixtures("activity") + f",\nt AS (SELECT {', '.join(_TAIL_EXPRS)} FROM activity)\n"
-          + "\nUNION ALL ".join(f"SELECT '{m}' AS metric, {p} AS p, quantile_cont({m}, {p}) AS quantile FROM t"
+          + "\nUNION ALL ".join(f"SELECT '{m}' AS metric, cast({p} AS double) AS p, quantile_cont({m}, {p}) AS quantile FROM t"
                                 for m in _TAIL for p in (0.05, 0.5, 0.95)), "A12")
 def q_quantile_heavy_tail(spark, sf):
     """Columns that equal-width cuts can't narrow: a far tail, magnitudes of
