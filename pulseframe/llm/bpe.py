@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.llm.pieces import PieceTable
 from pulseframe.llm.tables import text_or_empty
 
 LEXICON_WORDS = 50_000   # words compiled into the automaton at most
-PIECES_KEPT = 300_000    # white-space separated pieces remembered by a worker at most
+PIECES_KEPT = 400_000    # white-space separated pieces remembered by a worker at most
 # The pre-tokenizer's pattern and the white space it removes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"[\t-\r \x85\xa0  -     　]+"
@@ -267,16 +268,19 @@ class Codec:
         self.rules, self.lexicon = Rules(spec), Lexicon(lexicon)
         self.pattern = regex.compile(PATTERN + r"|\n")
         self.white = regex.compile(WHITE)
-        self.kept: dict[str, bytes] = {}
+        self.table = PieceTable(self.learn, self.has_special, PIECES_KEPT)
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() would cut at these
             return [p for p in self.white.split(text) if p]
         return text.split()
 
-    def learn(self, new: list[str]) -> None:
-        """Add the ids of pieces that aren't known."""
-        plain = [p for p in new if not (self.rules.cut and self.rules.cut.search(p))]
+    def has_special(self, piece: str) -> bool:
+        return any(s in piece for s in self.rules.special)
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of unseen pieces."""
+        plain = [p for p in new if not self.has_special(p)]
         # Lower case is by character: a final sigma isn't special.
         text = unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower()
         words = self.pattern.findall(text)
@@ -292,30 +296,23 @@ class Codec:
             if k >= 0:
                 known[w] = ids[at[k]:at[k + 1]].tobytes()
         known["\n"] = None
-        out, n = [], 0
+        learned, out = {}, []
         for w in words + ["\n"] if plain else []:
             if (x := known[w]) is None:
-                self.kept[plain[n]] = b"".join(out)
-                out, n = [], n + 1
+                learned[plain[len(learned)]] = b"".join(out)
+                out = []
             else:
                 out.append(x)
-        for p in new:  # pieces with special tokens inside
-            if p not in self.kept:
-                parts = [q for q in self.rules.cut.split(p) if q]
-                self.learn([q for q in parts if q not in self.rules.special and q not in self.kept])
-                self.kept[p] = b"".join(np.uint32(self.rules.special[q]).tobytes() if q in self.rules.special else self.kept[q] for q in parts)
+        return [learned[p] if p in learned else self.around_special(p) for p in new]
+
+    def around_special(self, piece: str) -> bytes:
+        """The ids of a piece with special tokens inside."""
+        parts = [q for q in self.rules.cut.split(piece) if q]
+        return b"".join(np.uint32(self.rules.special[q]).tobytes() if q in self.rules.special else self.learn([q])[0] for q in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.kept) if cut else set()
-        if len(new) + len(self.kept) > PIECES_KEPT:
-            self.kept.clear()
-            new = set().union(*cut)
-        if new:
-            self.learn(sorted(new))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return self.table.encode([self.pieces(t) for t in texts])
 
     def decode(self, ids: bytes) -> str:
         """The tokens with blanks between, special ones included."""

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.bpe import END, PATTERN, batches_of
+from pulseframe.llm.pieces import PieceTable
 from pulseframe.llm.tables import fresh_path, partitions, running_offsets, stash, text_or_empty
 from pulseframe.llm.warc import filesystem
 from pulseframe.session import ship_package
@@ -286,55 +287,45 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kept: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.table = PieceTable(self.learn, self.has_special, PIECES_KEPT)
         self.words = regex.compile(PATTERN)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(END)
 
-    def learn(self, new: list[str]) -> None:
+    def has_special(self, piece: str) -> bool:
+        return any(s in piece for s in self.special)
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> list[bytes]:
         """Encode unseen pieces, many in one text: every word of a piece ends
         with a word-end token, so the ids are cut by the pieces' word counts."""
-        size = []
-        for p in new:
-            q = (p if p.isascii() else unicodedata.normalize("NFC", p)).lower()
-            size.append(1 if q.isalpha() else len(self.words.findall(q)))
+        out = []
         for i in range(0, len(new), 2_000):
-            part = new[i:i + 2_000]
+            part, size = new[i:i + 2_000], []
+            for p in part:
+                q = p if p.isascii() else unicodedata.normalize("NFC", p)
+                size.append(1 if (q := q.lower()).isalpha() else len(self.words.findall(q)))
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.cumsum(size[i:i + 2_000])
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) != last[-1] or min(size[i:i + 2_000]) == 0:  # special tokens inside, or an odd fold
-                for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    self.kept[p] = np.array(e.ids, "<u4").tobytes()
+            last, ends = np.cumsum(size), np.flatnonzero(self.ends[ids])
+            if len(ends) != last[-1] or min(size) == 0:  # special tokens inside, or an odd fold
+                out += [self.alone(p) for p in part]
                 continue
             at = [0] + (4 * (ends[last - 1] + 1)).tolist()
             data = ids.tobytes()
-            self.kept.update(zip(part, [data[x:y] for x, y in zip(at, at[1:])]))
+            out += [data[x:y] for x, y in zip(at, at[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut = []
-        for i, t in enumerate(texts):
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # str.split() would cut at these, the library doesn't
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                cut.append([])
-            else:
-                cut.append(t.split())
-        here = set().union(*cut)
-        new = list(here.difference(self.kept))
-        self.again |= here.difference(new)
-        if len(new) + len(self.kept) > PIECES_KEPT:
-            # Keep what later batches asked for again; most pieces occur once.
-            self.kept = {p: self.kept[p] for p in self.again} if 2 * len(self.again) < PIECES_KEPT else {p: self.kept[p] for p in here.difference(new)}
-            self.again = set()
-        self.learn([p for p in new if "<|" not in p])
-        for p in new:
-            if p not in self.kept:
-                self.kept[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        get = self.kept.__getitem__
-        return [b"".join(map(get, c)) if x is None else x for c, x in zip(cut, out)]
+        # str.split() would cut at these four, the library doesn't.
+        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        out = self.table.encode([[] if i in odd else t.split() for i, t in enumerate(texts)])
+        for i in odd:
+            out[i] = self.alone(texts[i])
+        return out
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
