@@ -36,9 +36,8 @@ from pulseframe.llm.tables import text_or_empty
 
 LEXICON_WORDS = 50_000   # words compiled into the automaton at most
 PIECES_KEPT = 400_000    # white-space separated pieces remembered by a worker at most
-# The pre-tokenizer's pattern and the white space it removes.
+# Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WHITE = r"[\t-\r \x85\xa0  -     　]+"
 END = "</w>"
 
 NO_RANK = np.iinfo(np.int32).max
@@ -267,14 +266,8 @@ class Codec:
     def __init__(self, spec: str, lexicon: bytes):
         self.rules, self.lexicon = Rules(spec), Lexicon(lexicon)
         self.pattern = regex.compile(PATTERN + r"|\n")
-        self.white = regex.compile(WHITE)
         self.table = PieceTable(self.learn, self.has_special, PIECES_KEPT)
 
-    def pieces(self, text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() would cut at these
-            return [p for p in self.white.split(text) if p]
-        return text.split()
-
     def has_special(self, piece: str) -> bool:
         return any(s in piece for s in self.rules.special)
 
@@ -312,7 +305,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.table.encode([self.pieces(t) for t in texts])
+        return self.table.encode(texts)
 
     def decode(self, ids: bytes) -> str:
         """The tokens with blanks between, special ones included."""

@@ -1,9 +1,11 @@
 """A bounded table of the token ids of white-space separated pieces.
 
 Texts are joined from the ids of their pieces, since the tokenizers served here
-never merge across white space. Unseen pieces are learned many at once, and in
-parts: closing marks apart from the word before them, ASCII words in lower case,
-so that a word met in another form costs no merges.
+never merge across white space. Arrow cuts a batch at ASCII white space and
+numbers its pieces, so that Python handles each distinct one once. Unseen pieces
+are learned many at once, and in parts: closing marks apart from the word before
+them, ASCII words in lower case, so that a word met in another form costs no
+merges.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # ASCII marks that never join a letter before them (an apostrophe may).
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-WATCHED = 4  # of so many batches, one notes which pieces were known
 
 
 def cut_marks(piece: str) -> tuple[str, str]:
@@ -32,25 +37,33 @@ class PieceTable:
         self.learn, self.special, self.limit = learn, special, limit
         self.kept: dict[str, bytes] = {}
         self.again: set[str] = set()
-        self.batch = 0
 
-    def encode(self, cut: list[list[str]]) -> list[bytes]:
-        """The joined ids of each list of pieces."""
-        get = self.kept.get
-        found = [list(map(get, c)) for c in cut]
-        new = dict.fromkeys(p for c, f in zip(cut, found) for p, x in zip(c, f) if x is None)
-        if self.batch % WATCHED == 0 or len(new) + len(self.kept) > self.limit:
-            self.again |= set().union(*cut).difference(new)
-        self.batch += 1
-        if not new:
-            return list(map(b"".join, found))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = lists.values.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = self.found(names)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        first, n = (np.cumsum(size) - size)[codes], size[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+
+    def found(self, names: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.kept.get, names))
+        new = [p for p, x in zip(names, found) if x is None]
+        self.again.update(p for p, x in zip(names, found) if x is not None)
         if len(new) + len(self.kept) > self.limit:
             # Keep what later batches asked for again; most pieces occur once.
             self.kept = {p: self.kept[p] for p in self.again if p in self.kept} if 2 * len(self.again) < self.limit else {}
             self.again = set()
-        self.add(new)
-        kept = self.kept
-        return [b"".join([kept[p] if x is None else x for p, x in zip(c, f)]) for c, f in zip(cut, found)]
+        self.kept[""] = b""  # before and after white space at a text's ends
+        self.add([p for p in new if p])
+        return [self.kept[p] if x is None else x for p, x in zip(names, found)]
 
     def add(self, new) -> None:
         kept, need, forms, any_special = self.kept, {}, [], self.special(" ".join(new))

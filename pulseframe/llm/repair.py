@@ -320,12 +320,7 @@ class LibraryEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # str.split() would cut at these four, the library doesn't.
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        out = self.table.encode([[] if i in odd else t.split() for i, t in enumerate(texts)])
-        for i in odd:
-            out[i] = self.alone(texts[i])
-        return out
+        return self.table.encode(texts)
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
