@@ -66,10 +66,12 @@ class PieceTable:
         return [self.kept[p] if x is None else x for p, x in zip(names, found)]
 
     def add(self, new) -> None:
-        kept, need, forms, any_special = self.kept, {}, [], self.special(" ".join(new))
+        kept, need, forms, text = self.kept, {}, [], " ".join(new)
+        any_special = self.special(text) or self.special(text.lower())
         for p in new:
             q, marks = p.lower() if p.isascii() else p, ""
-            if any_special and self.special(p):
+            # Special tokens are told by case: their names in another case are plain text.
+            if any_special and (self.special(p) or self.special(q)):
                 q = p
             elif not q.isalpha():
                 q, marks = cut_marks(q)

@@ -51,6 +51,18 @@ def test_encoder_equals_library_and_decodes(spark):
     assert encode.encode(docs(spark, []), TOK).count() == 0
 
 
+def test_special_names_in_other_case_are_plain_text(spark):
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(TOK)
+    names = ["<|ENDOFTEXT|>b", "<|EndOfText|>Hello", "A<|endofText|>b", "<|ENDOFTEXT|>", "<|ENDOFTEXT|>b<|endoftext|>C", "<|endoftext|>Hello",
+             "<|StartOfText|>x", "<|STARTOFTEXT|>!"]
+    texts = [*names, " ".join(names), "plain Words " + " ".join(reversed(names))]
+    spec = open(TOK, encoding="utf-8").read()
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for encoder in (bpe.Codec(spec, bpe.lexicon_file(bpe.Rules(spec), ["hello"])), repair.LibraryEncoder(spec)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
 def test_lexicon_shares_suffixes():
     words = {b"testing": [1], b"resting": [2, 3], b"test": [4]}
     lex = bpe.Lexicon(bpe.compile_lexicon(words))
