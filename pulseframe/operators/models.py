@@ -11,6 +11,7 @@ math with no SQL form.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe.operators.quantiles import exact_quantiles
-from pulseframe.session import ship_package
+from pulseframe.session import scratch_path, ship_package
 
 
 def _with_field(df: DataFrame, name: str, dtype) -> T.StructType:
@@ -453,19 +454,17 @@ __all__ = ["Standardizer", "standardize", "PcaError", "IsolationForest", "OneCla
 
 
 # --------------------------------------------------------------------------
-# M11: k nearest neighbours vote against a bounded reference set
+# M11: k nearest neighbours vote
 # --------------------------------------------------------------------------
 
-def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int = 16_000_000) -> dict:
-    """Majority label of the k nearest reference rows, for each k (exact,
-    ties in distance by reference order, vote ties to the smaller label).
-    Squared distances use |x|^2 + |r|^2 - 2 x.r, one (chunk x reference)
-    matrix at a time of at most ``max_cells`` entries."""
-    out = {k: np.zeros(len(X), dtype=np.int64) for k in ks}
-    if len(X) == 0:
-        return out
-    kmax = max(ks)
-    labels = np.unique(y)
+BLOCK_ROWS = 20_000  # rows of a reference or query block
+
+
+def _nearest(X: np.ndarray, R: np.ndarray, kmax: int, max_cells: int = 16_000_000):
+    """(first row, nearest reference rows, distances) of runs of rows of ``X``
+    (exact, ties in distance by reference order). Squared distances use
+    |x|^2 + |r|^2 - 2 x.r, one (chunk x reference) matrix at a time of at most
+    ``max_cells`` entries."""
     r2 = (R * R).sum(axis=1)
     chunk = max(1, max_cells // max(len(R), 1))
     kk = min(kmax, len(R))
@@ -484,49 +483,125 @@ def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int =
                 near[i] = np.argsort(d[i], kind="stable")[:kk]
         else:
             near = np.argsort(d, axis=1, kind="stable")
-        ny = y[near]
+        yield s, near, np.take_along_axis(d, near, axis=1)
+
+
+def _majority(ny: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """Most frequent of the first ``k`` labels of each row (ties to the smaller)."""
+    ny = ny[:, :min(k, ny.shape[1])]
+    return labels[np.stack([(ny == lab).sum(axis=1) for lab in labels], axis=1).argmax(axis=1)]
+
+
+def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int = 16_000_000) -> dict:
+    """Majority label of the k nearest reference rows, for each k."""
+    out = {k: np.zeros(len(X), dtype=np.int64) for k in ks}
+    labels = np.unique(y)
+    for s, near, _ in _nearest(X, R, max(ks), max_cells):
         for k in ks:
-            kk2 = min(k, ny.shape[1])
-            counts = np.stack([(ny[:, :kk2] == lab).sum(axis=1) for lab in labels], axis=1)
-            out[k][s:s + chunk] = labels[counts.argmax(axis=1)]
+            out[k][s:s + len(near)] = _majority(y[near], labels, k)
     return out
 
 
+def _folds(ids, seed: int, folds: int) -> np.ndarray:
+    return np.array([hash((int(i), seed)) % folds for i in ids], dtype=np.int64)
+
+
+def _block_neighbours(queries: DataFrame, n_queries: int, reference: DataFrame, n_reference: int, kmax: int,
+                      block_rows: int, fold=None) -> DataFrame:
+    """(id, labels): labels of the ``kmax`` nearest rows of ``reference`` (id, x,
+    y), nearest first, for every row of ``queries`` (id, x). Every block of
+    queries meets every block of reference rows; the nearest of all blocks
+    merge by query. With ``fold`` (ids -> folds) only rows of other folds count."""
+    nq, nr = n_queries // block_rows + 1, n_reference // block_rows + 1
+    block = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n))
+    q = queries.select("id", "x", block(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    r = reference.select("id", "x", "y", block(nr).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("id", kind="stable")
+        out = []
+        if len(q) and len(r):
+            X, R = np.stack(q["x"]), np.stack(r["x"])
+            qi, ri, y = q["id"].to_numpy(), r["id"].to_numpy(), r["y"].to_numpy()
+            qf, rf = (fold(qi), fold(ri)) if fold else (np.zeros(len(qi)), np.ones(len(ri)))
+            for f in np.unique(qf):
+                rows, others = np.flatnonzero(qf == f), np.flatnonzero(rf != f)
+                for s, near, d in _nearest(X[rows], R[others], kmax) if len(others) else ():
+                    at = others[near]
+                    out += [(i, list(zip(*z))) for i, *z in zip(qi[rows[s:s + len(at)]].tolist(), d.tolist(), ri[at].tolist(), y[at].tolist())]
+        return pd.DataFrame(out, columns=["id", "near"])
+
+    met = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
+           .applyInPandas(meet, "id long, near array<struct<d: double, r: long, y: int>>"))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, kmax)
+    return met.groupBy("id").agg(F.transform(best, lambda s: s["y"]).alias("labels"))
+
+
 class KnnVote:
     """k-NN classifier with k chosen by 2-fold cross-validation over 1..24.
 
-    The reference set is a sample of at most ``max_reference`` labelled rows,
-    drawn by a hash of the id and ``seed``, so it can be shipped to every task
-    and each Arrow batch is scored exactly by brute force in numpy; the data
-    being scored is never gathered.
+    Every labelled row given to ``fit`` is a reference row. Up to
+    ``max_reference`` rows are shipped to every task and each Arrow batch is
+    scored exactly by brute force in numpy; beyond that the reference stays a
+    table on shared storage, and blocks of rows meet blocks of it (exact too,
+    the work grows with rows x reference rows). More than ``block_rows`` rows
+    are cross-validated by blocks as well. The data being scored is never
+    gathered. A row without label is no reference row.
     """
 
     def __init__(self, cols, label: str = "label", ks=range(1, 25), folds: int = 2,
-                 seed: int = 42, out: str = "p_knn", max_reference: int = 10_000):
+                 seed: int = 42, out: str = "p_knn", max_reference: int = 100_000, block_rows: int = BLOCK_ROWS):
         self.cols, self.label, self.ks, self.folds = list(cols), label, list(ks), folds
-        self.seed, self.out, self.max_reference = seed, out, max_reference
+        self.seed, self.out, self.max_reference, self.block_rows = seed, out, max_reference, block_rows
+
+    def _values(self) -> Column:
+        return F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in self.cols])
 
     def fit(self, train: DataFrame, id_col: str) -> "KnnVote":
-        sample = train.select(id_col, *self.cols, self.label).orderBy(F.xxhash64(F.col(id_col), F.lit(self.seed)), id_col)
-        rows = sorted(sample.limit(self.max_reference).collect(), key=lambda r: r[0])
-        ids = np.array([r[0] for r in rows])
-        X = np.array([[r[c] or 0.0 for c in self.cols] for r in rows], dtype=float)
-        y = np.array([int(r[self.label]) for r in rows])
-        fold = np.array([hash((int(i), self.seed)) % self.folds for i in ids])
-        acc = {k: 0 for k in self.ks}
-        for f in range(self.folds):
-            tr, te = fold != f, fold == f
-            if tr.sum() == 0 or te.sum() == 0:
-                continue
-            votes = _knn_votes(X[te], X[tr], y[tr], self.ks)
-            for k in self.ks:
-                acc[k] += int((votes[k] == y[te]).sum())
-        self.k = max(self.ks, key=lambda k: (acc[k], -k))
-        self.R, self.y = X, y
+        ship_package(train.sparkSession)
+        ref = _written(train.where(F.col(self.label).isNotNull())
+                       .select(F.col(id_col).cast("long").alias("id"), self._values().alias("x"), F.col(self.label).cast("int").alias("y")), "knn-reference")
+        n = ref.count()
+        self.keep(ref, n)
+        self.k = self.ks[0] if len(self.ks) == 1 else self._validated(ref, n)
         return self
 
+    def keep(self, ref: DataFrame, n: int) -> None:
+        """Take the ``n`` rows (id, x, y) as reference."""
+        self.ref, self.n = ref, n
+        self.R = self.y = None
+        if n <= self.max_reference:
+            self.ids, self.R, self.y = _arrays(ref, len(self.cols))
+
+    def _validated(self, ref: DataFrame, n: int) -> int:
+        acc = {k: 0 for k in self.ks}
+        if n <= self.block_rows:
+            ids, X, y = _arrays(ref, len(self.cols))
+            fold = _folds(ids, self.seed, self.folds)
+            for f in range(self.folds):
+                tr, te = fold != f, fold == f
+                if tr.sum() == 0 or te.sum() == 0:
+                    continue
+                votes = _knn_votes(X[te], X[tr], y[tr], self.ks)
+                for k in self.ks:
+                    acc[k] += int((votes[k] == y[te]).sum())
+        else:
+            seed, folds, ks = self.seed, self.folds, self.ks
+            near = _block_neighbours(ref, n, ref, n, max(ks), self.block_rows, lambda ids: _folds(ids, seed, folds))
+
+            def hits(batches):
+                for pdf in batches:
+                    for k, right in _right_votes(pdf, ks):
+                        yield pd.DataFrame({"k": [k], "right": [right]})
+
+            for r in near.join(ref.select("id", "y"), "id").mapInPandas(hits, "k int, right long").groupBy("k").agg(F.sum("right")).collect():
+                acc[r[0]] += r[1]
+        return max(self.ks, key=lambda k: (acc[k], -k))
+
     def transform(self, df: DataFrame) -> DataFrame:
         ship_package(df.sparkSession)
+        if self.R is None:
+            return self._by_blocks(df)
         sc = df.sparkSession.sparkContext
         ref = sc.broadcast((self.R, self.y))
         cols, k, out = self.cols, self.k, self.out
@@ -540,3 +615,41 @@ class KnnVote:
                 yield pdf
 
         return df.mapInPandas(score, schema)
+
+    def _by_blocks(self, df: DataFrame) -> DataFrame:
+        rows = _written(df.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
+        x = rows.select(F.col("_row").alias("id"), self._values().alias("x"))
+        near = _block_neighbours(x, rows.count(), self.ref, self.n, self.k, self.block_rows)
+        k = self.k
+
+        def vote(batches):
+            for pdf in batches:
+                if len(pdf):
+                    ny = np.stack(pdf["labels"])
+                    yield pd.DataFrame({"_row": pdf["id"], "_vote": _majority(ny, np.unique(ny), k).astype("int32")})
+
+        votes = near.mapInPandas(vote, "_row long, _vote int")
+        return rows.join(votes, "_row").select(*[F.col(c) for c in df.columns if c != self.out], F.col("_vote").alias(self.out))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to shared storage, so that every reader sees the same rows."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _arrays(ref: DataFrame, dims: int):
+    """Ids, features and labels of a reference table, by id."""
+    rows = sorted(ref.collect(), key=lambda r: r["id"])
+    return (np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["x"] for r in rows], dtype=float).reshape(-1, dims),
+            np.array([r["y"] for r in rows], dtype=np.int64))
+
+
+def _right_votes(pdf: pd.DataFrame, ks):
+    """(k, rows whose vote is their own label)."""
+    # Rows have as many neighbours as the other folds have rows, kmax at most.
+    for _, part in pdf.groupby(pdf["labels"].map(len)):
+        ny, y = np.stack(part["labels"]), part["y"].to_numpy()
+        for k in ks:
+            yield k, int((_majority(ny, np.unique(ny), k) == y).sum())

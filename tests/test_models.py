@@ -75,6 +75,32 @@ def test_knn_matches_brute_force(spark):
     assert pred == _knn_votes(Q, R, y, [m.k])[m.k].tolist()
 
 
+def test_knn_beyond_max_reference_uses_every_row(spark):
+    rng = np.random.default_rng(12)
+    R, Q = rng.integers(0, 12, (500, 3)).astype(float), rng.integers(0, 12, (90, 3)).astype(float)
+    y = ((R[:, 0] + R[:, 1] > 11) ^ (rng.random(500) < 0.1)).astype(int)
+    train = spark.createDataFrame(pd.DataFrame({"id": np.arange(500), "a": R[:, 0], "b": R[:, 1], "c": R[:, 2], "label": y}))
+    q = spark.createDataFrame(pd.DataFrame({"q": np.arange(90), "a": Q[:, 0], "b": Q[:, 1], "c": Q[:, 2]}))
+    whole = KnnVote(["a", "b", "c"], "label").fit(train, "id")
+    blocks = KnnVote(["a", "b", "c"], "label", max_reference=100, block_rows=70).fit(train, "id")
+    assert len(whole.y) == 500 and blocks.R is None and blocks.k == whole.k
+    pred = {r["q"]: r["p_knn"] for r in blocks.transform(q).collect()}
+    assert [pred[i] for i in range(90)] == _knn_votes(Q, R, y, [whole.k])[whole.k].tolist()
+
+
+def test_knn_vote_k5_keeps_the_reference_set_of_its_sql(spark):
+    from pulseframe.plans import catalog
+    sf = "/root/testdata/sf0.1"
+    a = catalog.fx(spark, sf, "activity").selectExpr("event_id", "datetimeutc", *catalog._KNN_COLS, "CASE WHEN io_wait = 'Y' THEN 1 ELSE 0 END AS label")
+    a = a.toPandas().sort_values("event_id")
+    train = a[a["datetimeutc"] < catalog._KNN_SPLIT]
+    assert len(train) > 10_000
+    train, asked = train[:10_000], a[(a["datetimeutc"] >= catalog._KNN_SPLIT) & (a["event_id"] % 40 == 0)]
+    want = _knn_votes(asked[["x1", "x2", "x3"]].to_numpy(float), train[["x1", "x2", "x3"]].to_numpy(float), train["label"].to_numpy(), [5])[5]
+    got = {r["event_id"]: r["p_knn"] for r in catalog.q_knn_vote_k5(spark, sf).where("event_id % 40 = 0").collect()}
+    assert got == dict(zip(asked["event_id"].tolist(), want.tolist()))
+
+
 def test_vote_and_metrics(spark):
     df = spark.createDataFrame([(1, 1, 0, 1), (0, 0, 1, 0), (1, 1, 1, 1), (0, 1, 0, 0)],
                                "p1 int, p2 int, p3 int, y int")
