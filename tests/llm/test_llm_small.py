@@ -113,6 +113,23 @@ def test_licences(spark):
     assert {(r["id"], r["licence"], r["first_word"]) for r in got} == {(0, "Apache-2.0", 100)}
 
 
+def test_licences_altered(spark):
+    t = licences.TEMPLATES
+    gpl2 = "x " * 7 + "\n# ".join(t["GPL-notice"].replace("version 3", "version 2").split("; "))
+    cases = [("a b Licensed under the Apache License, Version 2.0 (the thing", "Apache-2.0", 2), ("Licensed under the Apache License, Version 2.0", "Apache-2.0", 0),
+             ("all Released under the MIT License, and", "MIT", 1), ("Licensed under CC BY-NC 4.0, not sold", "CC-BY-NC-4.0", 0), (gpl2, "GPL-notice", 7),
+             ("q // " + t["MIT-disclaimer"].replace('"', "\u201c").replace("COPYRIGHT", "RIGHT"), "MIT-disclaimer", 2),
+             (t["BSD-conditions"].replace("following", "next", 1).replace(",", " ,"), "BSD-conditions", 0)]
+    got = licences.licence_spans(docs(spark, [c[0] for c in cases])).collect()
+    assert {(r["id"], r["licence"], r["first_word"]) for r in got} == {(i, name, at) for i, (_, name, at) in enumerate(cases)}
+    rows = licences.licence_spans(docs(spark, list(t.values()))).select("id", "licence").collect()
+    names = list(t)
+    found = {(names[r["id"]], r["licence"]) for r in rows}
+    assert {(n, n) for n in names} <= found
+    # Beside itself a notice only holds shorter templates.
+    assert all(len(t[b]) < len(t[a]) for a, b in found if a != b)
+
+
 def test_quality(spark):
     good = ["the cat sat on the mat and the dog ran to the house again"] * 30
     out = kneser_ney.quality(docs(spark, good + ["ZX## QQ%% !!JJ ##KK &&VV %%XX", "", None]), docs(spark, good).select("doc_id"))
