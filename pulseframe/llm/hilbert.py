@@ -8,9 +8,12 @@ a rank on each curve. A query looks at the ``window`` ranks on both sides on
 every curve: points and queries meet in blocks of 2 ``window`` ranks, exact
 cosines are taken there, and the lists of all curves merge to the nearest.
 
-A block is bounded by the window; equal points, also a third of all rows, are
-one point with its least ids. Recall grows with curves and window and was
-measured against brute force (README).
+The window follows the number of points (``window_for``), since a fixed one
+sees an ever smaller share of the neighbours; the work of a query grows with it.
+Cells are as fine as single precision, so that near copies have an order of
+their own on every curve. A block is bounded by the window; equal points, also a
+third of all rows, are one point with its least ids. Recall grows with curves
+and window and was measured against brute force (README).
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors of another dimension than the most
@@ -21,6 +24,8 @@ fewer rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,14 +38,21 @@ from pulseframe.session import ship_package
 
 CURVES = 32
 DIMS = 10
-BITS = 4
-WINDOW = 640
+BITS = 24
+WINDOW = 640           # up to WINDOW_POINTS points
+WINDOW_POINTS = 50_000
+WINDOW_POWER = 0.8
 SEED = 11
 
 
-def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Hilbert number of integer cells (points x dims, below 2^bits), by the
-    transpose form: undo excess work from the top bit, Gray-decode, interleave."""
+def window_for(points: int) -> int:
+    """Ranks looked at on both sides for recall@5 of 0.9 (README)."""
+    return math.ceil(WINDOW * max(1.0, points / WINDOW_POINTS) ** WINDOW_POWER)
+
+
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The transpose form of Hilbert numbers: undo excess work from the top
+    bit, Gray-decode."""
     x = cells.astype(np.int64).T.copy()
     n = len(x)
     for b in range(bits - 1, 0, -1):
@@ -57,26 +69,42 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     for b in range(bits - 1, 0, -1):
         t ^= np.where(x[n - 1] & (1 << b), (1 << b) - 1, 0)
     x ^= t
+    return x
+
+
+def _interleaved(x: np.ndarray, high: int, low: int) -> np.ndarray:
     key = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(n):
+    for b in range(high - 1, low - 1, -1):
+        for i in range(len(x)):
             key = key << 1 | (x[i] >> b) & 1
     return key
 
 
-def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int = SEED) -> np.ndarray:
-    """Keys (curves x points) of unit vectors."""
+def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert number of integer cells (points x dims, below 2^bits)."""
+    return _interleaved(_transposed(cells, bits), bits, 0)
+
+
+def hilbert_bytes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert numbers of any length, as byte strings of one length that sort
+    as the numbers do."""
+    x = _transposed(cells, bits)
+    step = max(1, 63 // len(x))
+    words = [_interleaved(x, b, max(b - step, 0)) for b in range(bits, 0, -step)]
+    return np.ascontiguousarray(np.stack(words, axis=1).astype(">u8")).view(f"V{8 * len(words)}").ravel()
+
+
+def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int = SEED):
+    """Keys of unit vectors on each curve."""
     rng = np.random.default_rng(seed)
     d = unit.shape[1]
     dims = min(dims, d)
-    out = np.empty((curves, len(unit)), np.int64)
-    for c in range(curves):
+    for _ in range(curves):
         axes = np.linalg.qr(rng.normal(size=(d, dims)))[0]
         shift = rng.random(dims)
         # A projection of a unit vector is near normal with variance 1/d.
         u = 1 / (1 + np.exp(-1.702 * np.sqrt(d) * (unit @ axes)))
-        out[c] = hilbert_key(np.minimum(((u + shift) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
-    return out
+        yield hilbert_bytes(np.minimum(((u + shift) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
 def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -96,9 +124,10 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-            curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW) -> DataFrame:
+            curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): up to ``k`` nearest rows of each query row
-    other than itself; ``is_query`` is a condition on ``id``."""
+    other than itself; ``is_query`` is a condition on ``id``. Without ``window``
+    it follows the number of points."""
     spark = df.sparkSession
     ship_package(spark)
     rows = valid_vectors(df, id_col, vec_col).dropDuplicates(["id", "v"])
@@ -106,6 +135,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     least = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
     point = rows.groupBy("v").agg(F.min("id").alias("p"), F.max(is_query).alias("asks"))
     points = stash(point.select("p", "asks", "v"), "points")
+    window = window or window_for(points.count())
     members = stash(least.join(points.select("p", "v"), "v").select("p", "id"), "members")
 
     def key_rows(batches):
@@ -116,10 +146,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             scaled = v / np.abs(v).max(axis=1, keepdims=True)
             unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
             for c, key in enumerate(curve_keys(unit, curves, dims, bits)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column("p"), b.column("asks"),
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.Array.from_buffers(pa.binary(key.itemsize), len(key), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary()), b.column("p"), b.column("asks"),
                                                   pa.array([x.tobytes() for x in v], pa.binary())], names=["curve", "key", "p", "asks", "vec"])
 
-    dealt = ranged(points.mapInArrow(key_rows, "curve int, key long, p long, asks boolean, vec binary"), "curves", "curve", "key", "p")
+    dealt = ranged(points.mapInArrow(key_rows, "curve int, key binary, p long, asks boolean, vec binary"), "curves", "curve", "key", "p")
     counts = dealt.groupBy("part", "curve").count()
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", "curve", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

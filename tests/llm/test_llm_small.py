@@ -152,6 +152,32 @@ def test_hilbert_exact_on_small_tables(spark):
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.lexsort((np.arange(60), -s))[:5].tolist()
 
 
+def test_hilbert_recall_among_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = 1 + 1e-4 * rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hilbert.nearest(df, F.col("id") % 50 == 0, curves=16, dims=8, window=150).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, got in found.items():
+        d = ((n - n[q]) ** 2).sum(axis=1)
+        hits += len(got & set(np.argsort(d)[1:6].tolist()))
+    assert len(found) == 60 and hits >= 0.9 * 5 * 60
+
+
+def test_hilbert_window_follows_the_points():
+    assert hilbert.window_for(50_000) == 640 and hilbert.window_for(1_500_000) == 9725
+
+
+def test_hilbert_bytes_sort_as_numbers():
+    cells = np.random.default_rng(1).integers(0, 64, (500, 10))
+    raw = [x.tobytes() for x in hilbert.hilbert_bytes(cells, 6)]
+    assert sorted(range(500), key=lambda i: raw[i]) == np.argsort(hilbert.hilbert_key(cells, 6), kind="stable").tolist()
+    assert len(hilbert.hilbert_bytes(cells, 24)[0].tobytes()) == 32
+
+
 @pytest.mark.parametrize("bits,dims", [(2, 2), (3, 3)])
 def test_hilbert_neighbours_touch(bits, dims):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
