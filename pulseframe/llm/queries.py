@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import edited, encode, hilbert, imatch, kneser_ney, licences, linededup, mixing, prefixjoin, repair, warc
+from pulseframe.llm import (align, edited, encode, hilbert, imatch, kneser_ney, licences, linededup, merkle, mixing, prefixjoin, repair, simhash,
+                            warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -115,8 +116,37 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixjoin.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def lower_ascii(c):
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*MANIFEST_FIELDS)
+    tampered = [lower_ascii(f) if f == "text" else f for f in MANIFEST_FIELDS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_hash(*(F.col(f) if isinstance(f, str) else f for f in tampered)))
+    m = merkle.manifest(docs, "lang", "doc_id", MANIFEST_FIELDS, {"changed": changed})
+    out = merkle.proofs(m, F.col("changed"), ["id"])
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+                      "verified")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = align.scored(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_imatch, op2_kneser_ney, op3_line_windows, op4_warc, op5_budget_mix, op6_licences,
-                                   op7_transducer_bpe, op8_hilbert_ann, op9_repair_tokens, op10_prefix_join)}
+                                   op7_transducer_bpe, op8_hilbert_ann, op9_repair_tokens, op10_prefix_join, op11_merkle,
+                                   op12_alignment, op13_simhash)}
 
 ORACLES = {
     # The lines covered by later occurrences of repeated three-line windows.
