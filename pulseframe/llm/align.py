@@ -29,6 +29,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -47,6 +48,8 @@ KNOWN_WORDS = 300_000   # aligned words a worker keeps
 CHUNK_BYTES = 4 << 20   # text aligned at a time (a longer text is one chunk)
 ID_BITS = 32            # a pair of ids is one long: A's above B's
 
+MARKS = (",", "|", ";", "")  # after an id: within a side, a group, a word
+
 # White space beside a space, and spaces at either end of a text.
 _WHITE = r"[ \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
@@ -60,33 +63,68 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> list[tuple[slice, slice]]:
-    """Groups of tokens of both sides, from the cumulative ends of their tokens
-    (empty tokens share the end before them; the last one of an end counts)."""
-    ia, ib = ({end: k + 1 for k, end in enumerate(ends)} for ends in (a_ends, b_ends))
-    out, a, b = [], 0, 0
-    for end in sorted(ia.keys() & ib.keys()):
-        out.append((slice(a, ia[end]), slice(b, ib[end])))
-        a, b = ia[end], ib[end]
-    return out
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of tokens of both sides, from the cumulative ends of their tokens:
+    how many of A's and of B's tokens end by each common end (tokens of no bytes
+    share the end before them; the last one of an end counts)."""
+    ia, ib = (dict(zip(ends, range(1, len(ends) + 1))) for ends in (a_ends, b_ends))
+    common = sorted(ia.keys() & ib.keys())
+    return tuple(np.fromiter(map(i.__getitem__, common), np.int64, len(common)) for i in (ia, ib))
+
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in A, in B) of the tokens whose bytes overlap: every stretch
+    between two neighbouring ends of either side lies in one token of each, and
+    never across a slice's end, which is an end of both."""
+    cuts = np.union1d(a_ends, b_ends)
+    cuts = cuts[cuts > 0]
+    return np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+
+
+def lists_of(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as one array and the start of each."""
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(at[-1])), at
+
+
+def per_list(values: pa.Array, at: np.ndarray, sep) -> pa.Array:
+    """Strings or bytes of each list, joined."""
+    kind = pa.large_binary() if isinstance(sep, bytes) else pa.large_string()
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), values.cast(kind)), pa.scalar(sep, kind))
 
 
-def links_of(a_ends: list[int], b_ends: list[int], group: tuple[slice, slice]) -> list[tuple[int, int]]:
-    """Places (in A, in B) of a group's tokens whose bytes overlap."""
-    (sa, sb), out = group, []
-    i, j = sa.start, sb.start
-    if sa.stop - i == 1 or sb.stop - j == 1:  # one token on a side overlaps all of the other
-        return [(x, y) for x in range(i, sa.stop) for y in range(j, sb.stop)]
-    while i < sa.stop and j < sb.stop:
-        out.append((i, j))
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
-    return out
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of ``n`` from ``first``, one run after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Known:
+    """Aligned words: their places, and by place n_a, n_b, n_groups, n_links,
+    groups as text, first link and the links' id pairs."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.sizes, self.first, self.pairs, self.text = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.again = np.zeros(0, bool)  # asked for after the chunk that brought it
+
+    def add(self, words: list[str], sizes: np.ndarray, text: list, pairs: np.ndarray) -> None:
+        n = len(self.place)
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(sizes[:, 3]) - sizes[:, 3]])
+        self.sizes, self.pairs = np.concatenate([self.sizes, sizes]), np.concatenate([self.pairs, pairs])
+        self.text += text
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def met_again(self) -> "Known":
+        """Only the words that a later chunk asked for: most occur once."""
+        out, at = Known(), np.flatnonzero(self.again)
+        words, text = np.array(list(self.place), object), np.array(self.text, object)
+        out.add(words[at].tolist(), self.sizes[at], text[at].tolist(), self.pairs[spread(self.first[at], self.sizes[at, 3])])
+        return out
 
 
 class Aligner:
-    """Aligned words of a worker: numbers of tokens, groups and links, the
-    groups as text and the linked pairs as longs."""
+    """Both tokenizers of a worker and the words it has aligned."""
 
     def __init__(self, a_spec: str, b_model: bytes, limit: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,17 +136,20 @@ class Aligner:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         letters = byte_letters()
-        # Added tokens stand for themselves; a plain text never holds them.
         plain = json.loads(a_spec)["model"]["vocab"]
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in plain.items() if all(c in letters for c in t)}
+        a_bytes = [b""] * (max([*plain.values(), *self.a.get_added_tokens_decoder()]) + 1)
+        for t, i in plain.items():
+            a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i)
-                        else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
-        self.a_size = {i: len(t) for i, t in self.a_bytes.items()}
-        self.b_size = np.array([len(t) for t in self.b_bytes])
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i)
+                   else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
+        self.bytes = pa.array(a_bytes, pa.large_binary()), pa.array(b_bytes, pa.large_binary())
+        self.size = tuple(np.array([len(t) for t in x]) for x in (a_bytes, b_bytes))
+        # Every id with each mark that may follow it.
+        self.spelled = pa.array([f"{i}{m}" for i in range(max(len(a_bytes), len(b_bytes))) for m in MARKS], pa.large_string())
         # Whether no piece has a space after another character.
         self.cuts = not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_control(i))
-        self.limit, self.known = limit, {}
+        self.limit, self.known = limit, Known()
 
     def words(self, texts: pa.Array) -> pa.ListArray:
         """The pieces of each text that are aligned apart."""
@@ -122,63 +163,74 @@ class Aligner:
             odd, cut = pa.array([True] * len(texts)), lambda t: [t]
         return pa.array([cut(t.as_py()) if o.as_py() else words.as_py() for t, o, words in zip(texts, odd, lists)], pa.list_(pa.string()))
 
-    def aligned(self, names: list[str]) -> list[tuple]:
-        """Records (n_a, n_b, n_groups, groups, pairs) of words; None for one
-        whose bytes don't come back."""
-        found = [self.known.get(w, self) for w in names]
-        new = [w for w, r in zip(names, found) if r is self]
+    def places(self, names: list[str]) -> np.ndarray:
+        """Places of words in ``known``, after aligning the new ones."""
+        new = [w for w in names if w not in self.known.place]
+        if new and len(new) + len(self.known.place) > self.limit:
+            self.known = self.known.met_again() if 2 * self.known.again.sum() < self.limit else Known()
+            new = [w for w in names if w not in self.known.place]
+        else:
+            self.known.again[[p for p in map(self.known.place.get, names) if p is not None]] = True
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known = {}
-            a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-            made = dict(zip(new, map(self.record, new, a_ids, self.b.encode(new, num_threads=1))))
-            self.known.update(made)
-            return [made[w] if r is self else r for w, r in zip(names, found)]
-        return found
-
-    def record(self, word: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        want = b" " + word.encode("utf-8")
-        if not word or b"".join(self.b_bytes[i] for i in b_ids) != want or b"".join(self.a_bytes.get(i, b"") for i in a_ids) != want:
-            return None
-        if len(a_ids) == len(b_ids) == 1:
-            return 1, 1, 1, f"{a_ids[0]}|{b_ids[0]}", (a_ids[0] << ID_BITS | b_ids[0],)
-        a_ends, b_ends, at = [], [], 0
-        for i in a_ids:
-            at += self.a_size[i]
-            a_ends.append(at)
-        at = 0
-        for i in b_ids:
-            at += len(self.b_bytes[i])
-            b_ends.append(at)
-        groups = align(a_ends, b_ends)
-        pairs = [a_ids[i] << ID_BITS | b_ids[j] for g in groups for i, j in links_of(a_ends, b_ends, g)]
-        text = ";".join(",".join(map(str, a_ids[x])) + "|" + ",".join(map(str, b_ids[y])) for x, y in groups)
-        return len(a_ids), len(b_ids), len(groups), text, tuple(pairs)
+            a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
+            self.known.add(new, *self.aligned(new, a, self.b.encode(new, num_threads=1)))
+        return np.fromiter(map(self.known.place.__getitem__, names), np.int64, len(names))
+
+    def aligned(self, words: list[str], a_lists: list[list[int]], b_lists: list[list[int]]) -> tuple:
+        """Sizes, groups as text (null for a word whose bytes don't come back)
+        and id pairs of words, which are aligned as one run of bytes: their ends
+        are ends of both sides."""
+        want = pa.array([b" " + w.encode("utf-8") if w else None for w in words], pa.large_binary())
+        whole = [pc.equal(per_list(x.take(pa.array(ids)), at, b""), want) for x, (ids, at) in zip(self.bytes, map(lists_of, (a_lists, b_lists)))]
+        good = pc.fill_null(pc.and_(*whole), False).to_numpy(zero_copy_only=False)
+        (a, a_at), (b, b_at) = (lists_of([x for x, g in zip(lists, good) if g]) for lists in (a_lists, b_lists))
+        a_ends, b_ends = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
+        ga, gb = align(a_ends.tolist(), b_ends.tolist())
+        i, j = links_of(a_ends, b_ends)
+        sizes = np.zeros((len(words), 4), np.int64)
+        ends = a_ends[a_at[1:] - 1]
+        sizes[good] = np.stack([np.diff(a_at), np.diff(b_at), np.diff(np.searchsorted(ga, a_at[1:], "right"), prepend=0),
+                                np.diff(np.searchsorted(a_ends[i], ends, "right") if len(i) else ends * 0, prepend=0)], axis=1)
+        # Text: each group's ids of A, then of B, every id with the mark after it.
+        na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
+        start = np.cumsum(na + nb) - na - nb
+        out = np.empty(len(a) + len(b), np.int64)
+        out[spread(start, na)] = a * len(MARKS)
+        out[spread(start + na, nb)] = b * len(MARKS)
+        mark = np.zeros(len(out), np.int64)
+        mark[start + na - 1] = 1
+        mark[start + na + nb - 1] = 2
+        mark[a_at[1:] + b_at[1:] - 1] = 3
+        text = np.full(len(words), None, object)
+        text[good] = per_list(self.spelled.take(pa.array(out + mark)), a_at + b_at, "").to_pylist()
+        return sizes, text.tolist(), a[i] << ID_BITS | b[j]
 
     def texts(self, texts: pa.Array):
-        """For texts of one chunk: (n_a, n_b, n_groups, n_links, groups as text
-        or '', pairs, times of each pair)."""
+        """For texts of one chunk: sizes (n_a, n_b, n_groups, n_links), groups
+        as text ('' without tokens), the start of each text's pairs, the pairs
+        and their times."""
         lists = self.words(texts)
         coded = lists.values.dictionary_encode()
-        records = self.aligned(coded.dictionary.to_pylist())
-        codes, at = coded.indices.to_numpy(), lists.offsets.to_numpy()
-        bad = np.array([r is None for r in records], bool)
-        sizes = np.array([(0, 0, 0, 0) if r is None else (r[0], r[1], r[2], len(r[4])) for r in records], np.int64).reshape(-1, 4)
-        spelled = [None if r is None else r[3] for r in records]
-        flat = np.fromiter((p for r in records if r is not None for p in r[4]), np.int64, int(sizes[:, 3].sum()))
-        first = np.cumsum(sizes[:, 3]) - sizes[:, 3]
-        for k in range(len(at) - 1):
-            own = codes[at[k]:at[k + 1]]
-            if bad[own].any():
-                yield 0, 0, 0, 0, "", flat[:0], flat[:0]
-                continue
-            word, times = np.unique(own, return_counts=True)
-            n = sizes[word, 3]
-            where = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs, back = np.unique(flat[where], return_inverse=True)
-            count = np.bincount(back, weights=np.repeat(times, n), minlength=len(pairs)).astype(np.int64)
-            total = (sizes[word] * times[:, None]).sum(axis=0)
-            yield *total.tolist(), ";".join([spelled[c] for c in own.tolist()]), pairs, count
+        at = lists.offsets.to_numpy().astype(np.int64)
+        codes, place = coded.indices.to_numpy(), self.places(coded.dictionary.to_pylist())
+        k = self.known
+        spelled, sizes = [k.text[i] for i in place.tolist()], k.sizes[place]
+        row = np.repeat(np.arange(len(texts)), np.diff(at))
+        bad = np.zeros(len(texts), bool)
+        bad[row[np.array([t is None for t in spelled], bool)[codes]]] = True
+        groups = pc.if_else(pa.array(bad), "", pc.fill_null(per_list(pa.array(spelled, pa.large_string()).take(pa.array(codes)), at, ";"), ""))
+        codes, row = codes[~bad[row]], row[~bad[row]]
+        total = np.zeros((len(texts), 4), np.int64)
+        for c in range(4):
+            total[:, c] = np.bincount(row, weights=sizes[codes, c], minlength=len(texts))
+        # Distinct words of each text, then their pairs, then distinct pairs.
+        key, times = np.unique(row * max(1, len(place)) + codes, return_counts=True)
+        word, row = key % max(1, len(place)), key // max(1, len(place))
+        n = sizes[word, 3]
+        pair, number = np.unique(k.pairs[spread(k.first[place[word]], n)], return_inverse=True)
+        key, back = np.unique(np.repeat(row, n) * max(1, len(pair)) + number, return_inverse=True)
+        count = np.bincount(back, weights=np.repeat(times, n), minlength=len(key)).astype(np.int64)
+        return total, groups, np.searchsorted(key // max(1, len(pair)), np.arange(len(texts) + 1)), pair[key % max(1, len(pair))], count
 
 
 _aligners: dict[str, Aligner] = {}
@@ -221,13 +273,12 @@ def align_texts(df: DataFrame, a_file: str, b_file: str, text_col: str = "text",
         for b in batches:
             texts = b.column("__text").cast(pa.string())
             for s in chunks(texts):
-                rows = list(own.texts(texts.slice(s.start, s.stop - s.start)))
-                sizes = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-                groups = [r[4] if spell or not r[4] else hashlib.sha256(r[4].encode()).hexdigest() for r in rows]
-                at = pa.array(np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[k] for r in rows]))) for k in (5, 6)]
+                sizes, groups, at, *pairs = own.texts(texts.slice(s.start, s.stop - s.start))
+                if not spell:
+                    groups = [hashlib.sha256(g.encode()).hexdigest() if g else g for g in groups.to_pylist()]
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in pairs]
                 kept = b.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in keep), *sizes, pa.array(groups, pa.string()), *lists], names=[*keep, *new])
+                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in keep), *(pa.array(x) for x in sizes.T), pa.array(groups, pa.string()), *lists], names=[*keep, *new])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
     return (df.select(*keep, text_or_empty(text_col).alias("__text"))
