@@ -502,39 +502,9 @@ def _knn_votes(X: np.ndarray, R: np.ndarray, y: np.ndarray, ks, max_cells: int =
     return out
 
 
-def _folds(ids, seed: int, folds: int) -> np.ndarray:
-    return np.array([hash((int(i), seed)) % folds for i in ids], dtype=np.int64)
-
-
-def _block_neighbours(queries: DataFrame, n_queries: int, reference: DataFrame, n_reference: int, kmax: int,
-                      block_rows: int, fold=None) -> DataFrame:
-    """(id, labels): labels of the ``kmax`` nearest rows of ``reference`` (id, x,
-    y), nearest first, for every row of ``queries`` (id, x). Every block of
-    queries meets every block of reference rows; the nearest of all blocks
-    merge by query. With ``fold`` (ids -> folds) only rows of other folds count."""
-    nq, nr = n_queries // block_rows + 1, n_reference // block_rows + 1
-    block = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n))
-    q = queries.select("id", "x", block(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    r = reference.select("id", "x", "y", block(nr).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-
-    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values("id", kind="stable")
-        out = []
-        if len(q) and len(r):
-            X, R = np.stack(q["x"]), np.stack(r["x"])
-            qi, ri, y = q["id"].to_numpy(), r["id"].to_numpy(), r["y"].to_numpy()
-            qf, rf = (fold(qi), fold(ri)) if fold else (np.zeros(len(qi)), np.ones(len(ri)))
-            for f in np.unique(qf):
-                rows, others = np.flatnonzero(qf == f), np.flatnonzero(rf != f)
-                for s, near, d in _nearest(X[rows], R[others], kmax) if len(others) else ():
-                    at = others[near]
-                    out += [(i, list(zip(*z))) for i, *z in zip(qi[rows[s:s + len(at)]].tolist(), d.tolist(), ri[at].tolist(), y[at].tolist())]
-        return pd.DataFrame(out, columns=["id", "near"])
-
-    met = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-           .applyInPandas(meet, "id long, near array<struct<d: double, r: long, y: int>>"))
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, kmax)
-    return met.groupBy("id").agg(F.transform(best, lambda s: s["y"]).alias("labels"))
+def _fold(seed: int, folds: int) -> Column:
+    """Fold of a reference row."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(folds)).cast("int")
 
 
 class KnnVote:
@@ -542,17 +512,20 @@ class KnnVote:
 
     Every labelled row given to ``fit`` is a reference row. Up to
     ``max_reference`` rows are shipped to every task and each Arrow batch is
-    scored exactly by brute force in numpy; beyond that the reference stays a
-    table on shared storage, and blocks of rows meet blocks of it (exact too,
-    the work grows with rows x reference rows). More than ``block_rows`` rows
-    are cross-validated by blocks as well. The data being scored is never
+    scored exactly by brute force in numpy. Beyond that the neighbours come from
+    a ``NeighbourIndex`` of ``trees`` trees over all reference rows, whose work grows
+    with the rows and not with rows x reference rows; its neighbours are
+    approximate (see ``neighbours.recall``). ``exact=True`` keeps the exact search at every
+    size (blocks of rows meet blocks of reference rows). More than ``block_rows``
+    rows are cross-validated in the same way. The data being scored is never
     gathered. A row without label is no reference row.
     """
 
-    def __init__(self, cols, label: str = "label", ks=range(1, 25), folds: int = 2,
-                 seed: int = 42, out: str = "p_knn", max_reference: int = 100_000, block_rows: int = BLOCK_ROWS):
+    def __init__(self, cols, label: str = "label", ks=range(1, 25), folds: int = 2, seed: int = 42, out: str = "p_knn",
+                 max_reference: int = 100_000, block_rows: int = BLOCK_ROWS, exact: bool = False, trees: int = 12):
         self.cols, self.label, self.ks, self.folds = list(cols), label, list(ks), folds
         self.seed, self.out, self.max_reference, self.block_rows = seed, out, max_reference, block_rows
+        self.exact, self.trees = exact, trees
 
     def _values(self) -> Column:
         return F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in self.cols])
@@ -576,8 +549,7 @@ class KnnVote:
     def _validated(self, ref: DataFrame, n: int) -> int:
         acc = {k: 0 for k in self.ks}
         if n <= self.block_rows:
-            ids, X, y = _arrays(ref, len(self.cols))
-            fold = _folds(ids, self.seed, self.folds)
+            _, X, y, fold = _arrays(ref.withColumn("fold", _fold(self.seed, self.folds)), len(self.cols), "fold")
             for f in range(self.folds):
                 tr, te = fold != f, fold == f
                 if tr.sum() == 0 or te.sum() == 0:
@@ -586,8 +558,10 @@ class KnnVote:
                 for k in self.ks:
                     acc[k] += int((votes[k] == y[te]).sum())
         else:
-            seed, folds, ks = self.seed, self.folds, self.ks
-            near = _block_neighbours(ref, n, ref, n, max(ks), self.block_rows, lambda ids: _folds(ids, seed, folds))
+            ks, fold, near = self.ks, _fold(self.seed, self.folds), None
+            for f in range(self.folds):
+                part = self._neighbours(ref.where(fold == f).select("id", "x"), ref.where(fold != f), max(ks))
+                near = part if near is None else near.unionByName(part)
 
             def hits(batches):
                 for pdf in batches:
@@ -601,7 +575,7 @@ class KnnVote:
     def transform(self, df: DataFrame) -> DataFrame:
         ship_package(df.sparkSession)
         if self.R is None:
-            return self._by_blocks(df)
+            return self._by_neighbours(df)
         sc = df.sparkSession.sparkContext
         ref = sc.broadcast((self.R, self.y))
         cols, k, out = self.cols, self.k, self.out
@@ -616,20 +590,31 @@ class KnnVote:
 
         return df.mapInPandas(score, schema)
 
-    def _by_blocks(self, df: DataFrame) -> DataFrame:
+    def _neighbours(self, queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+        """(id, labels): labels of the nearest reference rows, nearest first."""
+        from pulseframe.operators.neighbours import NeighbourIndex, exact_nearest
+        if self.exact:
+            near = exact_nearest(queries, reference, k, self.block_rows)
+        else:
+            near = NeighbourIndex(len(self.cols), k, self.trees, seed=self.seed).fit(reference).nearest(queries)
+        return near.select("id", F.col("y").alias("labels")).where(F.size("labels") > 0)
+
+    def _by_neighbours(self, df: DataFrame) -> DataFrame:
         rows = _written(df.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
         x = rows.select(F.col("_row").alias("id"), self._values().alias("x"))
-        near = _block_neighbours(x, rows.count(), self.ref, self.n, self.k, self.block_rows)
+        near = self._neighbours(x, self.ref, self.k)
         k = self.k
 
         def vote(batches):
             for pdf in batches:
-                if len(pdf):
-                    ny = np.stack(pdf["labels"])
-                    yield pd.DataFrame({"_row": pdf["id"], "_vote": _majority(ny, np.unique(ny), k).astype("int32")})
+                for _, part in pdf.groupby(pdf["labels"].map(len)):
+                    ny = np.stack(part["labels"])
+                    yield pd.DataFrame({"_row": part["id"], "_vote": _majority(ny, np.unique(ny), k).astype("int32")})
 
         votes = near.mapInPandas(vote, "_row long, _vote int")
-        return rows.join(votes, "_row").select(*[F.col(c) for c in df.columns if c != self.out], F.col("_vote").alias(self.out))
+        # A row whose leaves hold no reference row gets the most frequent label.
+        usual = self.ref.groupBy("y").count().orderBy(F.desc("count"), "y").first()
+        return rows.join(votes, "_row", "left").na.fill({"_vote": usual["y"] if usual else 0}).select(*[F.col(c) for c in df.columns if c != self.out], F.col("_vote").alias(self.out))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -639,11 +624,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _arrays(ref: DataFrame, dims: int):
-    """Ids, features and labels of a reference table, by id."""
+def _arrays(ref: DataFrame, dims: int, *more: str):
+    """Ids, features, labels and ``more`` of a reference table, by id."""
     rows = sorted(ref.collect(), key=lambda r: r["id"])
     return (np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["x"] for r in rows], dtype=float).reshape(-1, dims),
-            np.array([r["y"] for r in rows], dtype=np.int64))
+            np.array([r["y"] for r in rows], dtype=np.int64), *(np.array([r[c] for r in rows], dtype=np.int64) for c in more))
 
 
 def _right_votes(pdf: pd.DataFrame, ks):

@@ -1433,3 +1433,29 @@ def q_knn_vote_k5(spark, sf):
     train = a.where(F.col("datetimeutc") < cut).orderBy("event_id").limit(10_000)
     m = KnnVote(["x1", "x2", "x3"], "label", ks=[5]).fit(train, "event_id")
     return m.transform(a.where(F.col("datetimeutc") >= cut)).select("event_id", "p_knn")
+
+
+@register("knn_index_recall", with_fixtures("activity") + """
+SELECT count(*) AS queries, true AS recall_reached FROM activity WHERE event_id % 20 = 0
+""", "M11")
+def q_knn_index_recall(spark, sf):
+    """The 5 nearest rows by the neighbour index, for every row whose id is
+    divisible by 20 against all rows, and whether at least 0.9 of those that the exact
+    search finds are among them."""
+    from pulseframe.operators.neighbours import NeighbourIndex, exact_nearest, recall
+    x = F.array(*[F.expr(c.split(" AS ")[0]) for c in _KNN_COLS])
+    rows = fx(spark, sf, "activity").select(F.col("event_id").alias("id"), x.alias("x"), F.lit(0).alias("y"))
+    asked = rows.where("id % 20 = 0").select("id", "x")
+    found = NeighbourIndex(3, 5).fit(rows).nearest(asked)
+    out = recall(found, exact_nearest(asked, rows, 5))
+    return out.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@register("embedding_knn_indexed", None, "M11")
+def q_embedding_knn_indexed(spark, sf):
+    """Vote of the 5 nearest embeddings by the neighbour index, for the test
+    share against the training share."""
+    from pulseframe.operators.models import KnnVote, split_flag
+    e, cols = _embedding_cols(spark, sf)
+    m = KnnVote(cols, "label", ks=[5], max_reference=0).fit(e.where(split_flag("vec_id", 80)), "vec_id")
+    return m.transform(e.where(~split_flag("vec_id", 80))).select("vec_id", "label", "p_knn")
