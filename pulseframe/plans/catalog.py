@@ -1443,7 +1443,7 @@ def q_knn_index_recall(spark, sf):
     divisible by 20 against all rows, and whether at least 0.9 of those that the exact
     search finds are among them."""
     from pulseframe.operators.neighbours import NeighbourIndex, exact_nearest, recall
-    x = F.array(*[F.expr(c.split(" AS ")[0]) for c in _KNN_COLS])
+    x = F.array(*[F.expr(c.rsplit(" AS ", 1)[0]) for c in _KNN_COLS])
     rows = fx(spark, sf, "activity").select(F.col("event_id").alias("id"), x.alias("x"), F.lit(0).alias("y"))
     asked = rows.where("id % 20 = 0").select("id", "x")
     found = NeighbourIndex(3, 5).fit(rows).nearest(asked)
@@ -1459,3 +1459,74 @@ def q_embedding_knn_indexed(spark, sf):
     e, cols = _embedding_cols(spark, sf)
     m = KnnVote(cols, "label", ks=[5], max_reference=0).fit(e.where(split_flag("vec_id", 80)), "vec_id")
     return m.transform(e.where(~split_flag("vec_id", 80))).select("vec_id", "label", "p_knn")
+
+
+# Sample times of an hour, so that many rows share one; late rows of the last
+# day of a ten-day part are delivered with the next part.
+_HOURLY = "date_trunc('hour', datetimeutc)"
+
+
+def _late_files(spark, sf, name):
+    """The activity rows as three files of a folder, in order of delivery."""
+    import uuid
+
+    from pulseframe.session import scratch_path
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    a = fx(spark, sf, "activity").withColumn("datetimeutc", F.expr(f"cast({_HOURLY} AS timestamp_ntz)"))
+    late = F.when(F.col("event_id") % 2 == 0, F.expr("datetimeutc + INTERVAL 1 DAY")).otherwise(F.col("datetimeutc"))
+    part = F.least(F.floor((F.dayofmonth(late) - 1) / 10), F.lit(2)) + F.when(F.month(late) > 1, 10).otherwise(0)
+    a = a.withColumn("_part", F.least(part, F.lit(2)))
+    for k in range(3):
+        a.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(a.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("stream_wait_counts", with_fixtures("activity") + f""",
+h AS (SELECT event_id, io_wait, {_HOURLY} AS t FROM activity),
+c AS (SELECT event_id, t, count(*) FILTER (WHERE io_wait = 'Y') OVER (PARTITION BY t) AS avg_io_wait_time FROM h)
+SELECT event_id, avg_io_wait_time FROM c WHERE t <= (SELECT max(t) FROM h) - INTERVAL 2 DAY
+""", "W1 J2")
+def q_stream_wait_counts(spark, sf):
+    """Waits per sample time counted in state over several files, a sample
+    time's rows in two of them; times that the watermark hasn't passed are left."""
+    from pulseframe.streaming import run_available, stream_io_wait_count
+    s = stream_io_wait_count(_late_files(spark, sf, "late-activity"), watermark="2 days")
+    return run_available(s.select("event_id", "avg_io_wait_time"), "append", "wait-counts")
+
+
+@register("stream_duration_profile", with_fixtures("activity") + f""",
+s AS (SELECT query, avg(duration) AS m, max(duration) AS x FROM activity WHERE datetimeutc < TIMESTAMP '{_KNN_SPLIT}' GROUP BY query)
+SELECT a.event_id, round(coalesce(s.m, a.duration), {D}) AS avg_query_duration, coalesce(s.x, a.duration) AS max_query_duration
+FROM activity a LEFT JOIN s ON a.query = s.query
+""", "W2 W3 J2")
+def q_stream_duration_profile(spark, sf):
+    """Statistics of the texts, fitted before a time, saved and joined to the
+    stream of all rows: the same in any split; an unseen text takes its own."""
+    import uuid
+
+    from pulseframe.plans.features import duration_profile
+    from pulseframe.session import scratch_path
+    from pulseframe.streaming import run_available
+    path = scratch_path(spark, "profile-" + uuid.uuid4().hex[:12])
+    duration_profile().fit(fx(spark, sf, "activity").where(F.col("datetimeutc") < F.lit(_KNN_SPLIT).cast("timestamp_ntz"))).save(path, 0)
+    s = duration_profile().load(spark, path).transform(_late_files(spark, sf, "profiled-activity"))
+    out = run_available(s.select("event_id", "avg_query_duration", "max_query_duration"), "append", "profile")
+    return out.withColumn("avg_query_duration", F.round("avg_query_duration", D))
+
+
+@register("maintained_profile", with_fixtures("activity") + f"""
+SELECT query, round(avg(duration), {D}) AS avg_query_duration, max(duration) AS max_query_duration FROM activity GROUP BY query
+""", "W2 W3 J2 X5")
+def q_maintained_profile(spark, sf):
+    """Statistics of the texts kept up micro-batch by micro-batch: the newest
+    version equals the statistics of all rows."""
+    import uuid
+
+    from pulseframe.plans.features import duration_profile
+    from pulseframe.session import scratch_path
+    path = scratch_path(spark, "kept-profile-" + uuid.uuid4().hex[:12])
+    stream = _late_files(spark, sf, "kept-activity")
+    p = duration_profile().fit(fx(spark, sf, "activity").limit(0))
+    p.maintain(stream, path + "/versions", path + "/checkpoint", {"availableNow": True}).awaitTermination()
+    kept = duration_profile().load(spark, path + "/versions").state
+    return kept.select(F.col("key").alias("query"), F.round(F.col("total") / F.col("n"), D).alias("avg_query_duration"), F.col("top").alias("max_query_duration"))

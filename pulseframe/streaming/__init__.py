@@ -10,3 +10,4 @@ from pulseframe.streaming.activity_stream import (  # noqa: F401
     activity_line_stream, dedup_events, event_stream, minute_rollup, refit_every, run_available,
     score_batches, score_stream, stream_to_table,
 )
+from pulseframe.streaming.group_stats import GroupStatistics, stream_group_count, stream_io_wait_count  # noqa: F401
