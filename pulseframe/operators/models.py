@@ -88,15 +88,18 @@ class PcaError:
     """Mean squared reconstruction error after projecting standardised
     features on the top ``k`` principal components: for centred x,
     ``(|x|^2 - |P^T x|^2) / d``. The covariance is one distributed
-    aggregate (MLlib); the d x k projection ships with the model."""
+    aggregate (MLlib); the d x k projection ships with the model. ``k`` is below
+    d: with all components the error would be 0 on every row. (Wide or sparse
+    rows: ``svd.TruncatedSvd``.)"""
 
-    def __init__(self, cols, k: int = 64, out: str = "autoencoder"):
+    def __init__(self, cols, k: int, out: str = "autoencoder"):
+        if not 1 <= k < len(cols):
+            raise ValueError(f"k = {k} must be at least 1 and below the number of columns, {len(cols)}")
         self.cols, self.k, self.out = list(cols), k, out
 
     def fit(self, df: DataFrame) -> "PcaError":
         self.scaler = Standardizer(self.cols).fit(df)
-        k = min(self.k, len(self.cols))
-        self.pca = PCA(k=k, inputCol="_x", outputCol="_p").fit(self._vectors(df))
+        self.pca = PCA(k=self.k, inputCol="_x", outputCol="_p").fit(self._vectors(df))
         return self
 
     def _vectors(self, df: DataFrame) -> DataFrame:

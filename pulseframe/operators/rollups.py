@@ -174,12 +174,16 @@ def tables_by_size(df: DataFrame, size_col: str = "total_size") -> DataFrame:
 
 
 def latest_snapshot(df: DataFrame, keys, ts: str) -> DataFrame:
-    """The newest row per key. A max-by aggregate: partial per task, so a
-    key with many snapshots never gathers in one task."""
+    """The newest row per key, with all its columns. A max aggregate: partial per
+    task, so a key with many snapshots never gathers in one task. A row without
+    time is older than any; of rows with the same time the one with the
+    largest other values counts, compared in column order (nulls smallest). Null
+    keys form a group of their own."""
     keys = list(keys)
     others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in [ts] + [o for o in others if o != ts]])
-    g = df.groupBy(*keys).agg(F.max_by(packed, F.col(ts)).alias("_row"))
+    # Null sorts below every value in a struct.
+    packed = F.struct(F.col(ts).alias("_ts"), *[F.col(c) for c in others])
+    g = df.groupBy(*keys).agg(F.max(packed).alias("_row"))
     return g.select(*keys, *[F.col("_row." + c).alias(c) for c in others])
 
 

@@ -9,10 +9,14 @@ time, and otherwise splits a skewed key's partition (skew join).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulseframe.session import scratch_path
+
 
 def attach_group_stats(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
     """Add one column per aggregate of the row's group. Rows with a null key
@@ -49,7 +53,9 @@ def backfill(df: DataFrame, cols, partition_by, order_by, block: Column | None =
     time or ``floor(id / 10000)``) splits each partition further, so a hot
     partition key is filled in many tasks: nulls are first filled inside
     (partition, block); the first non-null value of every block is then
-    carried back across blocks on the small per-block table, and joined in.
+    carried back across blocks on the small per-block table, and joined in
+    (null partition keys included). Where no block width suits the density
+    of the ordering key, ``backfill_ranges`` cuts by row count.
     """
     cols = list(cols)
     pk = list(partition_by)
@@ -71,11 +77,51 @@ def backfill(df: DataFrame, cols, partition_by, order_by, block: Column | None =
              .rowsBetween(Window.unboundedPreceding, -1))
     carry = firsts.select(*keys, *[F.last("_f_" + c, ignorenulls=True).over(w_blk).alias("_n_" + c)
                                    for c in cols])
-    out = d.join(carry, keys, "left")
+    out = _null_safe_left(d, carry, keys)
     return out.withColumns({c: F.coalesce(F.col(c), F.col("_n_" + c)) for c in cols}).drop(
         "_blk", *["_n_" + c for c in cols])
 
 
+def _null_safe_left(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join on ``keys``, null matching null."""
+    other = right.withColumnsRenamed({k: "_k_" + k for k in keys})
+    cond = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col("_k_" + k))
+        cond = one if cond is None else cond & one
+    return left.join(other, cond, "left").drop(*["_k_" + k for k in keys])
+
+
+def backfill_ranges(df: DataFrame, cols, partition_by, order_by, ranges: int | None = None) -> DataFrame:
+    """``backfill`` as a segmented scan: rows are dealt to ``ranges`` of about
+    equal row counts by (partition, order), whatever the density of the ordering
+    key, and written once. Nulls are filled inside each piece (the rows of one
+    partition key in one range); the first value of every piece is carried back over the
+    pieces of its key on a small table (a row per range and key), and joined in.
+
+    A hot key is so filled in as many tasks as its rows have ranges. Null
+    partition keys are a partition of their own, as in the plain form. ``order_by`` must tell
+    the rows of a key apart for a defined result; null order values come first."""
+    cols, pk = list(cols), list(partition_by)
+    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (df.repartitionByRange(n, *pk, *order).sortWithinPartitions(*pk, *order)
+             .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    path = scratch_path(spark, f"backfill-{uuid.uuid4().hex}")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    keys = ["_part", *pk]
+    inside = Window.partitionBy(*keys).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    # The carry is made from the rows as they are, so neither side waits for the other.
+    firsts = dealt.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias("_f_" + c) for c in cols])
+    after = Window.partitionBy(*pk).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = firsts.select(*keys, *[F.last("_f_" + c, ignorenulls=True).over(after).alias("_n_" + c) for c in cols])
+    filled = dealt.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in cols})
+    out = _null_safe_left(filled, carry, keys)
+    return out.select(*[F.coalesce(F.col(c), F.col("_n_" + c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def latest_per_key(df: DataFrame, keys, ts: str) -> DataFrame:
     """Newest row per key (see ``rollups.latest_snapshot`` for the aggregate form)."""
     from pulseframe.operators.rollups import latest_snapshot

@@ -1530,3 +1530,57 @@ def q_maintained_profile(spark, sf):
     p.maintain(stream, path + "/versions", path + "/checkpoint", {"availableNow": True}).awaitTermination()
     kept = duration_profile().load(spark, path + "/versions").state
     return kept.select(F.col("key").alias("query"), F.round(F.col("total") / F.col("n"), D).alias("avg_query_duration"), F.col("top").alias("max_query_duration"))
+
+
+@register("backfill_ranges", with_fixtures("stat_activity") + """
+SELECT event_id, client_addr,
+       first_value(usename IGNORE NULLS) OVER (PARTITION BY client_addr ORDER BY event_id
+         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS usename
+FROM stat_activity
+""", "W4")
+def q_backfill_ranges(spark, sf):
+    """Back fill as a segmented scan; rows without client are a partition."""
+    from pulseframe.operators.windows import backfill_ranges
+    d = fx(spark, sf, "stat_activity").select("event_id", "client_addr", "usename")
+    return backfill_ranges(d, ["usename"], ["client_addr"], ["event_id"])
+
+
+@register("snapshot_chunks", with_fixtures("stat_io") + """
+SELECT l_linenumber % 3 AS k, count(*) AS row_count, cast(ceil(count(*) / 100.0) AS bigint) AS chunks, true AS complete,
+       sum(reads) AS reads
+FROM (SELECT *, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber END AS n FROM stat_io) GROUP BY n, l_linenumber % 3
+""", "S8 F20 F22")
+def q_snapshot_chunks(spark, sf):
+    """Snapshots (one of them without key) written as numbered chunks, every
+    message delivered twice, read back: complete ones with their sums."""
+    from pulseframe.sources.messages import complete_rows, decode_snapshots, encode_snapshots, snapshot_status
+    io = fx(spark, sf, "stat_io").withColumn("n", F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")))
+    messages = encode_snapshots(io, "pg_stat_context_io", ["n"], ["l_orderkey", "l_linenumber", "reads"], 100)
+    decoded = decode_snapshots(messages.unionAll(messages), "l_orderkey LONG, l_linenumber LONG, reads DOUBLE")
+    rows = complete_rows(decoded).groupBy("snapshot", (F.col("l_linenumber") % 3).alias("k")).agg(F.count("*").alias("row_count"), F.sum("reads").alias("reads"))
+    return rows.join(snapshot_status(decoded).select("snapshot", "chunks", "complete"), "snapshot").select("k", "row_count", "chunks", "complete", "reads")
+
+
+_ODD_QUERY = """CASE event_id % 4 WHEN 0 THEN concat(query, '; COMMIT') WHEN 1 THEN concat('say "', query, '"; "')
+       WHEN 2 THEN concat(query, chr(10), ' LIMIT 1;', chr(10)) ELSE query END"""
+
+
+@register("scan_activity_records", with_fixtures("activity") + f"""
+SELECT datetimeutc, pid, database_name, appname, cpu, memory, duration, state, {_ODD_QUERY} AS query FROM activity
+""", "S1 F1 F2")
+def q_scan_activity_records(spark, sf):
+    """Texts with separators, doubled quotes and line breaks, written as a
+    sampler file and read back record by record."""
+    import uuid
+
+    from pulseframe.session import scratch_path
+    from pulseframe.sources.activity_lines import ACTIVITY_FIELDS, read_activity_records
+    path = scratch_path(spark, "activity-records-" + uuid.uuid4().hex[:12])
+    a = fx(spark, sf, "activity").withColumn("query", F.expr(_ODD_QUERY))
+    quoted = F.concat(F.lit('"'), F.replace("query", F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.when(F.col("event_id") % 4 == 0, F.col("query")).otherwise(quoted)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ACTIVITY_FIELDS]
+    a.select(F.concat_ws(";", *fields, text)).write.text(path)
+    good, _ = read_activity_records(spark, path, header=False)
+    return good.select(F.col("datetimeutc").cast("timestamp_ntz").alias("datetimeutc"), "pid", "database_name", "appname", "cpu", "memory", "duration",
+                       "state", "query")
