@@ -386,26 +386,28 @@ def binary_metrics(df: DataFrame, y: str, p: str, digits: int = 6) -> DataFrame:
 
 
 def weighted_metrics(df: DataFrame, y: str, p: str, digits: int = 6) -> DataFrame:
-    """Support-weighted precision, recall and F1 over the true classes.
-    Per-class counts are one aggregate per class (tiny), weighted in a
-    second aggregate."""
-    tp = df.where(F.col(y) == F.col(p)).groupBy(F.col(y).alias("c")).agg(F.count("*").alias("tp"))
-    sup = df.groupBy(F.col(y).alias("c")).agg(F.count("*").alias("support"))
-    pred = df.groupBy(F.col(p).alias("c")).agg(F.count("*").alias("predicted"))
-    per = (sup.join(tp, "c", "left").join(pred, "c", "left")
-           .na.fill(0, ["tp", "predicted"])
+    """Support-weighted precision, recall and F1 over the true classes. The
+    rows are read once, for the counts of (true, predicted) pairs; each of these
+    few rows then counts for its true and for its predicted class."""
+    pairs = df.groupBy(F.col(y).alias("t"), F.col(p).alias("q")).agg(F.count("*").alias("n"))
+    one = lambda c, support, predicted, tp: F.struct(c.alias("c"), support.alias("support"), predicted.alias("predicted"), tp.alias("tp"))
+    none, n = F.lit(0).cast("long"), F.col("n")
+    sides = F.explode(F.array(one(F.col("t"), n, none, F.when(F.col("t") == F.col("q"), n).otherwise(none)),
+                              one(F.col("q").cast(df.schema[y].dataType), none, n, none)))
+    per = (pairs.select(sides.alias("s")).select("s.*").where(F.col("c").isNotNull()).groupBy("c")
+           .agg(*(F.sum(x).alias(x) for x in ("support", "predicted", "tp"))).where("support > 0")
            .withColumn("prec", F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0))
            .withColumn("rec", F.col("tp") / F.col("support"))
            .withColumn("f1", F.when(F.col("prec") + F.col("rec") > 0,
                                     2 * F.col("prec") * F.col("rec") / (F.col("prec") + F.col("rec"))).otherwise(0.0)))
-    return per.agg(
-        F.round(F.sum(F.col("prec") * F.col("support")) / F.sum("support"), digits).alias("precision"),
-        F.round(F.sum(F.col("rec") * F.col("support")) / F.sum("support"), digits).alias("recall"),
-        F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), digits).alias("f1"))
+    return per.agg(*(F.round(F.sum(F.col(x) * F.col("support")) / F.sum("support"), digits).alias(name)
+                     for x, name in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))))
 
 
 def probability_cut(df: DataFrame, prob: str = "probability", threshold: float = 0.5,
                     out: str = "flag") -> DataFrame:
+    """1 where the probability of class 1 reaches ``threshold``: 0.5, or the
+    fitted limit of the scores (``SigmaLimit.limit``)."""
     return df.withColumn(out, (vector_to_array(prob)[1] >= F.lit(threshold)).cast("int"))
 
 

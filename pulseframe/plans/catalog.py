@@ -1584,3 +1584,51 @@ def q_scan_activity_records(spark, sf):
     good, _ = read_activity_records(spark, path, header=False)
     return good.select(F.col("datetimeutc").cast("timestamp_ntz").alias("datetimeutc"), "pid", "database_name", "appname", "cpu", "memory", "duration",
                        "state", "query")
+
+
+_VOTE = "CASE WHEN cpu > 80 AND memory > 80 AND duration > 4 THEN 1 ELSE 0 END"
+
+
+@register("probability_at_limit", with_fixtures("activity") + f""",
+s AS (SELECT event_id, {_VOTE} AS vote, memory / 100 AS p FROM activity)
+SELECT event_id, CASE WHEN p >= (SELECT avg(vote) + 3 * stddev_samp(vote) FROM s) THEN 1 ELSE 0 END AS flag FROM s
+""", "M19 M14")
+def q_probability_at_limit(spark, sf):
+    """A probability cut at the fitted limit (mean + 3 sd) of the votes."""
+    from pyspark.ml.functions import array_to_vector
+
+    from pulseframe.operators.models import probability_cut
+    from pulseframe.operators.thresholds import SigmaLimit
+    p = F.col("memory") / 100
+    s = fx(spark, sf, "activity").select("event_id", F.expr(_VOTE).alias("vote"), array_to_vector(F.array(1 - p, p)).alias("probability"))
+    limit = SigmaLimit("vote").fit(s).limit
+    return probability_cut(s, threshold=limit).select("event_id", "flag")
+
+
+@register("rule_trees", None, "M16")
+def q_rule_trees(spark, sf):
+    """A binary tree per rule, joined to the label text."""
+    from pulseframe.functions.labels import LABEL_RULES
+    from pulseframe.operators.rule_trees import RuleTrees
+    lab = _labelled(spark, sf)
+    cols = ["cpu", "memory", "read_io", "write_io", "duration", "has_join", "is_high_io_wait"]
+    return RuleTrees(cols, LABEL_RULES).fit(lab).transform(lab).select("event_id", "type_anomalie", "predicted_label")
+
+
+@register("one_class_svm", None, "M7")
+def q_one_class_svm(spark, sf):
+    from pulseframe.operators.one_class import OneClassSvm
+    a = fx(spark, sf, "activity").select("event_id", *_MODEL_COLS).persist()
+    return OneClassSvm(_MODEL_COLS, scale=True).fit(a).transform(a).select("event_id", "one_class_svm")
+
+
+@register("sparse_svd_error", None, "M5 M2")
+def q_sparse_svd_error(spark, sf):
+    """Reconstruction error of the texts' TF-IDF rows off 8 directions."""
+    from pulseframe.functions.text import normalize_query
+    from pulseframe.operators.svd import TruncatedSvd
+    from pulseframe.operators.vocabulary import StoredTfidf
+    a = fx(spark, sf, "activity").select("event_id", "query")
+    t = StoredTfidf("query", preprocess=normalize_query).fit(a)
+    x = t.transform(a).persist()
+    return TruncatedSvd(t.size, min(8, t.size - 1)).fit(x).error(x, "autoencoder").select("event_id", "autoencoder")
