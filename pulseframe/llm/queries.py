@@ -148,7 +148,59 @@ QUERIES = {f.__name__: f for f in (op1_imatch, op2_kneser_ney, op3_line_windows,
                                    op7_transducer_bpe, op8_hilbert_ann, op9_repair_tokens, op10_prefix_join, op11_merkle,
                                    op12_alignment, op13_simhash)}
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _climb(name: str, levels: int) -> str:
+    """CTEs that raise ``{name}_n0`` (g, pos, d) and the proofs ``{name}_f0`` (g,
+    p, proof, cur, ...) by so many levels; a group of one node stays."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}_s{k} AS (
+  SELECT g, pos, d, count(*) OVER (PARTITION BY g) AS c,
+         coalesce(string_agg(d, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+         coalesce(string_agg(d, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi
+  FROM {name}_n{k}
+), {name}_n{k + 1} AS (
+  SELECT g, pos // 8 AS pos, CASE WHEN max(c) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d
+  FROM {name}_s{k} GROUP BY g, pos // 8
+), {name}_f{k + 1} AS (
+  SELECT f.* REPLACE (f.p // 8 AS p, f.proof || s.lo || s.hi AS proof, CASE WHEN s.c = 1 THEN f.cur ELSE sha256(s.lo || f.cur || s.hi) END AS cur)
+  FROM {name}_f{k} f JOIN {name}_s{k} s ON f.g = s.g AND f.p = s.pos
+),""")
+    return "".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["cast(doc_id AS varchar)", "source", "lang", "cast(n_chars AS varchar)", text]
+    return "sha256(" + " || ".join(f"coalesce(cast(strlen({f}) AS varchar) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(cast(doc_id AS varchar), ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+_MERKLE_SQL = f"""
+WITH t_l AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf_sql("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_leaf_sql(f"translate(text, {_LETTERS})")} END AS changed
+  FROM documents
+), t_f0 AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, '' AS proof, coalesce(changed, leaf) AS cur FROM t_l
+), t_n0 AS (SELECT g, p AS pos, leaf AS d FROM t_f0),
+{_climb("t", 10)}
+u_r AS (SELECT g AS grp, d, row_number() OVER (ORDER BY g) - 1 AS pos FROM t_n10),
+u_n0 AS (SELECT '' AS g, pos, d FROM u_r),
+u_f0 AS (SELECT f.doc_id, f.leaf, r.d AS subroot, '' AS g, r.pos AS p, f.proof, f.cur FROM t_f10 f JOIN u_r r ON f.g = r.grp),
+{_climb("u", 4)}
+fin AS (SELECT f.*, n.d AS root FROM u_f4 f JOIN u_n4 n ON f.g = n.g)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM fin
+"""
+
 ORACLES = {
+    # Trees of up to 8^10 documents a language and 8^4 languages.
+    "op11_merkle": _MERKLE_SQL,
     # The lines covered by later occurrences of repeated three-line windows.
     "op3_line_windows": """
 WITH l AS (
