@@ -17,7 +17,9 @@ step ranks the few documents that share the prefix.
 
 Defined cases: null levels form a node of their own; null or negative token
 counts count as 0; rows with equal id are ordered together and taken together;
-weights default to 1; zero weights get nothing; an empty table stays empty.
+weights default to 1; a zero or negative weight gets nothing, for the node and
+all below it, and its tokens are no part of any capacity; ``tokens`` and
+``epoch`` of the input are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulseframe.llm.tables import discard, stash
+from pulseframe.llm.tables import discard, free_prefix, stash
 
 EPOCHS = 4
 STEP = 3            # hash digits per narrowing step: at most 4096 groups a leaf
@@ -45,14 +47,19 @@ def node_budgets(leaves: DataFrame, levels: list[str], budget: float, weights: d
     """(leaf, tokens, budget) of every leaf. ``leaves`` has the levels, ``leaf``
     (its node key) and ``tokens``; ``weights`` maps level -> value -> weight
     (default 1)."""
+    def weight(level):
+        w = F.lit(1.0)
+        for value, x in weights.get(level, {}).items():
+            w = F.when(F.col(level) == value, float(x)).otherwise(w)
+        return w
+
+    for name in levels:
+        leaves = leaves.where(weight(name) > 0)
     given = None
     for k in range(len(levels)):
         here = levels[:k + 1]
         level = leaves.groupBy(*here).agg((F.sum("tokens") * epochs).cast("double").alias("cap"))
-        weight = F.lit(1.0)
-        for value, x in weights.get(levels[k], {}).items():
-            weight = F.when(F.col(levels[k]) == value, float(x)).otherwise(weight)
-        level = level.withColumn("w", weight).where("w > 0").withColumn("node", node_key(here))
+        level = level.withColumn("w", weight(levels[k])).withColumn("node", node_key(here))
         level = level.withColumn("up", node_key(here[:-1]) if k else F.lit(""))
         if given is None:
             level = level.withColumn("parent", F.lit(float(budget)))
@@ -102,14 +109,16 @@ def mix(df: DataFrame, levels: dict, tokens, budget: float, weights: dict[str, d
     """``df`` with each row repeated for the epochs it is taken in (column
     ``epoch`` from 0) and ``tokens``; ``budget`` is a share of all tokens.
     ``levels`` maps level name -> column, top first; ``tokens`` is a column."""
+    own = free_prefix(df)
     names = [f"_{name}" for name in levels]
     weights = {f"_{name}": w for name, w in (weights or {}).items()}
-    tagged = df.select("*", *(c.alias(f"_{name}") for name, c in levels.items()), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias("_k"),
-                       F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("_n"))
-    tagged = tagged.withColumn("_leaf", node_key(names)).drop(*[n for n in names if n not in df.columns])
-    light = stash(tagged.select(F.col("_leaf").alias("leaf"), F.col("_k").alias("k"), F.col("_n").alias("n")), "tokens")
-    kinds = ", ".join(f"{n} string" for n in names)
-    leaves = light.groupBy("leaf").agg(F.sum("n").alias("tokens")).withColumn("_path", F.from_json("leaf", kinds)).select("leaf", "tokens", "_path.*")
+    leaf_, k_, n_, taken_ = (own + c for c in ("leaf", "k", "n", "taken"))
+    leaf = F.to_json(F.struct(*(c.cast("string").alias(f"_{name}") for name, c in levels.items())), {"ignoreNullFields": "false"})
+    tagged = df.select("*", leaf.alias(leaf_), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias(k_),
+                       F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias(n_))
+    light = stash(tagged.select(F.col(leaf_).alias("leaf"), F.col(k_).alias("k"), F.col(n_).alias("n")), "tokens")
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    leaves = light.groupBy("leaf").agg(F.sum("n").alias("tokens")).withColumn("path", F.from_json("leaf", kinds)).select("leaf", "tokens", "path.*")
     leaves = stash(leaves, "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = node_budgets(leaves, names, total * budget, weights, epochs)
@@ -119,9 +128,12 @@ def mix(df: DataFrame, levels: dict, tokens, budget: float, weights: dict[str, d
     open_ = plan.where("rest > 0")
     part = light.join(open_.select("leaf", "full"), "leaf").select("leaf", epoch_hash(seed, F.col("full"), F.col("k")).alias("h"), "k", "n")
     part = stash(part.groupBy("leaf", "h", "k").agg(F.sum("n").alias("n")), "epoch")
-    rule = stash(plan.join(cuts(part, open_), "leaf", "left").select(F.col("leaf").alias("_leaf"), "full", "last_h", "last_k"), "rule")
+    full_, last_h, last_k = (own + c for c in ("full", "last_h", "last_k"))
+    rule = stash(plan.join(cuts(part, open_), "leaf", "left").toDF("leaf", "full", "rest", "last_h", "last_k")
+                 .select(F.col("leaf").alias(leaf_), F.col("full").alias(full_), F.col("last_h").alias(last_h), F.col("last_k").alias(last_k)), "rule")
     discard(part, leaves, light)
-    h = epoch_hash(seed, F.col("full"), F.col("_k"))
-    inside = F.coalesce((h < F.col("last_h")) | ((h == F.col("last_h")) & (F.col("_k") <= F.col("last_k"))), F.lit(False))
-    out = tagged.join(rule, "_leaf").withColumn("_taken", F.col("full") + inside.cast("long")).where("_taken > 0")
-    return out.select(*df.columns, F.col("_n").alias("tokens"), F.explode(F.sequence(F.lit(0), (F.col("_taken") - 1).cast("int"))).alias("epoch"))
+    h = epoch_hash(seed, F.col(full_), F.col(k_))
+    inside = F.coalesce((h < F.col(last_h)) | ((h == F.col(last_h)) & (F.col(k_) <= F.col(last_k))), F.lit(False))
+    out = tagged.join(rule, leaf_).withColumn(taken_, F.col(full_) + inside.cast("long")).where(F.col(taken_) > 0)
+    return out.select(*(c for c in df.columns if c.lower() not in ("tokens", "epoch")), F.col(n_).alias("tokens"),
+                      F.explode(F.sequence(F.lit(0), (F.col(taken_) - 1).cast("int"))).alias("epoch"))

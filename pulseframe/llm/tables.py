@@ -94,6 +94,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = now
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores with which no column of ``df`` begins, for names of our own."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
