@@ -12,7 +12,8 @@ document are gathered, at most the document's own lines.
 
 Defined cases: null and empty texts stay as they are; documents with fewer
 lines have no window; rows equal in id and text are one document (kept as
-often as they occur); a null id orders first.
+often as they occur); a null id orders first; ``n_lines`` and ``n_removed`` of
+the input are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.tables import text_or_empty
+from pulseframe.llm.tables import free_prefix, text_or_empty
 
 LINES = 3
 
@@ -51,12 +52,15 @@ def covered_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
     """``df`` with the covered lines taken out of the text column, and
     ``n_lines``, ``n_removed`` appended."""
-    cover = covered_lines(df, id_col, text_col, lines).select(
-        F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("covered").alias("_covered"))
+    own = free_prefix(df)
+    id_, t_, covered, l_ = (own + c for c in ("id", "t", "covered", "lines"))
+    cover = covered_lines(df, id_col, text_col, lines).toDF(id_, t_, covered)
     text = text_or_empty(text_col)
-    out = df.join(cover, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_covered", i)), "\n")
-    clean = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(left)
-    return out.select(*(F.col(c) if c != text_col else clean.alias(c) for c in df.columns),
-                      F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"))
+    out = df.join(cover, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(t_)), "left")
+    out = out.withColumn(l_, F.split(text, "\n", -1))
+    # A set difference of places: linear in the lines, however many are covered.
+    places = F.array_except(F.sequence(F.lit(0), F.size(l_) - 1), covered)
+    left = F.array_join(F.transform(places, lambda i: F.get(F.col(l_), i)), "\n")
+    clean = F.when(F.col(covered).isNull(), F.col(text_col)).otherwise(left)
+    return out.select(*(F.col(c) if c != text_col else clean.alias(c) for c in df.columns if c.lower() not in ("n_lines", "n_removed")),
+                      F.size(l_).cast("long").alias("n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"))
