@@ -13,7 +13,8 @@ own bundle by an equal one. The table of digests is small columns only: equal
 payloads, also a third of all rows, meet in partial aggregates, and their join
 can be split.
 
-Defined cases: null payloads count as empty; rows without id are left out;
+Defined cases: null payloads count as empty; a row without id has a record of
+its own, which may be a revisit but isn't referred to;
 rows with equal id and payload are equal records; rows with equal id and
 different payloads are records of their own under one id.
 """
@@ -50,8 +51,8 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(rid: int, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{rid}>",
+def record(rid: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if rid is None else rid}>",
             f"WARC-Target-URI: {(url or 'urn:none').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
             "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}",
             "Content-Type: application/http; msgtype=response"]
@@ -133,11 +134,12 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     offset, length). Payloads under ``min_payload`` bytes are never revisits."""
     ship_package(df.sparkSession)
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("payload"))
-            .where("id is not null").withColumn("sha", F.sha1(F.col("payload").cast("binary"))))
-    light = rows.where(F.octet_length("payload") >= min_payload).select("id", "sha")
+            .withColumn("sha", F.sha1(F.col("payload").cast("binary"))))
+    light = rows.where(F.octet_length("payload") >= min_payload).select("id", "sha")  # a null id isn't the largest
     kept = light.groupBy("sha").agg(F.max("id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("sha", "kept")
-    refer = light.join(kept, "sha").where("id <> kept").select("id", "sha", "kept").distinct()
-    rows = rows.join(refer, ["id", "sha"], "left")
+    refer = light.join(kept.where("kept is not null"), "sha").where("not id <=> kept").select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "kept")
+    refer = refer.distinct()
+    rows = rows.join(refer, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left")
 
     def write(batches):
         from pyspark import TaskContext
@@ -184,7 +186,8 @@ def read_archives(index: DataFrame, path: str) -> DataFrame:
                     if head["WARC-Type"] == "response" and digest(payload) != sha:
                         raise ValueError(f"{name}: the payload of {head['WARC-Record-ID']} doesn't have its digest")
                     refers = head.get("WARC-Refers-To")
-                    out.append((int(head["WARC-Record-ID"][10:-1]), int(head["X-Payload-Length"]), sha, head["WARC-Type"],
+                    rid = head["WARC-Record-ID"][10:-1]
+                    out.append((None if rid == "none" else int(rid), int(head["X-Payload-Length"]), sha, head["WARC-Type"],
                                 int(refers[10:-1]) if refers else None))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
