@@ -110,9 +110,16 @@ def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int =
 def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of each row and ``q`` in double precision; a row's value doesn't
     depend on the other rows, so equal vectors get equal values."""
+    rows, q = _near_one(rows), _near_one(q[None])[0]
     return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
+def _near_one(v: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component below 1:
+    no square overflows or vanishes, and no digit changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v: array<double>) of the vectors that take part."""
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
