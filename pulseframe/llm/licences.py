@@ -168,6 +168,19 @@ class Index:
                             yield name, share, int(place[0]), int(place[-1])
 
 
+def one_place(spans) -> dict:
+    """(template, first, last) -> containment: spans of a template that overlap
+    (seen from overlapping windows) are one place."""
+    out, held = {}, None
+    for name, lo, hi, share in sorted((n, lo, hi, share) for n, share, lo, hi in spans):
+        if held and held[0] == name and lo <= held[2]:
+            share = max(share, out.pop(held))
+            lo, hi = held[1], max(held[2], hi)
+        held = (name, lo, hi)
+        out[held] = share
+    return out
+
+
 def licence_spans(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
                   bands: int = BANDS) -> DataFrame:
     """(id, licence, containment, first_word, last_word): verified windows, one
@@ -190,9 +203,7 @@ def licence_spans(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col:
                 s[near[open_end]] = 0  # no shingle of a template
                 near, row = near[~open_end], row[~open_end]
                 for r in np.unique(row):
-                    found = {}
-                    for name, share, lo, hi in ix.scan(s[at[r]:at[r + 1]], near[row == r] - at[r]):
-                        found[(name, lo, hi)] = share
+                    found = one_place(ix.scan(s[at[r]:at[r + 1]], near[row == r] - at[r]))
                     found = {(n, lo, hi): x for (n, lo, hi), x in found.items()
                              if not any(b in ix.siblings[n] and y > x and lo2 <= hi and lo <= hi2 for (b, lo2, hi2), y in found.items())}
                     w = place[first[r]:first[r + 1]]
