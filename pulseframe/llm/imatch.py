@@ -2,10 +2,11 @@
 
 Terms are lower-case words. The lexicon holds the terms whose inverse document
 frequency ln(N / df) lies in a band; df counts all documents. A document's
-distinct lexicon terms are sorted and hashed, once for the whole lexicon and
-once for each of FAMILIES x LEVELS random subsets: subset (f, l) keeps a term
-with probability 4^-(l + 1) by the bits of its hash. Coarse subsets tell short
-documents apart, fine ones survive many changed terms of a long one. A subset
+distinct lexicon terms are sorted and hashed to 64 bits, once for the whole
+lexicon and once for each of FAMILIES x LEVELS random subsets: subset (f, l)
+keeps a term with probability 4^-(l + 1) by the bits of its hash seeded for family f,
+so families are independent and a family's levels are nested. Coarse subsets
+tell short documents apart, fine ones survive many changed terms of a long one. A subset
 without a term of the document has no hash (null). Documents without any
 lexicon term are known by their text.
 
@@ -33,12 +34,13 @@ from pulseframe.llm.tables import stash, text_or_empty
 LOW, HIGH = 0.001, 0.2          # document frequency band as shares of N
 MIN_IDF, MAX_IDF = math.log(1 / HIGH), math.log(1 / LOW)
 FAMILIES, LEVELS = 13, 5
+SEED = 1
 BROADCAST_TERMS = 1_000_000
 
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words."""
-    return F.array_distinct(F.split(F.lower(text), r"\s+"))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"\s+")), "")
 
 
 def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
@@ -55,32 +57,34 @@ def lexicon(df: DataFrame, text_col: str, min_idf: float = MIN_IDF, max_idf: flo
     return stash(band, "lexicon")
 
 
-def fingerprints(texts: DataFrame, lex: DataFrame, keys: list[str], text: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(keys..., extra..., fp: array<int>, raw): one row per distinct key.
+def fingerprints(texts: DataFrame, lex: DataFrame, keys: list[str], text: str, extra: dict[str, Column] | None = None,
+                 seed: int = SEED) -> DataFrame:
+    """(keys..., extra..., fp: array<long>, raw): one row per distinct key.
     ``extra`` columns are carried once per document. ``raw`` is the text's
     hash where no lexicon term occurs, else null."""
     extra = {**(extra or {}), "_raw": F.xxhash64(text)}
-    rows = texts.select(*keys, *(c.alias(n) for n, c in extra.items()), F.posexplode(terms(F.col(text))).alias("_at", "_word"))
-    rows = rows.select(*keys, *(F.when(F.col("_at") == 0, F.col(n)).alias(n) for n in extra), F.xxhash64("_word").alias("term"))
+    rows = texts.select(*keys, *(c.alias(n) for n, c in extra.items()), F.posexplode_outer(terms(F.col(text))).alias("_at", "_word"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    rows = rows.select(*keys, *(F.when(first, F.col(n)).alias(n) for n in extra), F.when(F.col("_word").isNotNull(), F.xxhash64("_word")).alias("term"))
     listed = lex.withColumn("_in", F.col("term"))
     listed = F.broadcast(listed) if lex.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else listed
     docs = (rows.join(listed, "term", "left").groupBy(*keys)
             .agg(*(F.max(n).alias(n) for n in extra), F.array_sort(F.collect_list("_in")).alias("s0")))
-    # Subset (f, l) keeps the terms whose bits [4 f, 4 f + 2 l + 2) are zero.
+    # Subset (f, l) keeps the terms whose family hash has 2 l + 2 zero bits at its end.
     names = []
     for level in range(1, LEVELS + 1):
         step = {}
         for f in range(FAMILIES):
             source = "s0" if level == 1 else f"s{level - 1}_{f}"
-            step[f"s{level}_{f}"] = F.filter(source, _zero_bits((15 if level == 1 else 3 << 2 * level) << 4 * f))
+            step[f"s{level}_{f}"] = F.filter(source, _kept(seed * FAMILIES + f, 4 ** (level + 1) - 1))
         docs = docs.withColumns(step)
         names += list(step)
-    fp = F.array(*(F.when(F.size(n) > 0, F.hash(n)) for n in ["s0", *names]))
+    fp = F.array(*(F.when(F.size(n) > 0, F.xxhash64(n)) for n in ["s0", *names]))
     return docs.select(*keys, *(n for n in extra if n != "_raw"), fp.alias("fp"), F.when(F.size("s0") == 0, F.col("_raw")).alias("raw"))
 
 
-def _zero_bits(mask: int):
-    return lambda x: x.bitwiseAND(F.lit(mask)) == 0
+def _kept(family: int, mask: int):
+    return lambda x: F.xxhash64(x, F.lit(family)).bitwiseAND(F.lit(mask)) == 0
 
 
 def spelled(fp: Column, raw: Column) -> Column:
