@@ -58,7 +58,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kneser_ney.quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.drop("t").withColumnRenamed("id", "doc_id")
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ MIX_BUDGET = 0.9
 
 def mixed(docs: DataFrame) -> DataFrame:
     levels = {"domain": domain(), "language": F.col("lang"), "source": F.col("source")}
-    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
     return mixing.mix(docs, levels, words, MIX_BUDGET, MIX_WEIGHTS)
 
 
@@ -213,10 +213,10 @@ WITH l AS (
 ), c AS (
   SELECT DISTINCT doc_id, line + d AS line FROM o, (SELECT unnest([0, 1, 2]) AS d) WHERE k > 1
 ), s AS (
-  SELECT doc_id, lines[i] AS line, i FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
+  SELECT doc_id, text IS NULL AS none, lines[i] AS line, i FROM (SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
 ), kept AS (
   SELECT s.doc_id, count(*) AS n, count(c.line) AS removed,
-         coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (WHERE c.line IS NULL), '') AS text
+         CASE WHEN NOT bool_or(s.none) THEN coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (WHERE c.line IS NULL), '') END AS text
   FROM s LEFT JOIN c ON c.doc_id = s.doc_id AND c.line = s.i GROUP BY s.doc_id
 )
 SELECT doc_id, n AS n_lines, removed AS n_removed, text FROM kept
