@@ -9,21 +9,26 @@ white space (0x20, 0x09-0x0D), A-Z lower-cased. Shingles are compared by
 1. Every shingle gets a place in one total order: rare ones first, by a
    fixed-size count sketch (the order decides cost only, never the result).
    Linked sets share a token among the first ``n - ceil(t n) + 1`` of each.
-2. Equal sets form one class; classes with equal prefix and size form one
-   group, which is carried through the candidate step as one row.
+2. Equal sets form one class, known by 64 bits of its digest; classes with
+   equal prefix and size form one group, which is carried through the candidate
+   step as one row.
 3. For each prefix token that two different sets hold, one holder is the
    leader and is paired with the other groups (a star, linear in the list).
    Pairs are filtered by size and position, groups expand to their classes,
    and the pairs are verified on the full sets.
-4. Linked pairs are merged to components. Only tokens whose holders are still
-   in different components make further pairs, across components, filtered by
-   size, position and the triangle inequality of the Jaccard distance to the
-   token's leader, and verified in the same way. Together with step 3 this
-   covers every linked pair whose ends are not connected already.
-
-Defined cases: null text counts as empty; rows without id are left out; of
-rows that share an id the one with the smallest set digest counts; an empty
-table gives an empty result.
+4. Linked pairs are merged to components. Tokens whose holders are still in
+   different components get further rounds of stars: the holder that shares most
+   of these tokens leads, meets the holders of other components, and leaves the
+   list. Pairs are also filtered by the triangle inequality of the Jaccard
+   distance to the token's first leader.
+5. Once the lists hold no more pairs than PAIRS_A_ROW a row (or after ROUNDS
+   rounds), what is left is paired across components within each list. Every
+   linked pair whose ends aren't connected already is met in one of these steps.
+
+Defined cases: null text counts as empty; rows that share an id are decided by
+their texts; rows equal in id and text give one row; rows without id take part,
+and a component without any id has a null ``component_id``; texts without words
+are components of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +49,10 @@ from pulseframe.session import ship_package
 SKETCH_BITS = 21   # counters of the order sketch: 2^21 of 4 bytes
 CHUNK_BITS = 16    # counters carried in one row while sketches are added up
 PARITY = ("q0", "q1", "q2", "q3")
-BROADCAST_IDS = 1_000_000  # candidate ids sent to every executor at most (8 MB)
+BROADCAST_IDS = 1_000_000  # candidates sent to every executor at most (24 MB)
+PAIRS_A_ROW = 8    # pairs of a list row up to which lists are paired outright
+ROUNDS = 6         # rounds of stars before that in any case
+NO_ID = (1 << 63) - 1
 
 
 SLICE = 500  # rows whose sets are held at once
@@ -96,49 +104,61 @@ def order_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, percent: int, words: int, bits: int) -> DataFrame:
-    """One row per text: id, n (set size), sd (set digest, 128 bits), key (its
-    first 8 bytes), pd (prefix digest), prefix (tokens in the global order)."""
+    """One row per text: id, t, n (set size), key (64 bits of the set's digest), g
+    (hash of prefix and size), prefix (tokens in the global order), parities."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(order_sketch(docs, words, bits))
 
     def rows(batches):
         counts = order.value
         for b in slices(batches):
-            n, sd, key, pd_, prefix, parity = [], [], [], [], [], []
+            n, key, g, prefix, parity = [], [], [], [], []
             for _, s in shingle_sets(b.column("text"), words):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 pre = s[np.lexsort((s, counts[_sketch_slot(s, bits)]))[:keep]]
                 n.append(len(s))
-                sd.append(digest)
-                key.append(int.from_bytes(digest[:8], "little", signed=True))
-                pd_.append(int.from_bytes(hashlib.blake2b(pre.tobytes(), digest_size=8).digest(), "little", signed=True))
+                key.append(set_key(s))
+                g.append(int.from_bytes(hashlib.blake2b(pre.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
                 prefix.append(pre.view(np.int64))
                 parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             q = np.stack(parity)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(sd, pa.binary()), pa.array(key, pa.int64()), pa.array(pd_, pa.int64()),
+                [b.column("id"), b.column("t"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(g, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefix))), *(pa.array(q[:, k].copy()) for k in range(4))],
-                names=["id", "n", "sd", "key", "pd", "prefix", *PARITY])
+                names=["id", "t", "n", "key", "g", "prefix", *PARITY])
 
-    return docs.select("id", "text").mapInArrow(
-        rows, "id long, n long, sd binary, key long, pd long, prefix array<long>, q0 long, q1 long, q2 long, q3 long")
+    out = stash(docs.select("id", "t", "text").mapInArrow(
+        rows, "id long, t long, n long, key long, g long, prefix array<long>, q0 long, q1 long, q2 long, q3 long"), "prefixes")
+    order.destroy()
+    return out
+
+
+def set_key(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def verified(docs: DataFrame, cls: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Exact set sizes of the pairs (a, b): rows (a, b, na, nb, common)."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    need = cls.join(need, "id", "left_semi").select("id", "sd")
+def verified(docs: DataFrame, sets_: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Exact set sizes of the pairs of sets (a, b): rows (a, b, na, nb, common)."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    need = sets_.join(need, "key", "left_semi").select("key", F.col("low").alias("nid"), F.col("t").alias("nt"))
 
     def sets(batches):
+        seen = set()  # repeated rows: a set is made once in a task
         for b in slices(batches):
-            found = [s.tobytes() for _, s in shingle_sets(b.column("text"), words)]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == x for s, x in zip(found, b.column("sd").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "s"]).filter(pa.array(same, pa.bool_()))
-
-    own = docs.join(small(need, BROADCAST_IDS), "id").select("id", "text", "sd").mapInArrow(sets, "id long, s binary")
-    own = stash(own, "sets")
+            fresh = []
+            for i, k in enumerate(b.column("key").to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            b = b.take(pa.array(fresh, pa.int64()))
+            found = [s for _, s in shingle_sets(b.column("text"), words)]
+            right = pa.array([set_key(s) == k for s, k in zip(found, b.column("key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "s"]).filter(right)
+
+    need = stash(need, "needed")
+    same = F.col("id").eqNullSafe(F.col("nid")) & (F.col("t") == F.col("nt"))
+    own = stash(docs.join(small(need, BROADCAST_IDS), same).select("key", "text").mapInArrow(sets, "key long, s binary"), "sets")
 
     def common(batches):
         for b in batches:
@@ -152,110 +172,132 @@ def verified(docs: DataFrame, cls: DataFrame, pairs: DataFrame, words: int) -> D
                                              names=["a", "b", "na", "nb", "common"])
 
     both = (pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb"))
-    # Repeated rows (equal id and text) give equal sets.
+    # A row that several tasks read gives a set for each of them.
     out = stash(both.mapInArrow(common, "a long, b long, na long, nb long, common long").distinct(), "verified")
-    discard(own)
+    discard(own, need)
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-                    words: int = WORDS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """Rows (id, n_shingles, component_id): the component of every text."""
+def _possible(percent, na, nb, pa_, pb):
+    """Size and position filters for a common token at 0-based places."""
+    need = F.ceil(F.lit(percent) * (F.col(na) + F.col(nb)) / F.lit(100 + percent))
+    room = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (room >= need)
+
+
+def _few_bits(percent, na, nb, qa, qb):
+    """Parity filter."""
+    bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(qa, qb)), F.lit(0))
+    return bits * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS,
+                    sketch_bits: int = SKETCH_BITS, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (id, t, rows, n_shingles, component_id, component): every text (t: its
+    hash, rows: how often it occurs under its id), the least id of its component
+    and the component's own number (null for texts without words)."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
-    meta = stash(prefix_table(docs, percent, words, sketch_bits), "prefixes")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
+    meta = prefix_table(docs, percent, words, sketch_bits)
 
-    # Classes (equal sets) and groups (equal prefix and size).
-    one = meta.groupBy("id").agg(F.min(F.struct("sd", "n", "key", "pd", *PARITY)).alias("m")).select("id", "m.*")
-    rep = one.groupBy("sd").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("pd").alias("pd"))
-    group = rep.groupBy("pd", "n").agg(F.min("rep").alias("g"))
-    cls = stash(one.join(rep.select("sd", "rep"), "sd")
-                .join(group, ["pd", "n"]).select("id", "rep", "g", "n", "key", "sd", *PARITY), "classes")
-    reps = cls.where("id = rep")
+    # Distinct sets, each with one of its texts.
+    texts = stash(meta.groupBy("id", "t", "key", "n").agg(F.count("*").alias("rows"), F.first("g").alias("g"), *(F.first(q).alias(q) for q in PARITY)), "texts")
+    sets_ = stash(texts.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"), *(F.first(q).alias(q) for q in PARITY), F.min("id").alias("low"),
+                                           F.min_by("t", F.coalesce("id", F.lit(NO_ID))).alias("t")), "distinct-sets")
 
     # Tokens held by at least two different sets, and their leaders.
-    holders = meta.where("n > 0").select("id", "n", "key", F.posexplode("prefix").alias("pos", "token"))
+    holders = meta.where("n > 0").select("n", "key", "g", F.posexplode("prefix").alias("pos", "token"))
     tokens = (holders.groupBy("token")
-              .agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("id", "key").alias("lead"),
-                   F.min_by("pos", "key").alias("lpos"), F.count("*").alias("rows"), F.min("n").alias("least"),
-                   F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("room"))
-              .where("lo <> hi")
+              .agg(F.min("key").alias("leader"), F.max("key").alias("hi"), F.min_by("n", "key").alias("ln"), F.count("*").alias("rows"),
+                   F.min("n").alias("least"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("room"))
+              .where("leader <> hi")
               # The size and position filters, exact for a list of two.
               .where(F.expr(f"rows > 2 or (100 * least >= {percent} * (both - least) and {100 + percent} * room >= {percent} * both)"))
-              .select("token", "lead", "lpos"))
-    lists = holders.join(tokens, "token")
-    lists = (lists.join(reps.select("id", "key", "g"), ["id", "key"])
-             .join(cls.select(F.col("id").alias("lead"), F.col("rep").alias("leader"), F.col("n").alias("ln")), "lead")
-             .select("token", "id", "g", "n", "pos", "leader", "ln", "lpos"))
+              .select("token", "leader", "ln"))
     # One row for each group of a token.
-    lists = stash(lists.groupBy("token", "g").agg(*(F.min(c).alias(c) for c in ("n", "pos", "leader", "ln", "lpos"))), "lists")
+    lists = stash(holders.join(tokens, "token").groupBy("token", "g").agg(*(F.min(c).alias(c) for c in ("n", "pos", "leader", "ln"))), "lists")
     discard(meta)
 
-    def possible(na, nb, pa_, pb):
-        """Size and position filters for a common token at 0-based places."""
-        need = F.ceil(F.lit(percent) * (F.col(na) + F.col(nb)) / F.lit(100 + percent))
-        room = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
-        return ((F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (room >= need))
-
-    def few_bits(na, nb, qa, qb):
-        """Parity filter."""
-        bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(qa, qb)), F.lit(0))
-        return bits * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
-
-    members = reps.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(q).alias(q + "b") for q in PARITY))
-    led = reps.select(F.col("rep").alias("leader"), F.col("n").alias("na"), *(F.col(q).alias(q + "a") for q in PARITY))
+    other = [q + "2" for q in PARITY]
+    members = sets_.select("g", F.col("key").alias("b"), F.col("n").alias("nb"), *PARITY)
+    led = sets_.select(F.col("key").alias("leader"), F.col("n").alias("na"), *(F.col(q).alias(q + "2") for q in PARITY))
     alike = F.lit(100) * F.least("ln", "n") >= F.lit(percent) * F.greatest("ln", "n")
     star = (lists.where(alike).select("leader", "g").distinct()
             .join(members, "g").where("b <> leader").join(led, "leader")
-            .where(few_bits("na", "nb", [q + "a" for q in PARITY], [q + "b" for q in PARITY]))
+            .where(_few_bits(percent, "na", "nb", other, PARITY))
             .select(F.least("leader", "b").alias("a"), F.greatest("leader", "b").alias("b")).distinct())
     star = stash(star, "star")
-    seen = verified(docs, cls, star, words)
+    seen = verified(docs, sets_, star, words)
 
     def linked(v):
-        return v.where(F.col("common") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-
-    first = stash(components(linked(seen).select("a", "b"), "star-components"), "first-components")
+        return v.where(F.col("common") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    # What is still split: tokens whose holders are in several components.
-    owner = (reps.select("rep", "g", *PARITY).join(first, F.col("rep") == F.col("node"), "left")
-             .select("rep", "g", *PARITY, F.coalesce("component", "rep").alias("comp")))
-    span = owner.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = (lists.select("token", "g").join(span, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-             .where("lo <> hi").select("token"))
+    comp = components(linked(seen), "star-components")
     # A pair that the parity filter dropped isn't linked; its distance is unknown.
     far = seen.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    far = far.union(far.select("b", "a", "d")).toDF("leader", "rep", "d")
-    rest = (lists.join(mixed, "token", "left_semi").join(owner, "g").join(far, ["leader", "rep"], "left")
-            .select("token", "rep", "n", "pos", "comp", *PARITY, F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("d")).alias("d"),
-                    (F.col("leader") == F.col("rep")).alias("led")))
-    rest = stash(rest, "mixed")
-    x, y = rest, rest.select("token", *(F.col(c).alias(c + "2") for c in ("rep", "n", "pos", "comp", "d", "led", *PARITY)))
+    far = far.union(far.select("b", "a", "d")).toDF("leader", "key", "d")
+    tags = ["token", "key", "n", "pos", "d", *PARITY]
+
+    def mixed(rows, comp):
+        """The rows of tokens whose holders are still in several components."""
+        rows = rows.join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        split = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        return stash(rows.join(split, "token", "left_semi").select(*tags, "comp"), "mixed")
+
+    # Groups first, so that tokens of one component don't expand to their sets.
+    span = (sets_.select("key", "g").join(comp.toDF("key", "comp"), "key", "left").groupBy("g")
+            .agg(F.min(F.coalesce("comp", "key")).alias("lo"), F.max(F.coalesce("comp", "key")).alias("hi")))
+    split = lists.select("token", "g").join(span, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    rest = (lists.join(split, "token", "left_semi").select("token", "g", "n", "pos", "leader").join(sets_.select("key", "g", *PARITY), "g")
+            .where("key <> leader").join(far, ["leader", "key"], "left"))
+    rest = mixed(rest.select(*tags), comp)
+    made, found = [star], [seen]
     reach = 1 - percent / 100 + 1e-9
-    bits = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(q + "2"))) for q in PARITY), F.lit(0))
-    cross = (x.join(y, "token").where("rep < rep2 and comp <> comp2 and not led and not led2")
-             .where(possible("n", "n2", "pos", "pos2"))
-             .where(few_bits("n", "n2", PARITY, [q + "2" for q in PARITY]))
-             .where(F.coalesce(F.abs(F.col("d") - F.col("d2")), F.lit(0.0)) <= reach)
-             .select(F.col("rep").alias("a"), F.col("rep2").alias("b"), bits.alias("bits"))
-             .distinct().join(star, ["a", "b"], "left_anti"))
-    cross = stash(cross, "cross")
-    # Each text's likeliest pair comes first; many others then have both ends
-    # in one component and need no check.
-    ends = cross.select(F.col("a").alias("x"), "a", "b", "bits").union(cross.select("b", "a", "b", "bits"))
-    best = ends.groupBy("x").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*").distinct()
-    best = stash(best, "best")
-    more = verified(docs, cls, best, words)
-    links = linked(seen).unionByName(linked(more)).select("a", "b")
-    second = stash(components(links, "best-components"), "second-components")
-    side = second.select(F.col("node").alias("a"), F.col("component").alias("sa")), second.select(F.col("node").alias("b"), F.col("component").alias("sb"))
-    left = (cross.join(best, ["a", "b"], "left_anti").join(side[0], "a", "left").join(side[1], "b", "left")
-            .where(F.coalesce("sa", "a") != F.coalesce("sb", "b")).select("a", "b"))
-    left = stash(left, "left")
-    links = links.union(linked(verified(docs, cls, left, words)).select("a", "b"))
-    comp = components(links, "components")
-    out = (cls.join(comp.toDF("rep", "c"), "rep", "left")
-           .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("c", "rep")).alias("component_id")))
-    discard(star, first, lists, rest, cross, best, second, left)
+    near = F.coalesce(F.abs(F.col("d") - F.col("d2")), F.lit(0.0)) <= reach
+    for turn in range(rounds + 1):
+        sizes = rest.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        size, pairs = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+        last = pairs <= pairs_a_row * size or turn == rounds
+        if not size:
+            break
+        if last:
+            y = rest.select("token", *(F.col(c).alias(c + "2") for c in ("key", "n", "pos", "comp", "d", *PARITY)))
+            met = rest.join(y, "token").where("key < key2 and comp <> comp2")
+        else:
+            score = rest.groupBy("key").agg(F.count("*").alias("score"))
+            lead = (rest.join(score, "key").groupBy("token")
+                    .agg(F.max(F.struct("score", "key", "n", "pos", "comp", "d", *PARITY)).alias("x"))
+                    .select("token", *(F.col("x." + c).alias(c + "2") for c in ("key", "n", "pos", "comp", "d", *PARITY))))
+            lead = stash(lead, "leaders")
+            met = rest.join(lead, "token").where("key <> key2 and comp <> comp2")
+        met = (met.where(_possible(percent, "n", "n2", "pos", "pos2")).where(_few_bits(percent, "n", "n2", PARITY, other)).where(near)
+               .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct())
+        for m in made:
+            met = met.join(m, ["a", "b"], "left_anti")
+        met = stash(met, "met")
+        made.append(met)
+        found.append(verified(docs, sets_, met, words))
+        links = linked(found[0])
+        for v in found[1:]:
+            links = links.union(linked(v))
+        comp = components(links, "components")
+        if last:
+            break
+        spent = lead.select("token", F.col("key2").alias("key"))
+        smaller = mixed(rest.join(spent, ["token", "key"], "left_anti").select(*tags), comp)
+        discard(rest, lead)
+        rest = smaller
+
+    # A component's least node has no row of its own in ``comp``.
+    comp = comp.toDF("key", "c")
+    comp = comp.union(comp.select("c", "c").distinct())
+    least = comp.join(sets_.select("key", "low"), "key").groupBy("c").agg(F.min("low").alias("component_id"))
+    label = (sets_.select("key", "low").join(comp, "key", "left").join(least, "c", "left")
+             .select("key", F.coalesce("c", "key").alias("component"), F.when(F.col("c").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id")))
+    worded = F.col("n") > 0
+    out = (texts.join(label, "key")
+           .select("id", "t", "rows", F.col("n").alias("n_shingles"), F.when(worded, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+                   F.when(worded, F.col("component")).alias("component")))
+    discard(lists, rest, *made, *found)
     return out

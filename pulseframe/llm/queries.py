@@ -113,7 +113,8 @@ def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefixjoin.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = prefixjoin.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, hilbert, imatch, kneser_ney, licences, linededup, mixing, queries, warc
+from pulseframe.llm import bpe, hilbert, imatch, kneser_ney, licences, linededup, mixing, prefixjoin, queries, warc
 
 
 def _signed(x):
@@ -250,3 +250,52 @@ def test_quality_decides_for_each_text_of_an_id(spark):
     sure = spark.createDataFrame([(i,) for i in range(10, 30)], "doc_id long")
     kept = kneser_ney.keep_good(df, sure).collect()
     assert len(kept) == 31 and {r["text"] for r in kept} == {good[0]}
+
+
+def _plain_components(rows):
+    """{(id, text): (set size, least id of the component)} of distinct rows."""
+    rows = list(dict.fromkeys((i, t or "") for i, t in rows))
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    least = {}
+    for c, (i, _) in zip(comp, rows):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return {r: (len(s), least.get(c)) for r, s, c in zip(rows, sets, comp)}
+
+
+@pytest.mark.parametrize("rounds,pairs_a_row", [(6, 0.1), (0, 8), (6, 8)])
+def test_prefix_join_of_crowds_against_plain_version(spark, rounds, pairs_a_row):
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for c in range(4):  # crowds around a text, with distances on both sides of the limit
+        base = [f"c{c}-{i}" for i in range(60)]
+        for _ in range(25):
+            v = list(base)
+            for k in rng.choice(60, rng.integers(0, 5), replace=False):
+                v[k] = f"n{rng.integers(1000)}"
+            rows.append((len(rows), " ".join(v)))
+    for _ in range(30):  # a shared passage in texts that don't link
+        rows.append((len(rows), " ".join(passage + [f"o{rng.integers(10 ** 6)}" for _ in range(rng.integers(5, 15))])))
+    base = " ".join(f"z{i}" for i in range(20))
+    rows += [(1000, "some other text of words"), (1000, base), (1001, base.upper()), (1001, base.upper()), (None, base), (None, "no id here at all"),
+             (None, "no id here at all"), (None, None), (1002, ""), (1003, None), (1004, "a b"), (1005, "A\tB")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, key int")
+    got = prefixjoin.near_duplicates(df, sketch_bits=17, rounds=rounds, pairs_a_row=pairs_a_row)
+    back = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).distinct()
+    got = got.join(back, got.id.eqNullSafe(back.doc_id) & (got.t == back.t)).select("doc_id", "text", "n_shingles", "component_id").collect()
+    want = {k: (n, k[0] if n == 0 else c) for k, (n, c) in _plain_components(rows).items()}
+    assert len(got) == len(want) and {(r["doc_id"], r["text"]): (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) > 20
+
+
+def test_prefix_join_of_an_empty_table(spark):
+    assert prefixjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), sketch_bits=17).count() == 0
