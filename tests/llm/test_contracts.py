@@ -253,7 +253,7 @@ def test_quality_decides_for_each_text_of_an_id(spark):
 
 
 def _plain_components(rows):
-    """{(id, text): (set size, least id of the component)} of distinct rows."""
+    """{(id, text): (set size, least id of the component, its number)} of distinct rows."""
     rows = list(dict.fromkeys((i, t or "") for i, t in rows))
     sets = []
     for _, t in rows:
@@ -268,7 +268,7 @@ def _plain_components(rows):
     for c, (i, _) in zip(comp, rows):
         if i is not None:
             least[c] = min(least.get(c, i), i)
-    return {r: (len(s), least.get(c)) for r, s, c in zip(rows, sets, comp)}
+    return {r: (len(s), least.get(c), c) for r, s, c in zip(rows, sets, comp)}
 
 
 @pytest.mark.parametrize("rounds,pairs_a_row", [(6, 0.1), (0, 8), (6, 8)])
@@ -292,10 +292,46 @@ def test_prefix_join_of_crowds_against_plain_version(spark, rounds, pairs_a_row)
     got = prefixjoin.near_duplicates(df, sketch_bits=17, rounds=rounds, pairs_a_row=pairs_a_row)
     back = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).distinct()
     got = got.join(back, got.id.eqNullSafe(back.doc_id) & (got.t == back.t)).select("doc_id", "text", "n_shingles", "component_id").collect()
-    want = {k: (n, k[0] if n == 0 else c) for k, (n, c) in _plain_components(rows).items()}
+    want = {k: (n, k[0] if n == 0 else c) for k, (n, c, _) in _plain_components(rows).items()}
     assert len(got) == len(want) and {(r["doc_id"], r["text"]): (r["n_shingles"], r["component_id"]) for r in got} == want
     assert len({c for _, c in want.values()}) > 20
 
 
 def test_prefix_join_of_an_empty_table(spark):
     assert prefixjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), sketch_bits=17).count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Null and shared ids, repeated rows; every stage from its own input."""
+    import corpus_pipeline as cp
+    rng = np.random.default_rng(21)
+    vocab = "the cat sat on mat and dog ran to house again red big old new bird tree lake".split()
+    rows = [(i, "\n".join(" ".join(rng.choice(vocab, 12)) for _ in range(6))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(10)] + [(None, rows[20][1]), (None, rows[20][1] + " x"), (5, rows[30][1]), (40, rows[40][1]), (41, "")]
+    rows += [(5, "ZX## QQ%% !!JJ ##KK &&VV %%XX " * 4), (None, "ZX## QQ%% !!JJ ##KK &&VV %%XX " * 4), (42, None), (42, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{(i or 0) % 4}", len(t or ""), "extra") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _id string")
+    path = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(60) if i != 5], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    good = cp.quality_stage(spark, docs, path)
+    assert good.columns == cp.COLUMNS and pairs(good) == sorted((r for r in rows if "ZX" not in (r[1] or "")), key=str)
+    lines = cp.line_stage(spark, docs.where("doc_id >= 6 and doc_id not in (40, 41, 42)"), path)
+    plain = _plain_lines([r for r in rows if r[0] is not None and r[0] >= 6 and r[0] not in (40, 41, 42)])
+    assert pairs(lines) == sorted(((i, t) for i, (t, _, gone) in plain.items() if t or not gone), key=str)
+    kept = cp.near_duplicate_stage(spark, docs, path)
+    comps = {}
+    for (i, t), (n, _, c) in _plain_components(rows).items():
+        if n:
+            comps.setdefault(c, []).append((i is None, i or 0, t))
+    single = [t for i, t in rows if not (t or "").split()]
+    got = pairs(kept)
+    assert len([t for _, t in got if not (t or "").split()]) == len(single) and len(got) == len(single) + len(comps)
+    assert sorted(str(min(v)[:2]) for v in comps.values()) == sorted(str((i is None, i or 0)) for i, t in got if (t or "").split())
+    mixed = cp.mixing_stage(spark, docs, path)
+    assert mixed.columns == cp.COLUMNS and set(pairs(mixed)) <= set(rows)
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    lib = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    ids = sorted((r["doc_id"] or -1, r["ids"]) for r in cp.encoding_stage(spark, docs, path).collect())
+    assert ids == sorted((i or -1, lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
