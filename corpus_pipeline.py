@@ -28,10 +28,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    found = prefixjoin.near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("_copy"))
-    copies = small(stash(found, "copies"), prefixjoin.BROADCAST_IDS)
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti").select(*COLUMNS)
+    """One text of each component stays, that with the least id (null ids
+    last), once; texts without words stay as they are."""
+    docs = docs.select(*COLUMNS)
+    found = stash(prefixjoin.near_duplicates(docs).where("component is not null").select("id", "t", "rows", "component"), "texts")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    crowd = found.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    copies = stash(found.join(crowd, "component").where(place != F.col("first")).select(F.col("id").alias("_id"), F.col("t").alias("_t")), "copies")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_t"))
+    kept = docs.join(small(copies, prefixjoin.BROADCAST_IDS), same, "left_anti")
+    repeated = found.where("rows > 1").select(F.col("id").alias("_id"), F.col("t").alias("_t"))
+    if repeated.isEmpty():
+        return kept
+    repeated = small(stash(repeated, "repeated"), prefixjoin.BROADCAST_IDS)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
