@@ -16,14 +16,14 @@ white space (0x20, 0x09-0x0D), A-Z lower-cased. Shingles are compared by
    leader and is paired with the other groups (a star, linear in the list).
    Pairs are filtered by size and position, groups expand to their classes,
    and the pairs are verified on the full sets.
-4. Linked pairs are merged to components. Tokens whose holders are still in
-   different components get further rounds of stars: the holder that shares most
-   of these tokens leads, meets the holders of other components, and leaves the
-   list. Pairs are also filtered by the triangle inequality of the Jaccard
-   distance to the token's first leader.
-5. Once the lists hold no more pairs than PAIRS_A_ROW a row (or after ROUNDS
-   rounds), what is left is paired across components within each list. Every
-   linked pair whose ends aren't connected already is met in one of these steps.
+4. Linked pairs are merged to components. Lists whose holders are still in
+   different components are paired across components where that makes at most
+   PAIRS_A_ROW pairs a holder. Longer ones get another round of stars: the holder
+   that shares most of these tokens leads, meets the holders of other components,
+   and leaves the list. Pairs are also filtered by the triangle inequality of the
+   Jaccard distance to the token's first leader.
+5. After ROUNDS rounds what is left is paired within each list. Every linked
+   pair whose ends aren't connected already is met in one of these steps.
 
 Defined cases: null text counts as empty; rows that share an id are decided by
 their texts; rows equal in id and text give one row; rows without id take part,
@@ -50,8 +50,8 @@ SKETCH_BITS = 21   # counters of the order sketch: 2^21 of 4 bytes
 CHUNK_BITS = 16    # counters carried in one row while sketches are added up
 PARITY = ("q0", "q1", "q2", "q3")
 BROADCAST_IDS = 1_000_000  # candidates sent to every executor at most (24 MB)
-PAIRS_A_ROW = 8    # pairs of a list row up to which lists are paired outright
-ROUNDS = 6         # rounds of stars before that in any case
+PAIRS_A_ROW = 32   # pairs a holder up to which lists are paired outright
+ROUNDS = 2         # rounds of stars before that in any case
 NO_ID = (1 << 63) - 1
 
 
@@ -256,21 +256,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = 1 - percent / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("d") - F.col("d2")), F.lit(0.0)) <= reach
     for turn in range(rounds + 1):
-        sizes = rest.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        size, pairs = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
-        last = pairs <= pairs_a_row * size or turn == rounds
-        if not size:
+        if rest.isEmpty():
             break
-        if last:
-            y = rest.select("token", *(F.col(c).alias(c + "2") for c in ("key", "n", "pos", "comp", "d", *PARITY)))
-            met = rest.join(y, "token").where("key < key2 and comp <> comp2")
-        else:
-            score = rest.groupBy("key").agg(F.count("*").alias("score"))
-            lead = (rest.join(score, "key").groupBy("token")
-                    .agg(F.max(F.struct("score", "key", "n", "pos", "comp", "d", *PARITY)).alias("x"))
-                    .select("token", *(F.col("x." + c).alias(c + "2") for c in ("key", "n", "pos", "comp", "d", *PARITY))))
+        y = [F.col(c).alias(c + "2") for c in ("key", "n", "pos", "comp", "d", *PARITY)]
+        long = stash(rest.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
+                     .agg(F.sum("c").cast("double").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+                     .where((F.col("s") * F.col("s") - F.col("q")) / 2 > F.lit(float(pairs_a_row)) * F.col("s")).select("token"), "long-lists")
+        last = turn == rounds or long.isEmpty()
+        short = rest if last else rest.join(long, "token", "left_anti")
+        met = short.join(short.select("token", *y), "token").where("key < key2 and comp <> comp2")
+        if not last:
+            held = rest.join(long, "token", "left_semi")
+            score = held.groupBy("key").agg(F.count("*").alias("score"))
+            lead = (held.join(score, "key").groupBy("token").agg(F.max(F.struct("score", "key", "n", "pos", "comp", "d", *PARITY)).alias("x"))
+                    .select("token", "x.*").select("token", *y))
             lead = stash(lead, "leaders")
-            met = rest.join(lead, "token").where("key <> key2 and comp <> comp2")
+            met = met.unionByName(held.join(lead, "token").where("key <> key2 and comp <> comp2"))
         met = (met.where(_possible(percent, "n", "n2", "pos", "pos2")).where(_few_bits(percent, "n", "n2", PARITY, other)).where(near)
                .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct())
         for m in made:
@@ -285,8 +286,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if last:
             break
         spent = lead.select("token", F.col("key2").alias("key"))
-        smaller = mixed(rest.join(spent, ["token", "key"], "left_anti").select(*tags), comp)
-        discard(rest, lead)
+        smaller = mixed(held.join(spent, ["token", "key"], "left_anti").select(*tags), comp)
+        discard(rest, lead, long)
         rest = smaller
 
     # A component's least node has no row of its own in ``comp``.

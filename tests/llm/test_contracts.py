@@ -271,7 +271,7 @@ def _plain_components(rows):
     return {r: (len(s), least.get(c), c) for r, s, c in zip(rows, sets, comp)}
 
 
-@pytest.mark.parametrize("rounds,pairs_a_row", [(6, 0.1), (0, 8), (6, 8)])
+@pytest.mark.parametrize("rounds,pairs_a_row", [(6, 0.1), (1, 3), (0, 8), (2, 32)])
 def test_prefix_join_of_crowds_against_plain_version(spark, rounds, pairs_a_row):
     rng = np.random.default_rng(12)
     passage = [f"p{i}" for i in range(30)]
