@@ -18,10 +18,10 @@ white space (0x20, 0x09-0x0D), A-Z lower-cased. Shingles are compared by
    and the pairs are verified on the full sets.
 4. Linked pairs are merged to components. Lists whose holders are still in
    different components are paired across components where that makes at most
-   PAIRS_A_ROW pairs a holder. Longer ones get another round of stars: the holder
-   that shares most of these tokens leads, meets the holders of other components,
-   and leaves the list. Pairs are also filtered by the triangle inequality of the
-   Jaccard distance to the token's first leader.
+   PAIRS_A_ROW pairs a holder. Longer ones get another round of stars: LEADERS
+   holders drawn by hash, those of the component with most rows first, meet the
+   holders of other components, and leave the list. Pairs are also filtered by the
+   triangle inequality of the Jaccard distance to the token's first leader.
 5. After ROUNDS rounds what is left is paired within each list. Every linked
    pair whose ends aren't connected already is met in one of these steps.
 
@@ -51,7 +51,8 @@ CHUNK_BITS = 16    # counters carried in one row while sketches are added up
 PARITY = ("q0", "q1", "q2", "q3")
 BROADCAST_IDS = 1_000_000  # candidates sent to every executor at most (24 MB)
 PAIRS_A_ROW = 32   # pairs a holder up to which lists are paired outright
-ROUNDS = 2         # rounds of stars before that in any case
+ROUNDS = 2         # rounds of stars over longer lists
+LEADERS = 32       # leaders of a list in each of them
 NO_ID = (1 << 63) - 1
 
 
@@ -192,7 +193,7 @@ def _few_bits(percent, na, nb, qa, qb):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS,
-                    sketch_bits: int = SKETCH_BITS, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS) -> DataFrame:
+                    sketch_bits: int = SKETCH_BITS, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
     """Rows (id, t, rows, n_shingles, component_id, component): every text (t: its
     hash, rows: how often it occurs under its id), the least id of its component
     and the component's own number (null for texts without words)."""
@@ -267,8 +268,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         met = short.join(short.select("token", *y), "token").where("key < key2 and comp <> comp2")
         if not last:
             held = rest.join(long, "token", "left_semi")
-            score = held.groupBy("key").agg(F.count("*").alias("score"))
-            lead = (held.join(score, "key").groupBy("token").agg(F.max(F.struct("score", "key", "n", "pos", "comp", "d", *PARITY)).alias("x"))
+            weight = held.groupBy("comp").agg(F.count("*").alias("weight"))
+            draw = F.xxhash64("key", F.lit(turn))
+            lead = (held.join(weight, "comp").groupBy("token", F.pmod(draw, F.lit(leaders)).alias("seat"))
+                    .agg(F.max(F.struct("weight", draw.alias("draw"), "key", "n", "pos", "comp", "d", *PARITY)).alias("x"))
                     .select("token", "x.*").select("token", *y))
             lead = stash(lead, "leaders")
             met = met.unionByName(held.join(lead, "token").where("key <> key2 and comp <> comp2"))
