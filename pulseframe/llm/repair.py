@@ -6,7 +6,7 @@ range of ids, made of blocks of at most ``BLOCK_TOKENS`` ids. Each block has a
 grammar of its own: frequent adjacent id pairs are replaced by nonterminals,
 again and again; rules, their expansion lengths and the document lengths are
 stored with it. All pairs of a round that occur often enough are replaced at
-once (left to right where they overlap), so a block takes a few sorted passes.
+once (the more frequent one where two overlap), and rounds go on until no pair does.
 Any run of ids is decoded from the symbols that cover it, found by the
 cumulated expansion lengths.
 
@@ -41,9 +41,8 @@ from pulseframe.llm.warc import filesystem
 from pulseframe.session import ship_package
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 3
-ROUND_RULES = 4_000    # rules of a round at most: a block's grammar stays small
-LEAST_COUNT = 24       # occurrences that make a pair worth a rule
+LEAST_COUNT = 12       # occurrences that make a pair worth a rule
+SLOT_BITS = 20
 PIECES_KEPT = 400_000
 MAGIC = 0x52455031
 
@@ -51,49 +50,71 @@ MAGIC = 0x52455031
 # -- grammar -----------------------------------------------------------------
 
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k (a pair of symbols) is symbol vocabulary + k."""
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    """(symbols, rules): rule k (a pair of symbols) is symbol vocabulary + k.
+
+    Rounds go on until no pair occurs ``LEAST_COUNT`` times without overlap. A
+    round replaces every pair that does, frequent ones first where two overlap."""
+    seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
+    size = vocabulary
+    while len(seq) >= 2 * LEAST_COUNT:
+        code = seq[:-1].astype(np.uint64) * np.uint64(size) + seq[1:]
+        pairs, at, number, count = _repeated(code)
+        if not len(pairs):
             break
-        base = np.uint64(vocabulary + len(rules))
-        narrow = int(base) <= 1 << 16
-        code = (seq[:-1] << np.uint32(16) | seq[1:]) if narrow else seq[:-1].astype(np.uint64) * base + seq[1:]
-        order = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
-        count = np.diff(edge)
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        often = often[np.argsort(-count[often], kind="stable")[:ROUND_RULES]]
-        if not len(often):
-            break
-        chosen = np.sort(order[edge[often]])
-        # A table by hashed code finds the chosen pairs; of chosen pairs that
-        # fall on one slot the last is kept for this round.
-        mult, bits = (np.uint32(0x9E3779B1), 20) if narrow else (np.uint64(0x9E3779B97F4A7C15), 20)
-        wide = np.uint32(32 - bits) if narrow else np.uint64(64 - bits)
-        table = np.zeros(1 << bits, chosen.dtype)
-        rule_of = np.zeros(1 << bits, np.uint32)
-        slots = (chosen * mult) >> wide
-        table[slots], rule_of[slots] = chosen, np.arange(len(chosen), dtype=np.uint32)
-        taken = table[slots] == chosen
-        slot = (code * mult) >> wide
-        hit = (table[slot] == code) & (code != 0)
-        at = np.flatnonzero(hit)
-        # In a run of overlapping hits every other one is replaced.
-        start = np.concatenate([[True], np.diff(at) != 1])
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
-        if not len(at):
-            break
-        new_number = np.cumsum(taken) - 1
-        pairs = chosen[taken]
-        left, right = ((pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)) if narrow else (pairs // base, pairs % base))
-        seq[at] = (vocabulary + len(rules) + new_number[rule_of[slot[at]]]).astype(np.uint32)
+        at, number = _apart(at, number, count, len(seq))
+        # What is left of a pair after its rivals took their places may be too
+        # rare; the most frequent pair keeps all of its places.
+        chosen = np.bincount(number, minlength=len(pairs)) >= LEAST_COUNT
+        at, number = at[chosen[number]], number[chosen[number]]
+        rank = np.cumsum(chosen) - 1
+        seq[at] = (size + rank[number]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([left, right], 1).astype(np.uint32)])
-    return seq, rules
+        made = pairs[chosen]
+        rules.append(np.stack([made // np.uint64(size), made % np.uint64(size)], 1).astype(np.uint32))
+        size += len(made)
+    return seq, np.concatenate(rules)
+
+
+def _repeated(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``LEAST_COUNT`` times without overlap, those places
+    in ascending order, the pair at each place, and the pairs' counts."""
+    # Counts by hashed slot leave few places to sort: a pair's slot counts it at least.
+    slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+    at = np.flatnonzero((np.bincount(slot.view(np.int64), minlength=1 << SLOT_BITS) >= LEAST_COUNT)[slot])
+    # Inside a run of one pair every other place counts.
+    start = np.concatenate([[True], (np.diff(at) != 1) | (code[at[1:]] != code[at[:-1]])])[:len(at)]
+    first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+    at = at[(np.arange(len(at)) - first) % 2 == 0]
+    pairs, number, count = np.unique(code[at], return_inverse=True, return_counts=True)
+    often = count >= LEAST_COUNT
+    rank = np.cumsum(often) - 1
+    held = often[number]
+    return pairs[often], at[held], rank[number[held]], count[often]
+
+
+def _apart(at: np.ndarray, number: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that don't overlap: of overlapping pairs the more frequent one
+    stays (ties: the smaller pair). Places between two that go are tried again."""
+    place = np.empty(len(count), np.int64)
+    place[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count), 0, -1)
+    weight = np.zeros(n + 2, np.int64)  # of the place before
+    weight[at + 1] = place[number]
+    open_, stays = np.ones(len(at), bool), np.zeros(len(at), bool)
+    while open_.any():
+        i = np.flatnonzero(open_)
+        p = at[i] + 1
+        mine = weight[p]
+        # Equal neighbours don't occur: runs of one pair were thinned before.
+        wins = (mine > weight[p - 1]) & (mine > weight[p + 1])
+        p = p[wins]
+        stays[i[wins]] = True
+        weight[p - 1] = weight[p + 1] = 0
+        weight[p] = 0
+        open_[i[wins]] = False
+        open_ &= weight[at + 1] > 0
+    return at[stays], number[stays]
 
 
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:

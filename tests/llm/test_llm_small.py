@@ -1,8 +1,10 @@
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,66 @@ def test_grammar_round_trip_and_random_access():
     assert repair.rule_lengths(rules, 100).min() >= 2
 
 
+def plain_pairs(ids):
+    """Occurrences without overlap of every adjacent pair, left to right."""
+    last, count = {}, {}
+    for i, pair in enumerate(zip(ids, ids[1:])):
+        if last.get(pair, -2) < i - 1:
+            last[pair], count[pair] = i, count.get(pair, 0) + 1
+    return count
+
+
+@pytest.mark.parametrize("ids", [np.zeros(10_000), np.tile([5, 6], 4_000), np.random.default_rng(1).integers(0, 5, 8_000),
+                                 np.tile(np.random.default_rng(2).integers(0, 60, 97), 90), np.random.default_rng(3).zipf(1.4, 20_000) % 200,
+                                 np.arange(3), np.zeros(0)], ids=["zeros", "two", "five", "passage", "zipf", "three", "empty"])
+def test_grammar_leaves_no_frequent_pair(ids):
+    ids = ids.astype(np.uint32)
+    seq, rules = repair.compress(ids, 200)
+    assert (repair.expand(seq, rules, 200) == ids).all()
+    assert max(plain_pairs(seq.tolist()).values(), default=0) < repair.LEAST_COUNT
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+    # Every rule stands for an earlier pair, and its length is that of its expansion.
+    lens = repair.rule_lengths(rules, 200)
+    for k in range(len(rules)):
+        assert rules[k].max() < 200 + k
+        assert len(repair.expand(np.array([200 + k], np.uint32), rules, 200)) == lens[k]
+
+
+def test_repeated_passage_becomes_one_symbol():
+    passage = np.arange(500, dtype=np.uint32)
+    seq, rules = repair.compress(np.tile(passage, 300), 500)
+    assert repair.rule_lengths(rules, 500).max() >= 500 and len(seq) < 300
+
+
+def test_token_files_against_plain_ids(spark, tmp_path):
+    """Ids, starts and checksums of whole files, and any run of ids, with null and repeated ids and a long text."""
+    texts = ["a b", None, "", "the quick brown fox " * 4_000, "Hello, world! 123", "the quick brown fox"]
+    df = spark.createDataFrame([(i if i != 4 else None, t) for i, t in enumerate(texts)] + [(5, "the quick brown fox")], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    files = repair.write_tokens(df, path, TOK)
+    got = sorted(((-1 if r["id"] is None else r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in repair.read_documents(files, path).collect()))
+    from tokenizers import Tokenizer
+    lib, want, start, whole = Tokenizer.from_file(TOK), [], 0, []
+    lib.no_truncation()
+    lib.no_padding()
+    for i, t in [(-1, texts[4]), (0, texts[0]), (1, ""), (2, ""), (3, texts[3]), (5, texts[5]), (5, texts[5])]:
+        ids = np.array(lib.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+        whole.append(ids)
+    assert got == want
+    whole, at = np.concatenate(whole), 0
+    for r in files.orderBy("part").collect():
+        if not r["tokens"]:
+            continue
+        with pa.OSFile(f"{path}/{r['file']}", "rb") as f:
+            reader = repair.TokenReader(f)
+            for lo, hi in [(0, r["tokens"]), (1, 2), (r["tokens"] // 3, r["tokens"] // 2 + 1)]:
+                hi = min(hi, r["tokens"])
+                assert (reader.tokens(lo, hi) == whole[at + lo:at + hi]).all()
+        at += r["tokens"]
+
+
 def test_token_files(spark):
     rows = repair.round_trip(docs(spark, ["a b", None, "c"]), TOK).orderBy("id").collect()
     assert [r["n_tokens"] for r in rows] == [3, 1, 2] and [r["start"] for r in rows] == [0, 3, 4]
