@@ -96,6 +96,18 @@ def test_format_bytes_units(spark):
     assert got == ["0 bytes", "10239 bytes", "10 kB", "10 MB", "20 MB", "10 GB", "5120 GB", "3072 TB"]
 
 
+def test_format_bytes_beyond_bigint(spark, tmp_path):
+    from pulseframe.plans import catalog
+    keys = [(36_000_000, 1_200_000, 7), (1, 2, 3), (36_000_000, 400_000, 1), (None, 2, 3)]
+    (spark.createDataFrame(keys, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet")))
+    out = catalog.q_format_bytes(spark, str(tmp_path))
+    assert dict(out.dtypes)["bytes"] == "bigint"
+    got = {r["l_orderkey"]: (r["bytes"], r["pretty"]) for r in out.where("l_orderkey is null or l_linenumber <> 1").collect()}
+    # 36e6 * 1.2e6^2 * 7 bytes are 322,302.18 PB.
+    assert got == {36_000_000: (None, "322302 PB"), 1: (12, "12 bytes"), None: (None, None)}
+    assert out.where("l_linenumber = 1").first()["bytes"] == 36_000_000 * 400_000 ** 2
+
+
 def test_to_number_nan_and_junk(spark):
     got = col_values(spark, ["1.5", "n/a", "nan", None, " 7 "], to_number)
     assert got == [1.5, None, None, None, 7.0]
