@@ -89,6 +89,15 @@ def test_one_class_empty_and_constant(spark):
     assert OneClassSvm(["a", "b"], dims=16).fit(df.limit(0)).transform(df.limit(0)).count() == 0
 
 
+def test_one_class_with_empty_partitions(spark):
+    rows = [(float(i), float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(rows, 60), "a double, b double")
+    assert any(n == 0 for n in spread.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+    m, whole = (OneClassSvm(["a", "b"], dims=16, scale=True).fit(x) for x in (spread, df.coalesce(1)))
+    assert m.rho == pytest.approx(whole.rho) and np.allclose(m.w, whole.w)
+
+
 def test_weighted_metrics_by_hand(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 7), (2, None)], "y int, p int")
     r = weighted_metrics(df, "y", "p").first()
