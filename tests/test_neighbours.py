@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pulseframe.operators import models
 from pulseframe.operators.models import KnnVote, _knn_votes
 from pulseframe.operators.neighbours import NeighbourIndex, exact_nearest, recall
 
@@ -77,3 +78,30 @@ def test_vote_by_index_and_exactly(spark):
             for e in (True, False)}
     assert [near[True][i] for i in range(800, 900)] == want
     assert np.mean([near[False][i] == w for i, w in zip(range(800, 900), want)]) >= 0.95
+
+
+def test_boxes_find_what_brute_force_finds(spark):
+    rng = np.random.default_rng(3)
+    kinds = (lambda n: rng.integers(0, 40, (n, 3)).astype(float), lambda n: rng.normal(size=(n, 3)) * [1, 100, 1e4],
+             lambda n: rng.integers(0, 2, (n, 3)).astype(float), lambda n: np.zeros((n, 2)))
+    for made in kinds:
+        r, x = made(3000), made(300)
+        boxes = models._boxes(r)
+        near = np.full((len(x), 7), -1)
+        for own, found, _ in models._nearest_in_boxes(x, r, 7, boxes):
+            near[own] = found
+        want = np.concatenate([found for _, found, _ in models._nearest(x, r, 7)])
+        # Ties go to the smaller place; whole numbers have exact distances.
+        d = lambda at: ((x[:, None, :] - r[at]) ** 2).sum(axis=2)
+        assert np.allclose(d(near), d(want)) and (near >= 0).all()
+        if (r == np.round(r)).all():
+            assert (near == want).all()
+    # Far reference rows are left out where the rows are spread.
+    r = rng.normal(size=(20_000, 3))
+    met = []
+    plain, models._nearest = models._nearest, lambda x, r, *more: (met.append(len(x) * len(r)), plain(x, r, *more))[1]
+    try:
+        models._knn_votes(rng.normal(size=(2000, 3)), r, rng.integers(0, 2, 20_000), [5])
+    finally:
+        models._nearest = plain
+    assert sum(met) < 0.6 * 2000 * 20_000
