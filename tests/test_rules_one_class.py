@@ -105,3 +105,11 @@ def test_weighted_metrics_by_hand(spark):
     assert [r["precision"], r["recall"]] == [pytest.approx((1 + 2 / 3) / 3, abs=1e-6), pytest.approx(0.5)]
     plan = weighted_metrics(df, "y", "p")._jdf.queryExecution().toString()
     assert "Join" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_rows_of_one_partition_are_spread(spark):
+    from pulseframe.operators.models import spread
+    df = spark.range(0, 1000, 1, 1)
+    out = spread(df, task_rows=100)
+    assert out.rdd.getNumPartitions() == 10 and sorted(r["id"] for r in out.collect()) == list(range(1000))
+    assert spread(df.where("id < 0")).count() == 0
