@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pulseframe.operators import models
+from pulseframe.operators import models, neighbours
 from pulseframe.operators.models import KnnVote, _knn_votes
 from pulseframe.operators.neighbours import NeighbourIndex, exact_nearest, recall
 
@@ -105,3 +106,19 @@ def test_boxes_find_what_brute_force_finds(spark):
     finally:
         models._nearest = plain
     assert sum(met) < 0.6 * 2000 * 20_000
+
+
+def test_blocks_that_meet_leave_far_rows_out():
+    rng = np.random.default_rng(4)
+    r, x = rng.integers(0, 60, (4000, 3)).astype(float), rng.integers(0, 60, (1000, 3)).astype(float)
+    right = pd.DataFrame({"x": list(r), "own": [[{"id": i, "y": i % 3}] for i in range(len(r))]})
+    met = []
+    plain, neighbours._least = neighbours._least, lambda d, k: (met.append(d.size), plain(d, k))[1]
+    try:
+        out = neighbours._meet(pd.DataFrame({"pid": range(len(x)), "x": list(x)}), right, 5)
+    finally:
+        neighbours._least = plain
+    d = ((x[:, None, :] - r[None, :, :]) ** 2).sum(axis=2)
+    want = {i: [(d[i, j], j, j % 3) for j in np.argsort(d[i], kind="stable")[:5]] for i in range(len(x))}
+    assert dict(zip(out["pid"], out["near"])) == want
+    assert sum(met) < 0.8 * d.size
