@@ -4,8 +4,9 @@ The model is trained on trusted text and scores every document by its
 perplexity; a document is rejected when its score lies above a quantile of
 the trusted documents of its language.
 
-Symbols are character classes (``SYMBOLS`` of them: 26 folded letters, upper
-case, digit, white space, punctuation, ...), the order is 5. Counts are
+Symbols are the bytes of the text in UTF-8 as they are: letters, their case,
+digits, marks and all scripts are told apart, and no text has an unknown symbol.
+The order is 5. Perplexities and scores are per code point. Counts are
 gathered from all trusted text (partial counts per task, summed by n-gram).
 Texts fall in two folds by their hash, and each fold is scored with the model
 of the other one: trusted documents are scored held out, so their quantiles
@@ -30,8 +31,6 @@ rows are scored each; further columns of ``df`` are not looked at.
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +40,7 @@ from pyspark.sql.window import Window
 from pulseframe.llm.tables import free_prefix, small, stash, text_or_empty
 from pulseframe.session import ship_package
 
-SYMBOLS = 38
+SYMBOLS = 257
 ORDER = 5
 QUANTILE = 0.999
 MARGIN = 1.01         # factor on the trusted quantile of the score
@@ -53,42 +52,16 @@ CHUNK_CHARS = 16_000_000      # code points scored together where the n-grams ar
 HELD = 1_000_000              # n-grams a task holds before it adds them up (about 80 bytes each meanwhile)
 
 
-def _symbol(ch: str) -> int:
-    if ch in " \t ":
-        return 29
-    if ch in "\n\r":
-        return 30
-    if ch in ".,":
-        return 31 + (ch == ",")
-    kind = unicodedata.category(ch)
-    if kind == "Lu":
-        return 27
-    if kind[0] == "L":
-        base = unicodedata.normalize("NFD", ch)[0]
-        return ord(base) - 96 if "a" <= base <= "z" else 35 if kind == "Ll" else 36
-    if kind == "Nd":
-        return 28
-    if ch in ";:!?'\"-()":
-        return 33
-    return 34 if ch.isascii() else 37
-
-
-_TABLE: list[np.ndarray] = []
-
-
 def _symbols(text: str) -> np.ndarray:
-    """Symbol of every code point (0 is the text start)."""
-    if not _TABLE:
-        _TABLE.append(np.array([_symbol(chr(i)) for i in range(0x3000)], dtype=np.uint8))
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(cp < 0x3000, _TABLE[0][np.minimum(cp, 0x2FFF)], 36).astype(np.int64)
+    """The bytes of a text, from 1 on (0 is the text start)."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int64) + 1
 
 
 PIECE = 1 << 20  # code points worked on at once
 
 
 def _grams(text: str):
-    """Codes of the n-gram ending at every code point, in pieces."""
+    """Codes of the n-gram ending at every symbol, in pieces."""
     last = np.zeros(ORDER - 1, np.int64)
     for i in range(0, len(text), PIECE):
         s = np.concatenate([last, _symbols(text[i:i + PIECE])])

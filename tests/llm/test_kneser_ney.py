@@ -70,3 +70,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     one = spark.createDataFrame([(1,)], "doc_id long")
     assert kn.quality(df, one).count() == 0 and kn.keep_good(df, one).columns == df.columns
+
+
+def test_symbols_tell_texts_apart(spark):
+    # Case, digits, marks and letters of other scripts were of one class each.
+    texts = ["aB", "aC", "a1", "a2", "aé", "ae", "я ты", "я мы", "日本", "日木", "a;", "a:", "€", "™"]
+    assert len({tuple(kn._symbols(t)) for t in texts}) == len(texts)
+    assert max(s for t in texts for s in kn._symbols(t)) < kn.SYMBOLS and 2 * kn.SYMBOLS ** kn.ORDER < 1 << 63
+    good = ["кошка спит на тёплой печке", "собака лежит у старой двери"] * 20
+    rows = [(i, t + " " * (i % 3), "ru") for i, t in enumerate(good)] + [(100, "щъфж эюёц жщъф цэюё щфъжц", "ru")]
+    got = kn.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(40).toDF("doc_id"))
+    assert {r["id"] for r in got.where("not keep").collect()} == {100}
