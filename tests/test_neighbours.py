@@ -122,3 +122,33 @@ def test_blocks_that_meet_leave_far_rows_out():
     want = {i: [(d[i, j], j, j % 3) for j in np.argsort(d[i], kind="stable")[:5]] for i in range(len(x))}
     assert dict(zip(out["pid"], out["near"])) == want
     assert sum(met) < 0.8 * d.size
+
+
+def test_block_search_by_arrays_is_exact():
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    for x, r in ((rng.normal(size=(50, 16)), rng.normal(size=(700, 16))), (rng.integers(0, 4, (60, 3)) * 1.0, rng.integers(0, 4, (600, 3)) * 1.0),
+                 (rng.normal(size=(9, 2)), rng.normal(size=(3, 2))), (np.full((4, 2), np.inf), rng.normal(size=(300, 2))),
+                 (1e8 + rng.normal(size=(20, 2)), 1e8 + rng.normal(size=(900, 2)))):
+        ids = rng.permutation(3 * len(r)).reshape(-1, 3)
+        own = [[{"id": int(v), "y": int(v % 5)} for v in sorted(o[:1 + i % 3])] for i, o in enumerate(ids)]
+        want = {}
+        for i, v in enumerate(x):
+            with np.errstate(invalid="ignore"):
+                d = ((v - r) ** 2).sum(axis=1)
+            want[i] = sorted((d[j], m["id"], m["y"]) for j, o in enumerate(own) for m in o)[:7]
+        q = pa.table({"pid": pa.array(range(len(x)), pa.int64()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+        b = pa.table({"x": pa.array(r.tolist(), pa.list_(pa.float64())), "own": pa.array(own, pa.list_(pa.struct([("id", pa.int64()), ("y", pa.int32())])))})
+        out = neighbours._meet_tables(q, b, 7)
+        got = {p: [(e["d"], e["r"], e["y"]) for e in near] for p, near in zip(out["pid"].to_pylist(), out["near"].to_pylist())}
+        assert got == want
+        assert neighbours._meet_tables(q, b.slice(0, 0), 7).num_rows == 0 and neighbours._meet_tables(q.slice(0, 0), b, 7).num_rows == 0
+    # No row of a block costs a loop of its own.
+    calls = []
+    plain, neighbours._least = neighbours._least, lambda d, k: (calls.append(len(d)), plain(d, k))[1]
+    try:
+        x, r = rng.normal(size=(400, 16)), rng.normal(size=(500, 16))
+        neighbours._met(x, r, np.ones(500, int), np.arange(500), np.arange(500), 7)
+    finally:
+        neighbours._least = plain
+    assert sum(calls) < 410 and len(calls) < 20
