@@ -41,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulseframe.llm.tables import components, discard, small, stash, text_or_empty
 from pulseframe.llm.textvec import WORDS, shingle_sets
@@ -207,17 +208,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets_ = stash(texts.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"), *(F.first(q).alias(q) for q in PARITY), F.min("id").alias("low"),
                                            F.min_by("t", F.coalesce("id", F.lit(NO_ID))).alias("t")), "distinct-sets")
 
-    # Tokens held by at least two different sets, and their leaders.
-    holders = meta.where("n > 0").select("n", "key", "g", F.posexplode("prefix").alias("pos", "token"))
-    tokens = (holders.groupBy("token")
-              .agg(F.min("key").alias("leader"), F.max("key").alias("hi"), F.min_by("n", "key").alias("ln"), F.count("*").alias("rows"),
-                   F.min("n").alias("least"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("room"))
+    # Tokens held by at least two different sets, and their leaders. Most tokens have
+    # one holder: rows are narrow, are shuffled once, and get their group afterwards.
+    holders = meta.where("n > 0").select(F.col("n").cast("int").alias("n"), "key", F.posexplode("prefix").alias("pos", "token"))
+    over = Window.partitionBy("token")
+    held = {"leader": F.min("key"), "hi": F.max("key"), "ln": F.min_by("n", "key"), "rows": F.count("*"),
+            "least": F.min("n"), "both": F.sum("n"), "room": F.min(F.col("n") - F.col("pos"))}
+    tokens = (holders.select("*", *(f.over(over).alias(c) for c, f in held.items()))
               .where("leader <> hi")
               # The size and position filters, exact for a list of two.
               .where(F.expr(f"rows > 2 or (100 * least >= {percent} * (both - least) and {100 + percent} * room >= {percent} * both)"))
-              .select("token", "leader", "ln"))
+              .select("token", "key", F.col("n").cast("long").alias("n"), "pos", "leader", F.col("ln").cast("long").alias("ln")))
     # One row for each group of a token.
-    lists = stash(holders.join(tokens, "token").groupBy("token", "g").agg(*(F.min(c).alias(c) for c in ("n", "pos", "leader", "ln"))), "lists")
+    lists = stash(tokens.join(sets_.select("key", "g"), "key").groupBy("token", "g").agg(*(F.min(c).alias(c) for c in ("n", "pos", "leader", "ln"))), "lists")
     discard(meta)
 
     other = [q + "2" for q in PARITY]

@@ -246,3 +246,24 @@ def test_hilbert_neighbours_touch(bits, dims):
     key = hilbert.hilbert_key(cells, bits)
     order = cells[np.argsort(key)]
     assert sorted(key) == list(range(len(cells))) and (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_prefix_tokens_are_shuffled_once(spark, monkeypatch):
+    import contextlib
+    import io
+    import re
+    plans, plain = {}, prefixjoin.stash
+
+    def seen(df, name):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain()
+        plans[name] = text.getvalue()
+        return plain(df, name)
+
+    monkeypatch.setattr(prefixjoin, "stash", seen)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words), " ".join(words[::-1]), "", None]
+    got = {r["id"]: r["component_id"] for r in prefixjoin.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    # A row for every token of every prefix: once through the network, not once to count and once to join.
+    assert len(re.findall(r"Exchange hashpartitioning\(token#\d+L?, \d+\)", plans["lists"])) == 1
