@@ -37,7 +37,6 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,17 +86,17 @@ def order_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
             "chunk": pa.array(range(n_chunks), pa.int32()), "salt": pa.array([part % 64] * n_chunks, pa.int32()),
             "blob": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         acc = None
-        for blob in pdf["blob"]:
-            x = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+        for blob in rows["blob"]:
+            x = np.frombuffer(zlib.decompress(blob.as_buffer()), dtype=np.uint32)
             # Saturating, so that no counter wraps at any corpus size.
             acc = x.copy() if acc is None else np.minimum(acc.astype(np.uint64) + x, 0xFFFFFFFF).astype(np.uint32)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "salt": [0], "blob": [zlib.compress(acc.tobytes(), 1)]})
+        return pa.table({"chunk": rows["chunk"][:1], "salt": pa.array([0], pa.int32()), "blob": pa.array([zlib.compress(acc.tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, salt int, blob binary"
     rows = docs.select("text").mapInArrow(count, schema)
-    total = rows.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
+    total = rows.groupBy("chunk", "salt").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros(1 << bits, dtype=np.uint32)
     size = (1 << bits) // n_chunks
     for r in total.collect():  # n_chunks rows

@@ -1,7 +1,7 @@
 """Words and word shingles of Arrow string batches as numpy arrays.
 
-A batch is cut into pieces of a few MB (a longer text is a piece of its own),
-so the working memory does not depend on the batch.
+A batch is cut into pieces of 256 KB (a longer text is a piece of its own), whose
+arrays take some 25 MB, so the working memory does not depend on the batch.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 WORDS = 5  # words of a shingle
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -1,3 +1,4 @@
+import random
 import re
 import struct
 import zlib
@@ -267,3 +268,20 @@ def test_prefix_tokens_are_shuffled_once(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
     # A row for every token of every prefix: once through the network, not once to count and once to join.
     assert len(re.findall(r"Exchange hashpartitioning\(token#\d+L?, \d+\)", plans["lists"])) == 1
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from pulseframe.session import BATCH_BYTES, BATCH_MB, ship_package
+
+    old = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.set(BATCH_BYTES, str(64 << 20))
+        ship_package(spark)
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        made = spark.range(0, 9000, 1, 1).selectExpr("repeat('abcdefgh', 400) AS text").mapInArrow(sizes, "n long").collect()
+        assert len(made) > 1 and max(r["n"] for r in made) < 2 * BATCH_MB << 20
+        spark.conf.set(BATCH_BYTES, str(1 << 20))  # a lower limit of the session stays
+        ship_package(spark)
+        assert int(spark.conf.get(BATCH_BYTES).rstrip("b")) == 1 << 20
+    finally:
+        spark.conf.set(BATCH_BYTES, old)
