@@ -5,7 +5,7 @@ never merge across white space. Arrow cuts a batch at ASCII white space and
 numbers its pieces, so that Python handles each distinct one once. Unseen pieces
 are learned many at once, and in parts: closing marks apart from the word before
 them, ASCII words in lower case, so that a word met in another form costs no
-merges.
+merges. Most of that is done on a batch's bytes before its pieces are numbered.
 """
 
 from __future__ import annotations
@@ -29,6 +29,30 @@ def cut_marks(piece: str) -> tuple[str, str]:
     return (stem, piece[len(stem):]) if last.isalpha() else (piece, "")
 
 
+_BYTES = np.arange(256)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LETTER = _UPPER | (_BYTES >= 97) & (_BYTES <= 122)
+_MARK = np.isin(_BYTES, np.frombuffer(MARKS.encode(), np.uint8))
+
+
+def tamed(texts: pa.Array) -> pa.Array:
+    """``texts`` (large strings) with ASCII and Latin-1 letters in lower case and
+    a space between such a letter and a mark: their ids stay the same."""
+    _, offs, data = texts.buffers()
+    offs = np.frombuffer(offs, np.int64, len(texts) + 1)
+    b = np.frombuffer(data, np.uint8)[:offs[-1]] if data else np.zeros(0, np.uint8)
+    if not len(b):
+        return texts
+    latin = np.concatenate([[False], b[:-1] == 0xC3])  # the last bytes of U+00C0 to U+00FF
+    latin &= (b != 0x97) & (b != 0xB7)                 # no letters: multiplication and division signs
+    upper = _UPPER[b] | latin & (b <= 0x9E)
+    # Combining marks (U+0300 and above) could join the capital, not its small letter.
+    upper[:-1] &= b[1:] < 0xCC
+    cut = np.flatnonzero((_LETTER[b] | latin)[:-1] & _MARK[b[1:]]) + 1
+    made = np.insert(b + (upper * np.uint8(32)), cut, 32)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offs + np.searchsorted(cut, offs)), pa.py_buffer(made))
+
+
 class PieceTable:
     """Ids (as bytes) of at most ``limit`` pieces, beside those of the batch at
     hand; ``learn`` gives the ids of unseen strings."""
@@ -40,7 +64,10 @@ class PieceTable:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        text, joined = pa.array(texts, pa.large_string()), " ".join(texts)
+        if not (self.special(joined) or self.special(joined.lower())):
+            text = tamed(text)
+        lists = pc.ascii_split_whitespace(text)
         coded = lists.values.dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         found = self.found(names)

@@ -44,6 +44,7 @@ BLOCK_TOKENS = 1 << 20
 LEAST_COUNT = 12       # occurrences that make a pair worth a rule
 SLOT_BITS = 20
 PIECES_KEPT = 400_000
+LATIN_END = "\u0250"   # letters below it are the same in every Unicode version
 MAGIC = 0x52455031
 
 
@@ -303,7 +304,7 @@ class LibraryEncoder:
     of its pieces."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -311,6 +312,12 @@ class LibraryEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = PieceTable(self.learn, self.has_special, PIECES_KEPT)
         self.words = regex.compile(PATTERN)
+        # For lower-case Latin words, which need neither normalizer nor pattern.
+        self.plain = Tokenizer.from_str(spec)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(END)
@@ -324,22 +331,33 @@ class LibraryEncoder:
     def learn(self, new: list[str]) -> list[bytes]:
         """Encode unseen pieces, many in one text: every word of a piece ends
         with a word-end token, so the ids are cut by the pieces' word counts."""
-        out = []
-        for i in range(0, len(new), 2_000):
-            part, size = new[i:i + 2_000], []
-            for p in part:
-                q = p if p.isascii() else unicodedata.normalize("NFC", p)
-                size.append(1 if (q := q.lower()).isalpha() else len(self.words.findall(q)))
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            last, ends = np.cumsum(size), np.flatnonzero(self.ends[ids])
-            if len(ends) != last[-1] or min(size) == 0:  # special tokens inside, or an odd fold
-                out += [self.alone(p) for p in part]
-                continue
-            at = [0] + (4 * (ends[last - 1] + 1)).tolist()
-            data = ids.tobytes()
-            out += [data[x:y] for x, y in zip(at, at[1:])]
+        out, words, at, rest = [b""] * len(new), [], [], []
+        for i, p in enumerate(new):
+            q = (p if p.isascii() else unicodedata.normalize("NFC", p)).lower()
+            if q.isalpha() and (q.isascii() or max(q) < LATIN_END):
+                words.append(q)
+                at.append(i)
+            else:
+                rest.append((i, p, 1 if q.isalpha() else len(self.words.findall(q))))
+        for i in range(0, len(words), 2_000):
+            part = words[i:i + 2_000]
+            for k, data in zip(at[i:i + 2_000], self.cut(self.plain, part, [1] * len(part))):
+                out[k] = data
+        for i in range(0, len(rest), 2_000):
+            part = rest[i:i + 2_000]
+            for (k, _, _), data in zip(part, self.cut(self.library, [p for _, p, _ in part], [n for _, _, n in part])):
+                out[k] = data
         return out
 
+    def cut(self, tokenizer, part: list[str], size: list[int]) -> list[bytes]:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        last, ends = np.cumsum(size), np.flatnonzero(self.ends[ids])
+        if len(ends) != last[-1] or min(size) == 0:  # special tokens inside, or an odd fold
+            return [self.alone(p) for p in part]
+        at = [0] + (4 * (ends[last - 1] + 1)).tolist()
+        data = ids.tobytes()
+        return [data[x:y] for x, y in zip(at, at[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.table.encode(texts)
 

@@ -285,3 +285,34 @@ def test_batches_are_bounded_by_bytes(spark):
         assert int(spark.conf.get(BATCH_BYTES).rstrip("b")) == 1 << 20
     finally:
         spark.conf.set(BATCH_BYTES, old)
+
+
+def test_library_encoder_against_library_on_odd_letters():
+    from tokenizers import Tokenizer
+
+    from pulseframe.llm.repair import LibraryEncoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library, encoder = Tokenizer.from_str(spec), LibraryEncoder(spec)
+    # A caron joins j, but not J; a bar joins =; special tokens and their names in capitals.
+    signs = ["a", "B", "É", "é", "×", "÷", "ß", "J", "I", "İ", "̌", "́", "̇", "=", "̸", ",", ".", "'s", "'", "<|endoftext|>", "<|ENDOFTEXT|>",
+             " ", "\n", "\x85", "1", "²", "Σ", "ς", "ª", "ŉ", "中", "😀", "Å", "-", "<", "À", "Þ", "\x1c", ""]
+    rng = random.Random(11)
+    for turn in range(400):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(4)]
+        if turn % 3:
+            texts = [t.replace("<|endoftext|>", "") for t in texts]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want
+
+
+def test_forms_of_a_latin_word_are_one_piece():
+    from pulseframe.llm.pieces import PieceTable
+
+    asked = []
+    table = PieceTable(lambda new: [p.encode("utf-32-le") for p in new], lambda piece: False, 100)
+    found = table.found
+    table.found = lambda names: asked.extend(names) or found(names)
+    table.encode(["Élan élan, ÉLAN. Word word; WORD!"])
+    assert sorted(asked) == sorted({"élan", "word", ",", ".", ";", "!"})
