@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,8 @@ def cut_marks(piece: str) -> tuple[str, str]:
     return (stem, piece[len(stem):]) if last.isalpha() else (piece, "")
 
 
-_BYTES = np.arange(256)
-_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
-_LETTER = _UPPER | (_BYTES >= 97) & (_BYTES <= 122)
-_MARK = np.isin(_BYTES, np.frombuffer(MARKS.encode(), np.uint8))
+_UPPER, _LOWER, _MARK = 1, 2, 4  # classes of bytes
+_CLASS = bytes(_UPPER if 65 <= c <= 90 else _LOWER if 97 <= c <= 122 else _MARK if chr(c) in MARKS else 0 for c in range(256))
 
 
 def tamed(texts: pa.Array) -> pa.Array:
@@ -40,16 +39,21 @@ def tamed(texts: pa.Array) -> pa.Array:
     a space between such a letter and a mark: their ids stay the same."""
     _, offs, data = texts.buffers()
     offs = np.frombuffer(offs, np.int64, len(texts) + 1)
-    b = np.frombuffer(data, np.uint8)[:offs[-1]] if data else np.zeros(0, np.uint8)
-    if not len(b):
+    data = data.to_pybytes()[:offs[-1]] if data else b""
+    if not data:
         return texts
-    latin = np.concatenate([[False], b[:-1] == 0xC3])  # the last bytes of U+00C0 to U+00FF
-    latin &= (b != 0x97) & (b != 0xB7)                 # no letters: multiplication and division signs
-    upper = _UPPER[b] | latin & (b <= 0x9E)
+    b, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_CLASS), np.uint8)
+    upper, letter = kind == _UPPER, kind & (_UPPER | _LOWER) != 0
+    last = np.flatnonzero(b[:-1] == 0xC3) + 1          # the last bytes of U+00C0 to U+00FF
+    last = last[(b[last] != 0x97) & (b[last] != 0xB7)]  # no letters: multiplication and division signs
+    upper[last], letter[last] = b[last] <= 0x9E, True
     # Combining marks (U+0300 and above) could join the capital, not its small letter.
     upper[:-1] &= b[1:] < 0xCC
-    cut = np.flatnonzero((_LETTER[b] | latin)[:-1] & _MARK[b[1:]]) + 1
-    made = np.insert(b + (upper * np.uint8(32)), cut, 32)
+    cut = np.flatnonzero(letter[:-1] & (kind[1:] == _MARK)) + 1
+    made = np.full(len(b) + len(cut), 32, np.uint8)
+    old = np.ones(len(made), bool)
+    old[cut + np.arange(len(cut))] = False
+    made[old] = b + (upper.view(np.uint8) << np.uint8(5))
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offs + np.searchsorted(cut, offs)), pa.py_buffer(made))
 
 
@@ -69,7 +73,7 @@ class PieceTable:
             text = tamed(text)
         lists = pc.ascii_split_whitespace(text)
         coded = lists.values.dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         found = self.found(names)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
@@ -83,7 +87,7 @@ class PieceTable:
         """The ids of distinct pieces."""
         found = list(map(self.kept.get, names))
         new = [p for p, x in zip(names, found) if x is None]
-        self.again.update(p for p, x in zip(names, found) if x is not None)
+        self.again.update(compress(names, found))
         if len(new) + len(self.kept) > self.limit:
             # Keep what later batches asked for again; most pieces occur once.
             self.kept = {p: self.kept[p] for p in self.again if p in self.kept} if 2 * len(self.again) < self.limit else {}

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.bpe import END, PATTERN, batches_of
+from pulseframe.llm.bpe import END, PATTERN, batches_of, byte_letters
 from pulseframe.llm.pieces import PieceTable
 from pulseframe.llm.tables import fresh_path, partitions, running_offsets, stash, text_or_empty
 from pulseframe.llm.warc import filesystem
@@ -44,6 +44,7 @@ BLOCK_TOKENS = 1 << 20
 LEAST_COUNT = 12       # occurrences that make a pair worth a rule
 SLOT_BITS = 20
 PIECES_KEPT = 400_000
+WORDS_AT_ONCE = 200    # in one text for the library: longer ones leave the processor's cache
 LATIN_END = "\u0250"   # letters below it are the same in every Unicode version
 MAGIC = 0x52455031
 
@@ -54,67 +55,87 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k (a pair of symbols) is symbol vocabulary + k.
 
     Rounds go on until no pair occurs ``LEAST_COUNT`` times without overlap. A
-    round replaces every pair that does, frequent ones first where two overlap."""
+    round replaces every pair that does, frequent ones first where two overlap.
+    A rare pair never becomes frequent, so a round looks only at places beside
+    a new symbol and at those of frequent pairs that the round before left."""
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    size = vocabulary
+    size, live = vocabulary, np.arange(max(len(seq) - 1, 0))
     while len(seq) >= 2 * LEAST_COUNT:
-        code = seq[:-1].astype(np.uint64) * np.uint64(size) + seq[1:]
-        pairs, at, number, count = _repeated(code)
+        code = seq[live].astype(np.uint64) * np.uint64(size) + seq[live + 1]
+        pairs, at, number, count = _repeated(code, live)
         if not len(pairs):
             break
+        open_ = np.zeros(len(seq) + 1, bool)
+        open_[at] = True
+        # Places that were left out inside a run of one symbol.
+        run = at[(pairs // np.uint64(size) == pairs % np.uint64(size))[number]]
+        run = run[run + 2 < len(seq)]
+        open_[run[seq[run + 2] == seq[run]] + 1] = True
         at, number = _apart(at, number, count, len(seq))
         # What is left of a pair after its rivals took their places may be too
         # rare; the most frequent pair keeps all of its places.
         chosen = np.bincount(number, minlength=len(pairs)) >= LEAST_COUNT
-        at, number = at[chosen[number]], number[chosen[number]]
+        held = chosen[number]
+        at, number = at[held], number[held]
         rank = np.cumsum(chosen) - 1
         seq[at] = (size + rank[number]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, open_ = seq[keep], open_[:-1][keep]
+        new = at - np.arange(len(at))
+        open_[new] = True
+        open_[np.maximum(new - 1, 0)] = True
+        live = np.flatnonzero(open_[:-1])
         made = pairs[chosen]
         rules.append(np.stack([made // np.uint64(size), made % np.uint64(size)], 1).astype(np.uint32))
         size += len(made)
     return seq, np.concatenate(rules)
 
 
-def _repeated(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that occur ``LEAST_COUNT`` times without overlap, those places
-    in ascending order, the pair at each place, and the pairs' counts."""
-    # Counts by hashed slot leave few places to sort: a pair's slot counts it at least.
-    slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-    at = np.flatnonzero((np.bincount(slot.view(np.int64), minlength=1 << SLOT_BITS) >= LEAST_COUNT)[slot])
+def _repeated(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs ``code`` at ascending places that occur ``LEAST_COUNT`` times
+    without overlap, those places, the pair at each place, and the pairs' counts."""
+    if len(code) > 1 << 16:
+        # Counts by hashed slot leave few pairs to tell apart: a pair's slot counts it at least.
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        i = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= LEAST_COUNT)[slot])
+        code, place = code[i], place[i]
     # Inside a run of one pair every other place counts.
-    start = np.concatenate([[True], (np.diff(at) != 1) | (code[at[1:]] != code[at[:-1]])])[:len(at)]
-    first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - first) % 2 == 0]
-    pairs, number, count = np.unique(code[at], return_inverse=True, return_counts=True)
-    often = count >= LEAST_COUNT
-    rank = np.cumsum(often) - 1
-    held = often[number]
-    return pairs[often], at[held], rank[number[held]], count[often]
+    same = np.flatnonzero((code[1:] == code[:-1]) & (place[1:] == place[:-1] + 1)) + 1
+    if len(same):
+        order = np.arange(len(same))
+        first = np.maximum.accumulate(np.where(np.diff(same, prepend=-1) != 1, order, 0))
+        other = same[(order - first) % 2 == 0]
+        code, place = np.delete(code, other), np.delete(place, other)
+    coded = pa.array(code).dictionary_encode()
+    pairs, number = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    count = np.bincount(number, minlength=len(pairs))
+    often = np.flatnonzero(count >= LEAST_COUNT)
+    often = often[np.argsort(pairs[often])]
+    rank = np.full(len(pairs), -1, np.int32)
+    rank[often] = np.arange(len(often))
+    number = rank[number]
+    held = number >= 0
+    return pairs[often], place[held], number[held], count[often]
 
 
 def _apart(at: np.ndarray, number: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places that don't overlap: of overlapping pairs the more frequent one
     stays (ties: the smaller pair). Places between two that go are tried again."""
-    place = np.empty(len(count), np.int64)
+    place = np.empty(len(count), np.int32)
     place[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count), 0, -1)
-    weight = np.zeros(n + 2, np.int64)  # of the place before
-    weight[at + 1] = place[number]
-    open_, stays = np.ones(len(at), bool), np.zeros(len(at), bool)
-    while open_.any():
-        i = np.flatnonzero(open_)
-        p = at[i] + 1
-        mine = weight[p]
+    weight = np.zeros(n + 2, np.int32)  # of the place before
+    stays = np.zeros(len(at), bool)
+    i, p, mine = np.arange(len(at)), at + 1, place[number]
+    weight[p] = mine
+    while len(i):
         # Equal neighbours don't occur: runs of one pair were thinned before.
         wins = (mine > weight[p - 1]) & (mine > weight[p + 1])
-        p = p[wins]
         stays[i[wins]] = True
-        weight[p - 1] = weight[p + 1] = 0
-        weight[p] = 0
-        open_[i[wins]] = False
-        open_ &= weight[at + 1] > 0
+        won = p[wins]
+        weight[won - 1] = weight[won + 1] = weight[won] = 0
+        left = weight[p] > 0
+        i, p, mine = i[left], p[left], mine[left]
     return at[stays], number[stays]
 
 
@@ -139,25 +160,26 @@ def levels(rules: np.ndarray, vocabulary: int) -> np.ndarray:
         out = new
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (``size`` of them), for one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids of symbols: one rule level at a time, highest first."""
-    seq = seq.astype(np.uint32)
+    """The ids of symbols: each rule is expanded once, lowest level first, and
+    the symbols are copied from there."""
     if not len(rules):
-        return seq
+        return seq.astype(np.uint32)
+    size = np.concatenate([np.ones(vocabulary, np.int64), rule_lengths(rules, vocabulary)])
+    start = np.cumsum(size) - size
+    flat = np.arange(int(size.sum()), dtype=np.uint32)  # of the ids: themselves
     level = levels(rules, vocabulary)
-    height = np.zeros(vocabulary + len(rules), np.uint8)
-    height[vocabulary:] = level
-    for k in range(int(level.max()), 0, -1):
-        at = height[seq] == k
-        if not at.any():
-            continue
-        place = np.arange(len(seq)) + np.cumsum(at) - at
-        out = np.empty(len(seq) + int(at.sum()), np.uint32)
-        out[place[~at]] = seq[~at]
-        pair = rules[seq[at].astype(np.int64) - vocabulary]
-        out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    for k in range(1, int(level.max()) + 1):
+        i = np.flatnonzero(level == k)
+        parts = rules[i].ravel()
+        flat[_runs(start[vocabulary + i], size[vocabulary + i])] = flat[_runs(start[parts], size[parts])]
+    return flat[_runs(start[seq], size[seq])]
 
 
 # -- files -------------------------------------------------------------------
@@ -312,12 +334,14 @@ class LibraryEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = PieceTable(self.learn, self.has_special, PIECES_KEPT)
         self.words = regex.compile(PATTERN)
-        # For lower-case Latin words, which need neither normalizer nor pattern.
+        # For lower-case Latin words, which need neither normalizer nor pattern, in byte letters.
         self.plain = Tokenizer.from_str(spec)
         self.plain.no_truncation()
         self.plain.no_padding()
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u4")
+        self.letters[ord(" ")] = ord(" ")  # between words
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(END)
@@ -339,18 +363,23 @@ class LibraryEncoder:
                 at.append(i)
             else:
                 rest.append((i, p, 1 if q.isalpha() else len(self.words.findall(q))))
-        for i in range(0, len(words), 2_000):
-            part = words[i:i + 2_000]
-            for k, data in zip(at[i:i + 2_000], self.cut(self.plain, part, [1] * len(part))):
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i:i + WORDS_AT_ONCE]
+            text = " ".join(part)
+            if not text.isascii():  # ASCII letters stand for themselves
+                text = self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            for k, data in zip(at[i:i + WORDS_AT_ONCE], self.cut(self.plain, text, part, [1] * len(part))):
                 out[k] = data
-        for i in range(0, len(rest), 2_000):
-            part = rest[i:i + 2_000]
-            for (k, _, _), data in zip(part, self.cut(self.library, [p for _, p, _ in part], [n for _, _, n in part])):
+        for i in range(0, len(rest), WORDS_AT_ONCE):
+            part = [p for _, p, _ in rest[i:i + WORDS_AT_ONCE]]
+            size = [n for _, _, n in rest[i:i + WORDS_AT_ONCE]]
+            for (k, _, _), data in zip(rest[i:i + WORDS_AT_ONCE], self.cut(self.library, " ".join(part), part, size)):
                 out[k] = data
         return out
 
-    def cut(self, tokenizer, part: list[str], size: list[int]) -> list[bytes]:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def cut(self, tokenizer, text: str, part: list[str], size: list[int]) -> list[bytes]:
+        """The ids of ``text``, cut into those of its pieces ``part``."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         last, ends = np.cumsum(size), np.flatnonzero(self.ends[ids])
         if len(ends) != last[-1] or min(size) == 0:  # special tokens inside, or an odd fold
             return [self.alone(p) for p in part]
@@ -384,7 +413,7 @@ def read_documents(files: DataFrame, path: str) -> DataFrame:
                 with fs.open_input_file(f"{root}/{name}") as f:
                     reader, rows = TokenReader(f), []
                     for i, ids in reader.documents():
-                        rows.append((reader.ids[i], offset + int(reader.starts[i]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((reader.ids[i], offset + int(reader.starts[i]), len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "n_tokens", "ids_crc32"])
 

@@ -105,6 +105,49 @@ def test_grammar_leaves_no_frequent_pair(ids):
         assert len(repair.expand(np.array([200 + k], np.uint32), rules, 200)) == lens[k]
 
 
+def plain_grammar(ids, size):
+    """Rounds over all places: of overlapping frequent pairs the more frequent one stays, ties go to the smaller."""
+    seq, rules = ids.tolist(), []
+    while True:
+        count = {p: n for p, n in plain_pairs(seq).items() if n >= repair.LEAST_COUNT}
+        at, last = [], {}
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if last.get(pair, -2) < i - 1:
+                last[pair] = i
+                at += [(-count[pair], pair, i)] if pair in count else []
+        taken = {}
+        for _, pair, i in sorted(at):
+            if i - 1 not in taken and i + 1 not in taken:
+                taken[i] = pair
+        kept = [p for p in sorted(count) if sum(q == p for q in taken.values()) >= repair.LEAST_COUNT]
+        if not kept:
+            return seq, rules
+        number = {p: size + len(rules) + k for k, p in enumerate(kept)}
+        rules += kept
+        taken = {i: p for i, p in taken.items() if p in number}
+        seq = [number[taken[i]] if i in taken else x for i, x in enumerate(seq) if i - 1 not in taken]
+
+
+def test_grammar_against_plain_rounds():
+    rng = np.random.default_rng(6)
+    cases = [np.repeat(rng.integers(0, 4, 400), rng.integers(1, 7, 400)) for _ in range(12)]  # runs of one symbol
+    cases += [rng.integers(0, 3, 1_500), rng.zipf(1.5, 4_000) % 50, np.tile(rng.integers(0, 30, 41), 40)]
+    for ids in cases:
+        seq, rules = repair.compress(ids.astype(np.uint32), 50)
+        want, made = plain_grammar(ids, 50)
+        assert seq.tolist() == want and list(map(tuple, rules.tolist())) == made
+        assert (repair.expand(seq, rules, 50) == ids).all()
+
+
+def test_grammar_rounds_look_at_changed_places_only(monkeypatch):
+    looked, repeated = [], repair._repeated
+    monkeypatch.setattr(repair, "_repeated", lambda code, *rest: looked.append(len(code)) or repeated(code, *rest))
+    ids = (np.random.default_rng(4).zipf(1.2, 300_000) % 20_000).astype(np.uint32)
+    seq, rules = repair.compress(ids, 20_000)
+    assert len(looked) > 3 and sum(looked[1:]) < len(ids) // 2
+    assert (repair.expand(seq, rules, 20_000) == ids).all()
+
+
 def test_repeated_passage_becomes_one_symbol():
     passage = np.arange(500, dtype=np.uint32)
     seq, rules = repair.compress(np.tile(passage, 300), 500)
@@ -307,6 +350,20 @@ def test_library_encoder_against_library_on_odd_letters():
         assert encoder.encode(texts) == want
 
 
+def test_many_latin_words_against_library():
+    """More unseen words than go to the library in one text, also with letters of two bytes and with digits."""
+    from tokenizers import Tokenizer
+    with open(TOK, encoding="utf-8") as f:
+        spec = f.read()
+    rng = random.Random(12)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for letters in ("abcdefgs", "aéßñöıÿłŋz", "ab7é-.") for _ in range(700)]
+    rng.shuffle(words)
+    texts = [" ".join(words[i:i + 300]) for i in range(0, len(words), 300)]
+    library, encoder = Tokenizer.from_str(spec), repair.LibraryEncoder(spec)
+    library.no_truncation()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_forms_of_a_latin_word_are_one_piece():
     from pulseframe.llm.pieces import PieceTable
 
