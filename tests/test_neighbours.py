@@ -152,3 +152,46 @@ def test_block_search_by_arrays_is_exact():
     finally:
         neighbours._least = plain
     assert sum(calls) < 410 and len(calls) < 20
+
+
+def test_vote_is_the_same_however_many_rows_are_the_reference(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1200, 12)), np.repeat(rng.normal(size=(1, 12)), 60, axis=0)])
+    y = rng.integers(0, 3, len(x))
+    cols = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, " + ", ".join(f"{c} double" for c in cols) + ", label int")
+    train, q = df.where("id % 5 > 0"), df.where("id % 5 = 0").drop("label")
+    # With the index (the rule beyond max_reference before) some of these votes differ.
+    votes = []
+    for most, rows in ((100_000, 20_000), (0, 200)):
+        m = KnnVote(cols, "label").fit(train, "id") if rows == 20_000 else KnnVote(cols, "label", max_reference=most, block_rows=rows).fit(train, "id")
+        votes.append((m.k, {r["id"]: r["p_knn"] for r in m.transform(q).collect()}))
+    assert votes[0] == votes[1] and len(votes[0][1]) == q.count()
+
+
+def test_cells_find_what_brute_force_finds(spark):
+    rng = np.random.default_rng(9)
+    far = np.concatenate([rng.normal(size=(500, 3)) * [1, 1e3, 10], rng.integers(0, 3, (400, 3)) * 1.0, np.full((3, 3), np.nan), np.full((2, 3), np.inf)])
+    df = table(spark, far)
+    got = {r["id"]: r["r"] for r in exact_nearest(df.select("id", "x"), df, 5, block_rows=60).collect()}
+    with np.errstate(invalid="ignore"):
+        want = brute(far, far, 5)
+    assert [got[i] for i in range(len(far))] == want
+
+
+def test_far_cells_are_not_met(spark):
+    rng = np.random.default_rng(10)
+    df = table(spark, rng.normal(size=(4000, 2)))
+    parts = neighbours.exact_parts(df.selectExpr("id AS pid", "0 AS part", "x", "0 AS t"), df.selectExpr("0 AS part", "id", "x", "y"), 3, block_rows=200)
+    assert parts.where("done").count() > 2000 and parts.count() < 3 * 4000  # of 20 cells
+
+
+def test_block_search_leaves_points_out():
+    rng = np.random.default_rng(11)
+    for x, r in ((rng.normal(size=(300, 3)), rng.normal(size=(4000, 3))), (rng.integers(0, 5, (300, 3)) * 1.0, rng.integers(0, 5, (4000, 3)) * 1.0)):
+        row, at, d = neighbours._nearest_points(x, r, 6)
+        all_d = ((x[:, None, :] - r[None, :, :]) ** 2).sum(axis=2)
+        assert at.reshape(-1, 6).tolist() == np.argsort(all_d, axis=1, kind="stable")[:, :6].tolist() and (row == np.repeat(np.arange(300), 6)).all()
+        bound = np.sort(all_d, axis=1)[:, 2]
+        row, at, d = neighbours._nearest_points(x, r, 6, bound)
+        assert {(i, j) for i, j, v in zip(row, at, d) if v <= bound[i]} >= {(i, j) for i in range(300) for j in np.argsort(all_d[i], kind="stable")[:3]}
