@@ -130,3 +130,16 @@ def test_detector_mixed_features(spark, sf_small):
 def test_run_available_reads_back(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in"))
     assert run_available(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), "append", "t").count() == 3
+
+
+def test_detector_learns_from_every_row(spark, sf_small, monkeypatch):
+    from pulseframe.operators.models import split_flag
+    from pulseframe.plans import detector
+    a = fixture(spark, sf_small, "activity").limit(300)
+    seen = {}
+    train, trees = detector.train_vote_models, detector.RuleTrees.fit
+    monkeypatch.setattr(detector, "train_vote_models", lambda df, *args, **more: (seen.update(vote=df.count()), train(df, *args, **more))[1])
+    monkeypatch.setattr(detector.RuleTrees, "fit", lambda self, df: (seen.update(rules=df.count()), trees(self, df))[1])
+    det = AnomalyDetector(max_labelled_rows=50, trees=3, rf_trees=(3,)).fit(a)
+    n = a.where(split_flag("event_id", 80)).count()
+    assert n > 200 and seen == {"vote": n, "rules": 300} and det.knn.n == n
